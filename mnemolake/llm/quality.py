@@ -22,7 +22,7 @@ from mnemolake.llm.common import arrow_map, id_remainder, whole_text
 from mnemolake.llm.training import labelled_sample
 
 #: Labelled rows that training reads at most.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 BITS = 18
 # classes of bytes: 0 space, 1 lower, 2 upper, 3 digit, 4 non-ASCII, 5 punctuation
 _CLASS = np.full(256, 5, dtype=np.int8)
@@ -87,7 +87,7 @@ def fit(examples: list[tuple[str, int]], rounds: int = 6, alpha: float = 2.0, be
     for text, _ in examples:
         at, tokens = features(text)
         at, count = np.unique(at, return_counts=True)
-        rows.append((np.append(at, size), np.append(count / tokens, 1.0)))
+        rows.append((np.append(at, size).astype(np.int32), np.append(count / tokens, 1.0).astype(np.float32)))
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         return np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))

@@ -23,7 +23,7 @@ from mnemolake.llm.common import arrow_map, id_remainder, whole_text
 from mnemolake.llm.training import labelled_sample
 
 #: Labelled rows that training reads at most.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 ORDERS = (4, 6, 8)
 BITS = 20
 _CHUNK = 1 << 20
@@ -77,16 +77,17 @@ def fit(examples: list[tuple[str, int]], alpha: float = 0.5, least_docs: int = 5
     y = np.array([label for _, label in examples], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size, np.float32), -3.0 if not len(y) or y[0] == 0 else 3.0)
-    docs = [np.unique(np.concatenate(list(buckets(t)) or [np.zeros(0, np.int64)])) for t, _ in examples]
+    distinct = lambda t: np.unique(np.concatenate(list(buckets(t)) or [np.zeros(0, np.uint32)]))
     with_1, with_0 = np.zeros(size), np.zeros(size)
-    for d, label in zip(docs, y, strict=True):
-        (with_1 if label else with_0)[d] += 1
+    for (text, _), label in zip(examples, y, strict=True):
+        (with_1 if label else with_0)[distinct(text)] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     ratio = np.log((with_1 + alpha) / (n1 + 2 * alpha)) - np.log((with_0 + alpha) / (n0 + 2 * alpha))
     ratio[(with_1 < least_docs) | (ratio < least_ratio)] = 0
-    kept = [d[ratio[d] != 0] for d in docs]
+    # a second reading keeps what has a ratio; all n-grams of all examples at once would take the driver's memory
+    kept = [d[ratio[d] != 0] for d in (distinct(text) for text, _ in examples)]
     rows = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    cols = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    cols = np.concatenate(kept)
     used, at = np.unique(cols, return_inverse=True)
     scaled = ratio[cols]
     w, bias = np.zeros(len(used)), float(np.log(n1 / n0))
