@@ -120,6 +120,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def detect(path: str) -> str:
     """The format of an existing path: snapshot, bundle, swap, sqlite; or missing_manifest."""
+    if path.endswith((".jsonl", ".jsonl.gz")):
+        return "swap"  # one file, or a folder of parts
     if os.path.isdir(path):
         names = set(os.listdir(path))
         if MANIFEST in names and ROWS in names:
