@@ -60,13 +60,20 @@ def id_remainder(name: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+#: Rows of a batch that a column function answers at once: what it holds besides the batch stays small.
+SLICE = 256
+
+
 def arrow_map(shape: pa.DataType) -> Callable:
     """Makes a column function out of one that maps a Python value to a value of shape; rows travel as Arrow batches."""
 
     def wrap(f: Callable) -> Callable:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pa.array([f(x.as_py()) for x in batch], type=shape)
+                for first in range(0, len(batch), SLICE):
+                    yield pa.array([f(x.as_py()) for x in batch.slice(first, SLICE)], type=shape)
+                del batch
+                pa.default_memory_pool().release_unused()
 
         return F.arrow_udf(run, from_arrow_type(shape))
 

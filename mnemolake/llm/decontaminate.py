@@ -125,8 +125,13 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
 _PART = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
-def _scan(index: PrefixIndex):
-    @arrow_map(_PART)
+_VERDICT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+
+
+def _scan(index: PrefixIndex, alone: bool):
+    """What a block of items finds in a text; the verdict at once if there is no other block."""
+
+    @arrow_map(_VERDICT if alone else _PART)
     def scan(text: str) -> dict:
         raw = words.raw_bytes(text)
         starts, ends = words.spans(raw)
@@ -138,16 +143,13 @@ def _scan(index: PrefixIndex):
         # runs of hit words as first, end, first, end ...
         hit = np.cumsum(edges[:-1]) > 0
         runs = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
-        return {"n_words": len(starts), "hits": runs.tolist(), "items": sorted(items)}
+        part = {"n_words": len(starts), "hits": runs.tolist(), "items": sorted(items)}
+        return merge([part]) if alone else part
 
     return scan
 
 
-_VERDICT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-
-
-@arrow_map(_VERDICT)
-def _merge(parts: list[dict]) -> dict:
+def merge(parts: list[dict]) -> dict:
     """The union of what the blocks found in a document."""
     n, reach, items = 0, 0, set()
     for a, b in sorted(x for part in parts for x in zip(part["hits"][::2], part["hits"][1::2], strict=True)):
@@ -159,6 +161,9 @@ def _merge(parts: list[dict]) -> dict:
     return {"n_words": total, "n_hit": n, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), "contaminated": n > 0 and 20 * n >= total}
 
 
+_merge = arrow_map(_VERDICT)(merge)
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame) -> Column:
     """A column over documents.text: struct(n_words, n_hit, n_items, items_sha256, contaminated).
 
@@ -168,8 +173,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> Column:
     for block in _blocks(benchmark):
         windows = Windows(block)
         counts = shingle_counts(texts, windows.vocabulary()) if windows.words else {}
-        parts.append(_scan(PrefixIndex(windows, counts))(whole_text()))
-    return _merge(F.array(*parts))
+        parts.append(PrefixIndex(windows, counts))
+    if len(parts) == 1:
+        return _scan(parts[0], alone=True)(whole_text())
+    return _merge(F.array(*(_scan(index, alone=False)(whole_text()) for index in parts)))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
