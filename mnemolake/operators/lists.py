@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,14 +80,41 @@ def profile(memories: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown profile: {kind}")
 
 
+#: Bytes of joined values that travel as one row.
+_CHUNK = 1 << 20
+
+
 def ordered_hash(df: DataFrame, column: str) -> DataFrame:
-    """One row: the SHA-256 of all values in order, joined without a separator.
+    """One row: the SHA-256 of all values in order, joined without a separator; of nothing where there are none.
 
-    Values are first joined within ranges of their leading digit pairs, so that no task sorts the whole table; the
-    digest itself is of one string, as its definition asks.
+    The sort is over ranges, in all tasks; each joins its values to chunks. A digest of one string can't be split, so
+    one task reads the chunks, but it holds no more than one at a time.
     """
-    parts = df.where(F.col(column) != "").groupBy(F.substring(column, 1, 2).alias("lead")).agg(F.array_join(F.array_sort(F.collect_list(column)), "").alias("joined"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lead", "joined"))), lambda x: x["joined"]), ""), 256).alias("digest"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, size, held = 0, 0, []
+        chunk = lambda: pa.RecordBatch.from_arrays([part.slice(0, 1), pa.array([n], pa.int64()), pa.array(["".join(held)])], names=["part", "n", "chunk"])
+        for batch in batches:
+            part = batch.column(0)
+            for value in batch.column(1):
+                held.append(value.as_py())
+                size += len(held[-1])
+                if size >= _CHUNK:
+                    yield chunk()
+                    n, size, held = n + 1, 0, []
+        if held:
+            yield chunk()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha256()
+        for batch in batches:
+            for value in batch.column(0):
+                h.update(value.as_py().encode())
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["digest"])
+
+    ranged = df.where(F.col(column) != "").select(column).orderBy(column).select(F.spark_partition_id().alias("part"), column)
+    chunks = ranged.mapInArrow(join, "part int, n long, chunk string").repartition(1).sortWithinPartitions("part", "n").select("chunk")
+    return chunks.mapInArrow(digest, "digest string").agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256().hexdigest())).alias("digest"))
 
 
 #: Fixed value: words that mark a lasting fact.

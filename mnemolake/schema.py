@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DIM, MODEL = 64, "mnemolake-hash-v1"
 #: Column, type, default (a value, or None where null is the default).
@@ -24,10 +23,6 @@ def ddl(columns: tuple) -> str:
     return ", ".join(f"{name} {kind}" for name, kind, _ in columns)
 
 
-def struct(columns: tuple) -> T.StructType:
-    return T.StructType([T.StructField(name, T._parse_datatype_string(kind)) for name, kind, _ in columns])
-
-
 def conform(df: DataFrame, columns: tuple = MEMORY) -> DataFrame:
     """Projects to the model's columns: absent ones get their default, nulls of a column with a default too."""
     have = set(df.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from mnemolake.schema import HISTORY, MEMORY, struct
+from mnemolake.schema import HISTORY, MEMORY, ddl
 
 _BATCH = 1000
 
@@ -57,11 +57,12 @@ class SqliteSource(DataSource):
     def name(cls) -> str:
         return "mnemolake_sqlite"
 
-    def schema(self) -> StructType:
+    def schema(self) -> str:
+        # text, not types: this runs in a worker, which has no session to parse types with
         model = {"memories": MEMORY, "history": HISTORY}[self.options["table"]]
         have = set(columns_of(self.options["path"], self.options["table"]))
         kinds = {"embedding": "binary"}
-        return struct(tuple((n, kinds.get(n, k), d) for n, k, d in model if n in have))
+        return ddl(tuple((n, kinds.get(n, k), d) for n, k, d in model if n in have))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options, schema)

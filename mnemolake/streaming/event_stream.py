@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemolake.operators.events import created_rows
-from mnemolake.schema import EVENT, struct
+from mnemolake.schema import EVENT, ddl
 
 
 def read_events(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    return spark.readStream.schema(schema or struct(EVENT)).parquet(path)
+    return spark.readStream.schema(schema or ddl(EVENT)).parquet(path)
 
 
 def replay(events: DataFrame, sink, checkpoint: str) -> StreamingQuery:
