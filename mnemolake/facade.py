@@ -123,6 +123,10 @@ class MemoryStore:
     def events(self, limit: int = 100, ascending: bool = True, **conditions) -> DataFrame:
         return log.page(self.store.events(), limit, ascending, **conditions)
 
+    def replay(self, after_seq: int = 0):
+        """Events after a cursor in order of seq, one at a time."""
+        return log.select_events(self.store.events(), after_seq=after_seq).orderBy("seq").toLocalIterator()
+
     def trim_events(self, keep: int) -> None:
         self.store.retain_events(log.trim_to(self.store.events(), keep))
 
@@ -153,18 +157,25 @@ class MemoryStore:
         if not os.path.isdir(root):
             raise FileNotFoundError(root)
         found = bundle.index(self.spark, root, max_depth)
-        self._log("bundle.discovered", {"root": root, "count": found.count()})
+        self.store.append(bundles=found, events=self._notice("bundle.discovered", {"root": root, "count": found.count()}))
         return found
 
+    def bundles(self) -> DataFrame:
+        return self.store.bundles()
+
+    def clear_bundles(self) -> None:
+        self.store.clear_bundles()
+
     def inspect(self, uri: str, count_rows: bool = False, sample: int = 5) -> dict:
         return inspectors.inspect(self.spark, uri, count_rows, sample)
 
     def hygiene(self, listing: DataFrame | None = None) -> DataFrame:
-        """Warnings; with a listing (path, length) of the files, missing ones too. It changes nothing."""
-        rows, missing = self.store.memories(), None
-        if listing is not None:
-            missing = lists.files_missing(rows, listing, self.base or "").where("missing").select("id", (~F.col("uri").rlike("^(?!file)[a-z0-9]+://")).alias("checkable"))
-        return hygiene.warnings(rows, missing)
+        """Warnings; files are looked up in a listing (path, length), or where they are. It changes nothing."""
+        rows = self.store.memories()
+        listing = storage.listing(rows, self.base) if listing is None else listing
+        missing = lists.files_missing(rows, listing, self.base or "").where("missing").select("id", (~F.col("uri").rlike("^(?!file)[a-z0-9]+://")).alias("checkable"))
+        indexed = self.store.bundles()
+        return hygiene.warnings(rows, missing, bundle.stale(indexed, storage.present(indexed.select("path"))))
 
     def _update(self, old: dict, changes: dict, kind: str, told: dict) -> None:
         stamp = self._stamp()
@@ -173,9 +184,12 @@ class MemoryStore:
         event = update.select(*self._event(kind, F.col("id"), F.lit(old["namespace"]), F.lit(json.dumps(told, sort_keys=True))))
         self.store.append(updates=update, events=conform(event, EVENT))
 
-    def _log(self, kind: str, told: dict) -> None:
+    def _notice(self, kind: str, told: dict) -> DataFrame:
         one = self.spark.range(1).select(*self._event(kind, F.lit(None).cast("string"), F.lit(""), F.lit(json.dumps(told, sort_keys=True))))
-        self.store.append(events=conform(one, EVENT))
+        return conform(one, EVENT)
+
+    def _log(self, kind: str, told: dict) -> None:
+        self.store.append(events=self._notice(kind, told))
 
     def _event(self, kind: str, memory_id, namespace, payload) -> list:
         return [F.lit(uuid.uuid4().hex).alias("event_id"), memory_id.alias("memory_id"), namespace.alias("namespace"), F.lit(kind).alias("event_type"), F.lit(self._stamp()).alias("occurred_at"), payload.alias("payload_json")]

@@ -9,6 +9,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mnemolake.functions.exprs import resolve_uri
 
 #: Format by suffix.
 FORMATS = {".csv": "csv", ".tsv": "csv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".parquet": "parquet", ".md": "markdown", ".txt": "text", ".pdf": "pdf"}
@@ -98,3 +101,24 @@ def read_references(rows: DataFrame, base: str | None = None, verify: bool = Tru
 
     wanted = rows.select("id", "source_uri", "byte_offset", "byte_length", "source_checksum")
     return wanted.repartition("source_uri", (wanted["byte_offset"] / (1 << 26)).cast("long")).sortWithinPartitions("source_uri", "byte_offset").mapInArrow(read, _READ)
+
+
+def present(paths: DataFrame) -> DataFrame:
+    """(path, length) of those of a one-column frame that exist as local files or folders; uris of other schemes don't."""
+
+    def stat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column(0).to_pylist():
+                try:
+                    found.append((uri, os.path.getsize(local_path(uri or ""))))
+                except (OSError, UnsupportedScheme):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], names=["path", "length"])
+
+    return paths.distinct().mapInArrow(stat, "path string, length long")
+
+
+def listing(memories: DataFrame, base: str | None = None) -> DataFrame:
+    """(path, length) of the files that file rows refer to, each looked up once."""
+    return present(memories.where("memory_type = 'file'").select(resolve_uri(F.col("source_uri"), base or "").alias("path")))

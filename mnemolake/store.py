@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from mnemolake.operators.dedup import live_versions, not_in_store
 from mnemolake.operators.lifecycle import apply_updates
-from mnemolake.schema import EVENT, MEMORY, conform, ddl
+from mnemolake.schema import BUNDLE, EVENT, MEMORY, conform, ddl
 
 UPDATE = (("id", "string", None), ("seq", "long", None), ("promotion_state", "string", None), ("promotion_candidate", "int", None), ("updated_at", "string", None))
 _VERSION = (("seq", "long", None), *MEMORY)
-LOGS = {"versions": _VERSION, "updates": UPDATE, "events": EVENT}
+LOGS = {"versions": _VERSION, "updates": UPDATE, "events": EVENT, "bundles": (("seq", "long", None), *BUNDLE)}
 
 
 class Store:
@@ -36,7 +36,7 @@ class Store:
             return {"next": 1, **{k: [] for k in LOGS}}
         stream = self._fs.open(at)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return {k: [] for k in LOGS} | json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
@@ -49,6 +49,10 @@ class Store:
         options[0] = self._overwrite
         self._context.rename(new, at, options)
 
+    def top_seq(self) -> int:
+        """No row written yet has a greater seq, every later one has."""
+        return self._pointer()["next"] - 1
+
     def log(self, name: str) -> DataFrame:
         batches = self._pointer()[name]
         if not batches:
@@ -77,6 +81,15 @@ class Store:
     def events(self) -> DataFrame:
         return self.log("events")
 
+    def bundles(self) -> DataFrame:
+        """The bundle index: the latest entry of each path, in order of path."""
+        entries = self.log("bundles")
+        last = entries.groupBy("path").agg(F.max_by(F.struct(*(c for c in entries.columns if c not in ("seq", "path"))), "seq").alias("x"))
+        return last.select("path", "x.*").orderBy("path")
+
+    def clear_bundles(self) -> None:
+        self._publish(self._pointer() | {"bundles": []})
+
     def upsert(self, rows: DataFrame, events: DataFrame | None = None) -> None:
         """Replaces by id and by hash."""
         self.append(**{"versions": rows} | ({} if events is None else {"events": events}))
