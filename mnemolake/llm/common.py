@@ -50,6 +50,14 @@ def discard(*frames: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint where the counted rows prove that the side is small; else the join is left to shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

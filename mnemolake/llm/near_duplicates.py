@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.llm import words
-from mnemolake.llm.common import arrow_map, broadcast_if_small, discard, materialise, whole_text
+from mnemolake.llm.common import arrow_map, broadcast_if_small, discard, free_name, materialise, whole_text
 from mnemolake.llm.components import components
 
 K, SIMILARITY = 5, 0.8
@@ -58,29 +58,39 @@ def labelled(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(s: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes of PICKS labelled k-mers in text order; works through long texts in pieces."""
+    """SKETCHES hashes of PICKS labelled k-mers in text order; none of an empty text.
+
+    Where a text has just one k-mer more than are picked, the one that a near duplicate lacks is nearly always among
+    the picks; such texts and those that may lack it get as many sketches of half the picks besides.
+    """
     if not len(s):
         return np.zeros(0, np.int64)
+    short = PICKS <= len(s) <= PICKS + 1
+    return np.concatenate([_sketches_of(s, picks) for picks in ((PICKS, PICKS // 2) if short else (PICKS,))])
+
+
+def _sketches_of(s: np.ndarray, picks: int) -> np.ndarray:
+    """Works through long texts in pieces."""
     best_v = np.zeros((SKETCHES, 0), np.uint64)
     best_p = np.zeros((SKETCHES, 0), np.int64)
     for begin in range(0, len(s), _CHUNK):
         v = (s[None, begin : begin + _CHUNK] ^ _SEEDS) * _ODD
         v ^= v >> np.uint64(29)
-        n = min(PICKS, v.shape[1])
+        n = min(picks, v.shape[1])
         p = np.argpartition(v, n - 1, axis=1)[:, :n] if v.shape[1] > n else np.tile(np.arange(n), (SKETCHES, 1))
         best_v, best_p = np.concatenate([best_v, np.take_along_axis(v, p, 1)], 1), np.concatenate([best_p, p + begin], 1)
-        if best_v.shape[1] > PICKS:
-            keep = np.argpartition(best_v, PICKS - 1, axis=1)[:, :PICKS]
+        if best_v.shape[1] > picks:
+            keep = np.argpartition(best_v, picks - 1, axis=1)[:, :picks]
             best_v, best_p = np.take_along_axis(best_v, keep, 1), np.take_along_axis(best_p, keep, 1)
     picked = s[np.sort(best_p, axis=1)]
-    h = _SEEDS[:, 0].copy()
+    h = words.mix(_SEEDS[:, 0] + np.uint64(picks))
     for i in range(picked.shape[1]):
         h = words.mix(h * np.uint64(0x9E3779B97F4A7C15) + picked[:, i])
     return h.view(np.int64)
 
 
 @arrow_map(pa.list_(pa.int64()))
-def _sketches(text: str) -> list[int]:
+def _text_sketches(text: str) -> list[int]:
     return sketches(labelled(words.shingles(words.word_hashes(text), K))).tolist()
 
 
@@ -206,7 +216,7 @@ def _key(text: Column) -> Column:
 def text_classes(documents: DataFrame) -> DataFrame:
     """One row for each text: key, doc_id (its smallest), rows (with that doc_id), class_id, class_rows, n_links."""
     rows = _keyed(documents)
-    each = rows.select("key", "doc_id", F.char_length("text").alias("n_chars"), _sketches(F.col("text")).alias("sketches"))
+    each = rows.select("key", "doc_id", F.char_length("text").alias("n_chars"), _text_sketches(F.col("text")).alias("sketches"))
     sketched = each.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_chars").alias("n_chars"), F.first("sketches").alias("sketches"))
     sketched = materialise(sketched, "sketches")
     found = links(rows, sketched)
@@ -229,12 +239,13 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     Of several texts of that id the first by digest stays; of equal rows with that id any one.
     """
     classes = text_classes(documents)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("key").alias("mx_key"), F.first("doc_id").alias("mx_id"))
-    kept = materialise(kept.select("mx_key", "mx_id"), "kept")
-    match = (_key(whole_text()) == F.col("mx_key")) & F.col("doc_id").eqNullSafe(F.col("mx_id"))
+    key, of = free_name(documents, "kept_key"), free_name(documents, "kept_id")
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("key").alias(key), F.first("doc_id").alias(of))
+    kept = materialise(kept.select(key, of), "kept")
+    match = (_key(whole_text()) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(of))
     found = documents.join(broadcast_if_small(kept, kept.count(), 48), match)
     # ids that repeat with the same text are rare, and known from ids and digests alone
     again = _keyed(documents).select("key", "doc_id").groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.limit(1).count():
-        found = found.dropDuplicates(["mx_key"])
-    return found.drop("mx_key", "mx_id")
+        found = found.dropDuplicates([key])
+    return found.drop(key, of)

@@ -14,7 +14,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
     """About `rows` labelled texts at most, chosen by a hash of doc_id among the label rows that `keep` admits.
 
     labels is counted first; the share of hashes that is let through follows from the count, so the sample has no
-    preference and its size doesn't grow. without a label are no examples; repeated label rows count once.
+    preference and its size doesn't grow. Rows without a label are no examples; repeated label rows count once.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(keep & F.col("y").isin(0, 1)).distinct()
     total = usable.count()

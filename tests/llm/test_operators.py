@@ -247,6 +247,51 @@ def test_classes_equal_brute_force(docs, monkeypatch, block):
     assert near_duplicates.near_duplicate_classes(docs([])).count() == 0
 
 
+def _shapes(texts):
+    return [near_duplicates.labelled(words.shingles(words.word_hashes(t), near_duplicates.K)) for t in texts]
+
+
+def test_short_texts_that_lack_one_word_are_candidates():
+    for i in range(400):
+        long = [f"t{i}w{n}" for n in range(9)]
+        x, y, z = (near_duplicates.sketches(s).tolist() for s in _shapes([" ".join(long), " ".join(long[:8]), " ".join(long[1:])]))
+        for other in (y, z):
+            assert len(set(x) & set(other)) >= near_duplicates.AGREE
+
+
+@pytest.mark.parametrize("length,edits", [(60, 1), (300, 6)])
+def test_links_along_a_drifting_chain_stay_in_one_cluster(length, edits):
+    """Each text differs a little from the one before; the smallest text of a sketch is another for nearly each sketch."""
+    rng = np.random.default_rng(8)
+    text, texts = [f"w{i}" for i in range(length)], []
+    for n in range(250):
+        texts.append(" ".join(text))
+        for at in rng.integers(0, length, edits):
+            text[at] = f"n{n}x{at}"
+    shapes = _shapes(texts)
+    sketched = [set(near_duplicates.sketches(s).tolist()) for s in shapes]
+    keys = [hashlib.sha256(t.encode()).digest() for t in texts]
+    least = {}
+    for i, own in enumerate(sketched):
+        for sketch in own:
+            least[sketch] = min(least.get(sketch, i), i, key=lambda q: keys[q])
+    parent = list(range(len(texts)))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, own in enumerate(sketched):
+        met = [least[sketch] for sketch in own]
+        for low in set(met):
+            if met.count(low) >= near_duplicates.AGREE:
+                parent[root(i)] = root(low)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, min(i + 6, len(texts)))]
+    linked = [(i, j) for i, j in pairs if near_duplicates.similarity(shapes[i], shapes[j]) >= near_duplicates.SIMILARITY]
+    assert len(linked) >= 200 and all(root(i) == root(j) for i, j in linked)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, "t").collect()}
