@@ -192,7 +192,10 @@ def links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     # blocks of a cluster, by a hash: as many as its rows or characters ask for
     members = clusters.join(sketched.select(F.col("key").alias("node"), "n_chars"), "node")
     sizes = members.groupBy(F.col("component").alias("c")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    members = members.join(sizes, F.col("component") == F.col("c")).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks").cast("int"))
+    # most clusters are one block; the others are few, so that their members needn't meet in a task
+    large = materialise(sizes.where("blocks > 1"), "large")
+    members = members.join(broadcast_if_small(large, large.count(), 40), F.col("component") == F.col("c"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks").cast("int"))
     placed = materialise(members.select(F.col("node").alias("key"), "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate")), "blocks")
     wanted = sketched.select("key", F.col("doc_id").alias("of")).join(placed.select("key").distinct(), "key")
     wanted = broadcast_if_small(wanted.withColumnRenamed("key", "k"), placed.count(), 48)
