@@ -10,7 +10,7 @@ from mnemolake.sources.storage import read_references
 
 def hydrate(memories: DataFrame, base: str | None = None, verify: bool = True) -> DataFrame:
     """(id, content, verified, reason): inline rows have their text's bytes, unverified."""
-    file = F.col("memory_type") == "file"
+    file = F.col("memory_type").eqNullSafe("file")
     inline = memories.where(~file).select("id", F.encode(F.coalesce("fact_text", F.lit("")), "UTF-8").alias("content"), F.lit(False).alias("verified"), F.lit(None).cast("string").alias("reason"))
     return inline.unionByName(read_references(memories.where(file), base, verify))
 

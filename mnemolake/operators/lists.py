@@ -138,5 +138,10 @@ def mirrored_importance() -> Column:
     return F.when(F.col("target") == "user", 0.9).when(F.col("target") == "memory", 0.8).otherwise(0.5)
 
 
+def mirrored_writes(writes: DataFrame) -> DataFrame:
+    """Writes (action, target, ...) made elsewhere with their importance; a removal expires after a second, as nothing is deleted."""
+    return writes.withColumn("importance", mirrored_importance()).withColumn("ttl_seconds", F.when(F.col("action") == "remove", F.lit(1).cast("long")))
+
+
 def search_text_or_empty() -> Column:
     return F.coalesce(non_empty(F.col("fact_text")), non_empty(F.col("fact_summary")), F.lit(""))

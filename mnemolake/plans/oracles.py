@@ -81,4 +81,13 @@ ORACLE_SQL: dict[str, str] = {
     "durable_facts": r"SELECT conv_id, turn, substr(text, 1, 1000) AS fact, 0.6::DOUBLE AS importance FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) WHERE regexp_matches(text, '(?i)(^|[ .,])(the|der|que|la)([ .,]|$)')",
     "turn_rows": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, '') AS fact_text, CASE role WHEN 'user' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS importance, 'turn' AS source FROM conversations WHERE role IN ('user', 'assistant')",
     "hydrate_order": f"WITH {_M} SELECT item_id AS pos, md5(item_id || ':0') AS id, fact_text FROM benchmark LEFT JOIN m ON m.id = md5(item_id || ':0')",
+    "mirrored_writes": "SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'user' WHEN 'view' THEN 'memory' ELSE 'other' END AS target, CASE event_type WHEN 'click' THEN 0.9::DOUBLE WHEN 'view' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS importance, CASE WHEN event_type = 'error' THEN 1::BIGINT END AS ttl_seconds FROM events",
+    "hydrate_inline": f"WITH {_M} SELECT id, sha256(coalesce(fact_text, '')) AS h, false AS verified FROM m",
+    "file_hash": "SELECT page_id, sha256('page_' || page_id || coalesce(':' || url, '') || ':0' || coalesce(':' || strlen(html), '') || ':' || coalesce(sha256(html), '')) AS content_hash FROM pages",
+    "vector_round_trip": "SELECT vec_id, len(v) AS dim, v[1] AS first, v[-1] AS last, list_min(v) AS least, list_max(v) AS most FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+    "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "lifecycle_apply": f"""WITH {_E}, v AS (SELECT memory_id AS id, min(seq) AS seq FROM e GROUP BY 1),
+u AS (SELECT memory_id AS id, seq, CASE event_type WHEN 'purchase' THEN 'READY' WHEN 'signup' THEN 'PROMOTED' END AS state, CASE WHEN event_type = 'error' THEN 1 END AS candidate, occurred_at FROM e),
+l AS (SELECT v.id, arg_max(state, u.seq) FILTER (state IS NOT NULL) AS state, arg_max(candidate, u.seq) FILTER (candidate IS NOT NULL) AS candidate, arg_max(occurred_at, u.seq) AS latest FROM v JOIN u ON u.id = v.id AND u.seq > v.seq GROUP BY v.id)
+SELECT v.id, v.seq, coalesce(state, 'HOT') AS promotion_state, coalesce(candidate, 0) AS promotion_candidate, latest AS updated_at FROM v LEFT JOIN l ON l.id = v.id""",
 }

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemolake.functions.embed import embedding, embedding_buckets
-from mnemolake.functions.exprs import agent_truncate, content_hash, resolve_uri, ttl_live
-from mnemolake.operators import dedup, events, hygiene, lifecycle, lists, search
+from mnemolake.functions.embed import decode_vector, embedding, embedding_buckets, encode_vector
+from mnemolake.functions.exprs import agent_truncate, content_hash, file_hash, resolve_uri, ttl_live
+from mnemolake.operators import dedup, events, hydrate, hygiene, lifecycle, lists, search
 from mnemolake.schema import conform
 from mnemolake.sources import inspectors
+from mnemolake.streaming import event_stream
 
 #: 2024-01-01T02:00:00Z
 NOW = 1704074400
@@ -267,5 +268,40 @@ def q_hydrate_order(s, d):
     return lists.hydrate_order(memories(s, d).select("id", "fact_text"), ids)
 
 
+def q_mirrored_writes(s, d):
+    target = F.when(F.col("event_type") == "click", "user").when(F.col("event_type") == "view", "memory").otherwise("other")
+    writes = event_rows(s, d).select("seq", target.alias("target"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"))
+    return lists.mirrored_writes(writes).select("seq", "target", "importance", "ttl_seconds")
+
+
+def q_hydrate_inline(s, d):
+    nothing = {"source_uri": "string", "byte_offset": "long", "byte_length": "long", "source_checksum": "string"}
+    rows = memories(s, d).select("id", "fact_text", F.lit("fact").alias("memory_type"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
+    return hydrate.hydrate(rows).select("id", F.sha2("content", 256).alias("h"), "verified")
+
+
+def q_file_hash(s, d):
+    key = F.concat(F.lit("page_"), F.col("page_id").cast("string"))
+    return _table(s, d, "pages").select("page_id", file_hash(key, F.col("url"), F.lit(0), F.octet_length("html"), F.sha2("html", 256)).alias("content_hash"))
+
+
+def q_vector_round_trip(s, d):
+    v = _table(s, d, "embeddings").select("vec_id", decode_vector(encode_vector(F.col("embedding"))).alias("v"))
+    ends = (F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"), F.array_min("v").alias("least"), F.array_max("v").alias("most"))
+    return v.select("vec_id", F.size("v").cast("long").alias("dim"), *ends).select("vec_id", "dim", *(F.col(c).cast("double") for c in ("first", "last", "least", "most")))
+
+
+def q_event_windows(s, d):
+    return event_stream.counts_by_window(event_rows(s, d)).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+def q_lifecycle_apply(s, d):
+    e = event_rows(s, d)
+    versions = e.groupBy(F.col("memory_id").alias("id")).agg(F.min("seq").alias("seq")).withColumns({"promotion_state": F.lit("HOT"), "promotion_candidate": F.lit(0), "updated_at": F.lit(None).cast("string")})
+    state = F.when(F.col("event_type") == "purchase", "READY").when(F.col("event_type") == "signup", "PROMOTED")
+    updates = e.select(F.col("memory_id").alias("id"), "seq", state.alias("promotion_state"), F.when(F.col("event_type") == "error", 1).alias("promotion_candidate"), F.col("occurred_at").alias("updated_at"))
+    return lifecycle.apply_updates(versions, updates).select("id", "seq", "promotion_state", "promotion_candidate", "updated_at")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 
