@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemolake.operators.dedup import first_by_hash
@@ -67,12 +66,12 @@ def audit_replay(history: DataFrame, default_actor: str = "imported") -> DataFra
     """The last state of each memory_id of an audit history: identifier, fact_text, created_at.
 
     In order of created_at and id, a deletion ends an epoch; in an epoch the last non-blank text stands, with its actor
-    and time. A memory is given if its last epoch has a text.
+    and time. A memory is given if its last epoch has a text: if its last text isn't before its last deletion. Both are
+    partial aggregates, so a memory of many changes makes no hot window. Of texts at the same place the greatest stands.
     """
-    dead = (F.col("event") == "DELETE") | (F.coalesce(F.col("is_deleted"), F.lit(0)) != 0)
-    order = W.partitionBy("memory_id").orderBy("created_at", "id")
-    rows = history.withColumn("dead", F.coalesce(dead, F.lit(False)))
-    rows = rows.withColumn("epoch", F.sum(F.col("dead").cast("int")).over(order)).withColumn("last_epoch", F.sum(F.col("dead").cast("int")).over(W.partitionBy("memory_id")))
-    texts = rows.where((F.col("epoch") == F.col("last_epoch")) & ~F.col("dead") & F.col("new_memory").rlike(r"(?U)\S"))
-    last = texts.groupBy("memory_id").agg(F.max_by(F.struct("new_memory", "actor_id", "created_at"), F.struct("created_at", "id")).alias("x"))
+    dead = F.coalesce((F.col("event") == "DELETE") | (F.coalesce(F.col("is_deleted"), F.lit(0)) != 0), F.lit(False))
+    place = F.struct("created_at", "id")
+    said = ~dead & F.col("new_memory").rlike(r"(?U)\S")
+    last = history.groupBy("memory_id").agg(F.max(F.when(dead, place)).alias("died"), F.max(F.when(said, F.struct(place.alias("place"), "new_memory", "actor_id", "created_at"))).alias("x"))
+    last = last.where(F.col("x").isNotNull() & (F.col("died").isNull() | (F.col("x.place") >= F.col("died"))))
     return last.select("memory_id", F.coalesce(F.nullif("x.actor_id", F.lit("")), F.lit(default_actor)).alias("identifier"), F.col("x.new_memory").alias("fact_text"), F.col("x.created_at").alias("created_at"))
