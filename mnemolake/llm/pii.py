@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -184,9 +185,11 @@ def find_all(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, lis
     every = {k: list(v) for k, v in base.items()}
     if tape := deobfuscate(text):
         for kind, found in find_base(tape.text).items():
-            taken = sorted(base[kind])
+            # base spans of a kind don't overlap, so only the last one that starts no later can hold a span
+            starts = [s for s, _ in base[kind]]
             for a, b in (tape.source(*x) for x in found):
-                if not any(s <= a and b <= e for s, e in taken):
+                before = bisect_right(starts, a)
+                if not before or b > base[kind][before - 1][1]:
                     every[kind].append((a, b))
             every[kind].sort()
     return base, every
