@@ -11,7 +11,9 @@ A link is a similarity of 0.8 or more. Documents of fewer than five words have o
 How the work is dealt out:
 1. exact copies fall to one row for each text, by digest, combined before the shuffle;
 2. each sketch points at its smallest text; pairs (smallest, other) that agree in AGREE sketches or more link up
-   candidates to clusters, so a hot sketch makes as many rows as it has texts, not pairs;
+   candidates to clusters, so a hot sketch makes as many rows as it has texts, not pairs. Two texts may agree in two
+   sketches of which each has another smallest text; so sketches held by several clusters are looked up once more in
+   twos, and each two points at the smallest cluster that holds both. Any two texts that agree twice end in one cluster;
 3. a cluster is cut into blocks of bounded rows and characters; each pair of blocks is a task. A task counts common
    k-mers of all its pairs at once, aligns pairs that can reach the threshold and aren't linked yet in the task, and
    gives back the links of a spanning forest;
@@ -182,13 +184,29 @@ def _block_task(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], schema=_LINKS)
 
 
+def _met_twice(shared: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Edges (a, b) between clusters, or texts in none, two texts of which agree in two sketches (key, sketch); AGREE is 2."""
+    held = shared.join(clusters, F.col("key") == F.col("node"), "left").select("key", "sketch", F.coalesce("component", "key").alias("of"))
+    # a sketch whose texts are all in one cluster has nothing left to link
+    is_open = held.groupBy("sketch").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select(F.col("sketch").alias("open"))
+    texts = held.join(is_open, F.col("sketch") == F.col("open")).groupBy("key").agg(F.first("of").alias("of"), F.array_sort(F.collect_set("sketch")).alias("s"))
+    twos = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.xxhash64(x, y))))
+    met = texts.where(F.size("s") >= AGREE).select("of", F.explode(twos).alias("two")).distinct()
+    least = met.groupBy("two").agg(F.min("of").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("two").alias("met"), "low")
+    return met.join(least, F.col("two") == F.col("met")).where(F.col("of") != F.col("low")).select(F.col("low").alias("a"), F.col("of").alias("b")).distinct()
+
+
 def links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     """Links (a, b) that span the classes of rows (key, doc_id, text), given (key, n_chars, sketches, one doc_id) of each text."""
     pieces = sketched.select("key", F.explode("sketches").alias("sketch"))
     least = pieces.groupBy("sketch").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("sketch").alias("met"), "low")
-    pairs = pieces.join(least, F.col("sketch") == F.col("met")).where(F.col("key") != F.col("low"))
-    pairs = pairs.groupBy("low", "key").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
+    shared = materialise(pieces.join(least, F.col("sketch") == F.col("met")).select("key", "sketch", "low"), "shared")
+    pairs = shared.where(F.col("key") != F.col("low")).groupBy("low", "key").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
     clusters = components(pairs.select(F.col("low").alias("a"), F.col("key").alias("b")), "clusters")
+    rest = materialise(_met_twice(shared, clusters), "twice")
+    discard(shared)
+    if rest.limit(1).count():
+        clusters = components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "clusters")
     # blocks of a cluster, by a hash: as many as its rows or characters ask for
     members = clusters.join(sketched.select(F.col("key").alias("node"), "n_chars"), "node")
     sizes = members.groupBy(F.col("component").alias("c")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks"))

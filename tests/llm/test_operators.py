@@ -298,6 +298,27 @@ def test_links_along_a_drifting_chain_stay_in_one_cluster(length, edits):
     assert len(linked) >= 200 and all(root(i) == root(j) for i, j in linked)
 
 
+def _mixed_sections(n, copies, sections=14, variants=3, size=30):
+    """n texts of shared sections, and copies of the first ones with one section replaced."""
+    pick = np.random.default_rng(5)
+    pool = [[" ".join(f"s{i}v{v}w{w}" for w in range(size)) for v in range(variants)] for i in range(sections)]
+    own = [[pool[i][v] for i, v in enumerate(pick.integers(0, variants, sections))] for _ in range(n)]
+    for c in range(copies):
+        at = int(pick.integers(0, sections))
+        own.append([*own[c][:at], " ".join(f"new{c}w{w}" for w in range(size)), *own[c][at + 1 :]])
+    return [" ".join(x) for x in own]
+
+
+def test_texts_of_shared_sections_meet_though_no_smallest_text_catches_them_twice(docs):
+    n, copies = 3000, 150
+    texts = _mixed_sections(n, copies)
+    near = [(c, n + c) for c in range(copies) if near_duplicates.similarity(*_shapes([texts[c], texts[n + c]])) >= 0.8]
+    agreeing = [(a, b) for a, b in near if len(set.intersection(*(set(near_duplicates.sketches(s).tolist()) for s in _shapes([texts[a], texts[b]])))) >= near_duplicates.AGREE]
+    assert len(agreeing) > 100
+    classes = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs(list(enumerate(texts)))).collect()}
+    assert [p for p in agreeing if classes[p[0]] != classes[p[1]]] == []
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, "t").collect()}
