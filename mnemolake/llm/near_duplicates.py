@@ -99,7 +99,8 @@ def _text_sketches(text: str) -> list[int]:
 def chain(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> int:
     """The longest common chain of labelled k-mers, both in order, within the band that a similarity of `least` leaves."""
     common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    band = (len(x) + len(y)) * (1 - least) / (1 + least)
+    # a whole number may come out just below itself; a band that is a little wide loses nothing
+    band = (len(x) + len(y)) * (1 - least) / (1 + least) + 1e-6
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
     tails: list[int] = []

@@ -319,6 +319,25 @@ def test_texts_of_shared_sections_meet_though_no_smallest_text_catches_them_twic
     assert [p for p in agreeing if classes[p[0]] != classes[p[1]]] == []
 
 
+def _whole_chain(x, y):
+    """The longest common chain without a band."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        before = row[:]
+        for j, b in enumerate(y):
+            row[j + 1] = before[j] + 1 if a == b else max(before[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 20])
+def test_a_text_without_its_first_words_is_as_near_as_the_whole_chain_says(k):
+    text = [f"k{k}w{i}" for i in range(5 * k + 4)]
+    x, y, z = _shapes([" ".join(text), " ".join(text[k:]), " ".join(text[:-k])])
+    assert near_duplicates.chain(x, y) == _whole_chain(x, y) == near_duplicates.chain(x, z) == 4 * k and near_duplicates.similarity(x, y) == 0.8
+    got = near_duplicates.block_links([(b"a", " ".join(text))], [(b"b", " ".join(text[k:]))])
+    assert got == [(b"a", b"b")]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, "t").collect()}
