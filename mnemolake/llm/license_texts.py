@@ -1,5 +1,7 @@
 """Licence texts and notices that scans look up. Placeholders stand where a text names its holder."""
 
+from importlib.resources import files
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
 _MIT_NOTICE = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
 _MIT_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -59,6 +61,23 @@ Unless required by applicable law or agreed to in writing, software distributed
     ),
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _long_texts() -> tuple[tuple[str, str], ...]:
+    """(licence, whole text) of the files beside this module; those with an appendix after their terms also without it."""
+    out = []
+    for file in sorted(files(__package__).joinpath("known_licenses").iterdir(), key=lambda x: x.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        out.append((name, text))
+        terms, end, _ = text.partition(_END)
+        if end:
+            out += [(name, terms + end), (name, terms)]
+    return tuple(out)
+
+
+#: The long texts of the commonest licences.
+LONG_TEXTS = _long_texts()
 #: (licence, a notice of one line)
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),

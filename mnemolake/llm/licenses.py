@@ -1,8 +1,8 @@
 """License scans: canonical digest lookup.
 
 A text's canonical form has lower-case letters, no copyright lines, one spelling for each of a list of words, and one
-blank for every run of white space and punctuation. Its SHA-256 is hash-joined with the digests of known licences, which
-are fixed and few. The same lookup over a document's single lines finds one-line notices.
+blank for every run of white space and punctuation. Its SHA-256 is hash-joined with the digests of known licences, a
+fixed list and any that the caller has besides. The same lookup over a document's single lines finds one-line notices.
 
 Defined results: null and empty texts have the digest of the empty text and no licence; texts of punctuation or
 copyright lines alone too; equal texts give equal rows; repeated rows each get theirs; several licences of one
@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import whole_text
-from mnemolake.llm.license_texts import NOTICES, TEXTS
+from mnemolake.llm.common import broadcast_if_small, whole_text
+from mnemolake.llm.license_texts import LONG_TEXTS, NOTICES, TEXTS
 
 #: A line that only names who holds copyright; lines end at \n.
 COPYRIGHT_LINE = r"(?m)^[ \t\r*#/;-]*(copyright[ \t:]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*$"
@@ -53,17 +53,25 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
+def known_digests(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS + LONG_TEXTS) -> DataFrame:
     """(known, license): a row for each known digest; as many as the fixed list has."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "i int, name string, text string")
     return rows.groupBy(digest(F.col("text")).alias("known")).agg(F.min_by("name", "i").alias("license"))
 
 
-def scan_licenses(documents: DataFrame) -> DataFrame:
-    """One row for each row of documents: doc_id, digest, license (of the entire text), notices (of lines, sorted), n_notices."""
+def scan_licenses(documents: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """One row for each row of documents: doc_id, digest, license (of the entire text), notices (of lines, sorted), n_notices.
+
+    more has further known texts (license, text); of one digest the fixed list's name stands, else the smallest.
+    """
     spark = documents.sparkSession
     notices = F.create_map(*(x for row in known_digests(spark, NOTICES).collect() for x in (F.lit(row.known), F.lit(row.license))))
     lines = F.filter(F.split(whole_text(), "\n"), lambda x: F.translate(x, _UPPER, _LOWER).rlike("licen[cs]e|released under"))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: notices[digest(x)]), lambda x: x.isNotNull())))
     rows = documents.select("doc_id", digest(whole_text()).alias("digest"), F.array_join(found, ",").alias("notices"), F.size(found).cast("long").alias("n_notices"))
-    return rows.join(F.broadcast(known_digests(spark)), F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "license", "notices", "n_notices")
+    known = F.broadcast(known_digests(spark))
+    if more is not None:
+        own = more.groupBy(digest(whole_text()).alias("known")).agg(F.min("license").alias("license"))
+        known = own.join(known.select("known"), "known", "left_anti").unionByName(known_digests(spark))
+        known = broadcast_if_small(known, known.count(), 96)
+    return rows.join(known, F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "license", "notices", "n_notices")

@@ -4,6 +4,7 @@ import html as entities
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -369,3 +370,16 @@ def test_license_texts_in_other_spellings(docs):
     got = licenses.scan_licenses(docs(rows)).collect()
     assert [(r.doc_id, r.license, r.notices) for r in sorted(got, key=lambda r: (r.doc_id, -r.n_notices))] == [(1, name, ""), (2, name, ""), (3, None, ""), (4, None, ""), (5, None, ""), (6, None, "Apache-2.0,MIT"), (6, None, "")]
     assert licenses.scan_licenses(docs([])).count() == 0
+
+
+def test_whole_long_licenses_and_further_texts(spark, docs):
+    folder = Path("/usr/share/common-licenses")
+    known = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not folder.is_dir():
+        pytest.skip("no standard texts here")
+    texts = {name: (folder / file).read_text() for file, name in known.items()}
+    apache = texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Me").partition("   APPENDIX")[0]
+    rows = [*enumerate(texts.values()), (90, apache), (91, "Our own terms."), (92, "OUR  OWN TERMS")]
+    more = spark.createDataFrame([("Own", "our own terms"), ("Other", texts["GPL-2.0"])], "license string, text string")
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(docs(rows)).collect()} == dict(enumerate(texts)) | {90: "Apache-2.0", 91: None, 92: None}
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(docs(rows), more).collect()} == dict(enumerate(texts)) | {90: "Apache-2.0", 91: "Own", 92: "Own"}
