@@ -86,13 +86,18 @@ _NUMBER = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
 #: Seven spelled digits in a row are a number; "plus" before them is its sign.
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]+)?{_NUMBER}(?:[ ,.-]{{1,3}}{_NUMBER}){{6,}}(?!\w)")
 _SPELLED_PART = re.compile(rf"(?P<plus>plus)|(?P<word>{_NUMBER})|(?P<gap>[ ,.-]+)")
+#: Number words, digits and dot words beside each other, in any mixture, are a candidate; the detectors' own checks decide.
+_DOT_GAP = "(?: +(?:dot|punkt|point|punto) +)"
+_MIXED = re.compile(rf"(?<![\w+])(?:plus[ ,-]+|\+)?(?:{_NUMBER}|[0-9]+)(?:(?:{_DOT_GAP}|[ ,.()/-]{{1,3}})(?:{_NUMBER}|[0-9]+))+(?!\w)")
+_MIXED_PART = re.compile(rf"(?P<dot>{_DOT_GAP})|(?P<plus>plus[ ,-]+)|(?P<word>{_NUMBER})|(?P<digits>[0-9]+)|(?P<gap>[ ,.()/-]+)")
+_DOT_SPOKEN = (" dot ", " punkt ", " point ", " punto ")
 #: A run of numbers has one of these after its first.
 _SPACED = tuple(c + w for w in _DIGIT for c in " ,.-")
 _AT_WORDS, _DOT_WORDS = "at|@|arroba|arobase|klammeraffe", r"dot|\.|punkt|point|punto"
 _AT = re.compile(rf"[ ]*[\[({{<][ ]*(?:{_AT_WORDS})[ ]*[\])}}>][ ]*", re.I)
 _DOT = re.compile(rf"[ ]*[\[({{<][ ]*(?:{_DOT_WORDS})[ ]*[\])}}>][ ]*", re.I)
-#: Without brackets a whole address has to be spelled: name at host dot domain.
-_BARE = re.compile(r"(?<![\w.+%-])[a-z0-9._%+-]+(?P<at> +at +| *@ *)[a-z0-9-]+(?: +dot +[a-z0-9-]+)+", re.I)
+#: Without brackets an address has a spelled dot besides its at; the other dots may be plain.
+_BARE = re.compile(r"(?<![\w.+%-])[a-z0-9._%+-]+(?P<at> +at +| *@ *)[a-z0-9-]+(?:\.[a-z0-9-]+)*(?: +dot +[a-z0-9-]+(?:\.[a-z0-9-]+)*)+|(?<![\w.+%-])[a-z0-9._%+-]+(?P<sign> +@ *| *@ +)[a-z0-9-]+(?:\.[a-z0-9-]+)+", re.I)
 _BARE_PART = re.compile(r"(?P<at> +at +| *@ *)|(?P<dot> +dot +)", re.I)
 
 
@@ -171,7 +176,7 @@ def deobfuscate(text: str) -> Tape | None:
         tape = tape or Tape(text)
         tape.rewrite(kept)
         now = tape.text
-    if " dot " in low or spelled and " dot " in now.lower():
+    if " dot " in low or spelled and " dot " in now.lower() or " @" in now or "@ " in now:
         bare = [(p.start(), p.end(), "@" if p["at"] else ".") for m in _BARE.finditer(now) for p in _BARE_PART.finditer(now, *m.span())]
         if bare:
             tape = tape or Tape(text)
@@ -179,6 +184,46 @@ def deobfuscate(text: str) -> Tape | None:
     return tape
 
 
+def _mixed_tapes(low: str, a: int, b: int) -> Iterator[Tape]:
+    """A run of numbers in two readings of a plain dot beside a number word: a gap like others, and a dot."""
+    parts = list(_MIXED_PART.finditer(low, a, b))
+    if all(p["digits"] or p["gap"] for p in parts) or not any(c.isalpha() for c in low[a:b]):
+        return
+    for dots in (False, True) if "." in low[a:b] else (False,):
+        edits = []
+        for i, p in enumerate(parts):
+            new = "." if p["dot"] else "+" if p["plus"] else _DIGIT[p["word"]] if p["word"] else p[0]
+            if p["gap"] and 0 < i < len(parts) - 1 and (sides := [bool(parts[i + d]["word"]) for d in (-1, 1)]) and any(sides):
+                new = "." if dots and p[0] == "." else "" if all(sides) else " "
+            if new != p[0]:
+                edits.append((p.start() - a, p.end() - a, new))
+        tape = Tape(low[a:b])
+        tape.rewrite(edits)
+        yield tape
+
+
+def mixed_numbers(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Spans of addresses, cards and phones that mix number words, digits and dot words."""
+    out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    outer = None
+    if edits := _fold_edits(text):
+        outer = Tape(text)
+        outer.rewrite(edits)
+    now = outer.text if outer else text
+    low = now.lower()
+    if len(low) != len(now):
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in now)
+    if not any(w in low for w in (*_SPACED, *_DOT_SPOKEN)):
+        return out
+    for run in _MIXED.finditer(low):
+        for tape in _mixed_tapes(low, *run.span()):
+            for kind, found in find_base(tape.text).items():
+                for x in found:
+                    a, b = (run.start() + y for y in tape.source(*x))
+                    out[kind].append(outer.source(a, b) if outer else (a, b))
+    return out
+
+
 def find_all(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """(base spans, base and added spans), by kind and start."""
     base = find_base(text)
@@ -192,6 +237,15 @@ def find_all(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, lis
                 if not before or b > base[kind][before - 1][1]:
                     every[kind].append((a, b))
             every[kind].sort()
+    for kind, found in mixed_numbers(text).items():
+        if found:
+            own, kept, reach = set(base[kind]), [], 0
+            # of added spans one inside another goes; base spans stay
+            for x in sorted({*every[kind], *found}, key=lambda x: (x[0], -x[1])):
+                if x in own or x[1] > reach:
+                    kept.append(x)
+                reach = max(reach, x[1])
+            every[kind] = kept
     return base, every
 
 

@@ -189,6 +189,29 @@ def test_disguises_map_back(text, kind, span):
     assert span in [text[a:b] for a, b in every[kind]]
 
 
+@pytest.mark.parametrize(
+    "text,kind,span",
+    [
+        ("host one nine two dot one six eight dot one dot five is up", "ip", "one nine two dot one six eight dot one dot five"),
+        ("host 192 dot 168 dot 1 dot 5.", "ip", "192 dot 168 dot 1 dot 5"),
+        ("host one nine two.168.one.5", "ip", "one nine two.168.one.5"),
+        ("ring +49 one seven zero 5551234 now", "phone", "+49 one seven zero 5551234"),
+        ("ring plus 49 one seven zero 5551234 now", "phone", "plus 49 one seven zero 5551234"),
+        ("card four one one one 1111 1111 1111, thanks", "card", "four one one one 1111 1111 1111"),
+        ("to joe at mail.ex dot com", "email", "joe at mail.ex dot com"),
+        ("to joe @ ex.com", "email", "joe @ ex.com"),
+    ],
+)
+def test_numbers_that_mix_words_and_digits(text, kind, span):
+    base, every = pii.find_all(text)
+    assert [text[a:b] for a, b in every[kind]] == [span] and pii.mask(text, every) == text.replace(span, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text", ["two or three of the 12 dogs", "one dot two dot three", "three point 5 million 200 people", "four one one one 1111 1111 1112", "one two 300 dot 400 dot 500 dot 600", "look at example.com"])
+def test_numbers_that_no_detector_takes(text):
+    assert not any(pii.find_all(text)[1].values())
+
+
 def test_many_spans_and_one_disguise():
     text = " ".join(f"u{i}@h.example" for i in range(40_000)) + " last [at] h.example"
     base, every = pii.find_all(text)
