@@ -26,7 +26,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
 #: Elements that are never main text.
 DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form frameset head iframe input label map menu nav noframes noscript object option script select style svg template textarea title video".split())
-#: Words in class, id or role of what surrounds an article.
+#: Words in class, id or role of what surrounds an article; a wrapper of the main text that has one stays.
 AROUND = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner billboard breadcrumb breadcrumbs byline-share comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus dialog feedback footer footnav gdpr"
     " login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond rss share sharing shares"
@@ -40,10 +40,10 @@ _TOKEN = re.compile(r"[a-z]+")
 
 
 class _Line:
-    __slots__ = ("path", "links", "tags", "text", "dropped")
+    __slots__ = ("path", "links", "tags", "text", "dropped", "around")
 
-    def __init__(self, text: str, links: int, tags: int, path: tuple, dropped: bool):
-        self.text, self.links, self.tags, self.path, self.dropped = text, links, tags, path, dropped
+    def __init__(self, text: str, links: int, tags: int, path: tuple, dropped: bool, around: tuple):
+        self.text, self.links, self.tags, self.path, self.dropped, self.around = text, links, tags, path, dropped, around
 
 
 class _Reader(HTMLParser):
@@ -53,6 +53,8 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.open: list[tuple[str, bool, int]] = []  # element, whether it starts something dropped, its number
+        self.around: list[tuple[int, bool]] = []  # of the open elements those with a class word of AROUND: number, whether it leads
+        self.holding: set[int] = set()  # of all such elements those that hold an article or a main element
         self.parts: list[str] = []
         self.links = self.tags = self.drop = self.in_link = self.count = 0
 
@@ -64,13 +66,15 @@ class _Reader(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             path = tuple((name, number) for name, _, number in self.open if name in BLOCKS or name == "td")
-            self.lines.append(_Line(text, min(self.links, len(text)), self.tags, path, self.drop > 0))
+            self.lines.append(_Line(text, min(self.links, len(text)), self.tags, path, self.drop > 0, tuple(self.around)))
         if text or self.tags > 50:
             self.tags = 0
         self.parts, self.links = [], 0
 
     def _pop(self) -> None:
-        name, dropping, _ = self.open.pop()
+        name, dropping, number = self.open.pop()
+        if self.around and self.around[-1][0] == number:
+            self.around.pop()
         self.drop -= dropping
         self.in_link -= name == "a"
 
@@ -85,10 +89,14 @@ class _Reader(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        dropping = tag in DROPPED or tag == "header" and not any(x[0] in ("article", "main") for x in self.open) or self._around(tag, attrs)
+        dropping = tag in DROPPED or tag == "header" and not any(x[0] in ("article", "main") for x in self.open) or self._hidden(tag, attrs)
         self.drop += dropping
         self.in_link += tag == "a"
         self.count += 1
+        if tag in ("article", "main"):
+            self.holding.update(number for number, _ in self.around)
+        if (leads := self._around(tag, attrs)) is not None:
+            self.around.append((self.count, leads))
         self.open.append((tag, dropping, self.count))
 
     def _close_open(self, closed: frozenset, limit: frozenset) -> None:
@@ -102,16 +110,29 @@ class _Reader(HTMLParser):
             if name in limit or name in BLOCKS and name not in closed:
                 return
 
-    def _around(self, tag: str, attrs: list) -> bool:
+    def _hidden(self, tag: str, attrs: list) -> bool:
         if tag in _WHOLE and tag != "article":
             return False
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and not AROUND.isdisjoint(_TOKEN.findall(value.lower())):
-                return True
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
         return False
 
+    def _around(self, tag: str, attrs: list) -> bool | None:
+        """Whether a class, id or role starts with a word of AROUND; None where none has such a word. An article's has to."""
+        if tag in _WHOLE and tag != "article":
+            return None
+        found = None
+        for name, value in attrs:
+            if name in ("class", "id", "role") and value:
+                for one in value.lower().split():
+                    tokens = _TOKEN.findall(one)
+                    if tokens and tokens[0] in AROUND:
+                        return True
+                    if tag != "article" and not AROUND.isdisjoint(tokens):
+                        found = False
+        return found
+
     def handle_endtag(self, tag: str) -> None:
         block = tag in BLOCKS
         if block:
@@ -142,12 +163,34 @@ def _smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(edged, kernel / kernel.sum(), mode="valid")
 
 
+def _judge(lines: list[_Line], holding: set[int]) -> None:
+    """Drops the lines inside elements that a class word of AROUND names.
+
+    Such an element stays if it holds most seed text and either an article or main element, or the word doesn't lead.
+    """
+    if not any(x.around for x in lines):
+        return
+    ratios = _ratios(lines)
+    total, held = 0, {}
+    for x, up in zip(lines, ratios >= ratios.std(), strict=True):
+        if up and not x.dropped:
+            total += len(x.text) - x.links
+            for number, _ in x.around:
+                held[number] = held.get(number, 0) + len(x.text) - x.links
+    for x in lines:
+        x.dropped = x.dropped or any(2 * held.get(number, 0) <= total or leads and number not in holding for number, leads in x.around)
+
+
+def _ratios(lines: list[_Line]) -> np.ndarray:
+    return _smooth(np.array([(len(x.text) - x.links) / max(1, x.tags) for x in lines], dtype=np.float64))
+
+
 def _region(lines: list[_Line]) -> list[_Line]:
     """The lines of the selected region."""
     live = [line for line in lines if not line.dropped]
     if not live:
         return []
-    ratios = _smooth(np.array([(len(x.text) - x.links) / max(1, x.tags) for x in lines], dtype=np.float64))
+    ratios = _ratios(lines)
     above = ratios >= ratios.std()
     seeds = [x for x, up in zip(lines, above, strict=True) if up and not x.dropped] or live
     weight = lambda xs: sum(len(x.text) - x.links for x in xs)
@@ -172,8 +215,7 @@ def _region(lines: list[_Line]) -> list[_Line]:
         if best is None or best[0] in ("p", "li", "tr", "td", "pre") or best[0][:1] == "h" and best[0][1:].isdigit() or weight(held[best]) < 0.8 * total:
             break
         chosen, at = best, at + 1
-    within = [x for x in live if not chosen or chosen in x.path]
-    return [x for x in within if x.links <= 0.6 * len(x.text)]
+    return [x for x in live if not chosen or chosen in x.path]
 
 
 def main_text(page: str) -> str:
@@ -181,6 +223,7 @@ def main_text(page: str) -> str:
     reader.feed(page)
     reader.close()
     reader._cut()
+    _judge(reader.lines, reader.holding)
     return "\n".join(line.text for line in _region(reader.lines))
 
 

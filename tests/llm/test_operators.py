@@ -156,6 +156,30 @@ def test_html_main_text(spark):
     assert html.extract_pages(df).count() == 5 and html.main_text("just text") == "just text"
 
 
+_STORY = "<h1>Title</h1>" + "".join(f"<p>Paragraph {i} of a story that is long enough to be read by anyone who likes it.</p>" for i in range(4))
+_TOLD = "\n".join(["Title", *(f"Paragraph {i} of a story that is long enough to be read by anyone who likes it." for i in range(4))])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content-sidebar-wrap'><article>{_STORY}</article></div><div class=sidebar><p>Other</p></div>",
+        f"<body><div class='layout has-sidebar'><main>{_STORY}</main><div class='left-sidebar'><p>Other</p></div></div>",
+        f"<body class=x><div id=no-sidebar><div id=c>{_STORY}</div></div>",
+        f"<body><article class='post category-notices'>{_STORY}<div class='article-comments'><p>me too</p></div></article>",
+        f"<body><div class='sidebar-layout'><article>{_STORY}</article></div>",
+        f"<body><main>{_STORY}<div class=related><article><p>A teaser.</p></article></div></main>",
+        f"<body><main>{_STORY}</main><div class=related><article><p>A teaser.</p></article></div>",
+    ],
+)
+def test_wrappers_named_after_what_surrounds_keep_their_article(page):
+    assert html.main_text(page) == _TOLD
+
+
+def test_article_lines_of_links_stay_without_an_article_element():
+    assert html.main_text(f"<body><div id=c>{_STORY}<p>See <a href=x>the whole report of the committee</a>.</p></div>") == _TOLD + "\nSee the whole report of the committee."
+
+
 # personal data
 
 BASE = {
