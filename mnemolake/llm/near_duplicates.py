@@ -47,12 +47,12 @@ _ODD = (words.mix(_SEEDS) | np.uint64(1)).astype(np.uint64)
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
-    """k-mers with the number of the occurrence mixed in, so that repeats differ."""
+    """k-mers with the number of the occurrence mixed in, so that repeats differ; a first occurrence is the same in every text."""
+    if not len(s):
+        return s
     order = np.argsort(s, kind="stable")
     r = s[order]
-    first = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.zeros(0, bool)
-    if first.all():
-        return s
+    first = np.concatenate([[True], r[1:] != r[:-1]])
     place = np.arange(len(r))
     nth = np.empty(len(r), np.uint64)
     nth[order] = place - np.maximum.accumulate(np.where(first, place, 0))
