@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-#: Rows times bytes up to which a side may be broadcast; above it the join shuffles.
+#: Measured bytes up to which a side may be broadcast; above it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -26,9 +26,11 @@ def whole_text(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. A temporary one stands in for it only where both are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -58,9 +60,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """A broadcast hint where the counted rows prove that the side is small; else the join is left to shuffle."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+def broadcast_bytes(df: DataFrame) -> int:
+    """An upper estimate of what df takes as a broadcast hash table, from its counted rows and the measured lengths of its values.
+
+    A row is held as key and as value, each with 8 bytes a column and 16 more, in a table of up to 64 bytes an entry.
+    """
+    loose = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    if len(loose) < sum(not f.dataType.simpleString() in ("int", "bigint", "boolean", "double") for f in df.schema.fields):
+        raise TypeError("only flat columns can be measured")
+    row = df.agg(F.count("*"), *(F.sum(F.octet_length(c) + 8) for c in loose)).first()
+    return row[0] * (2 * (16 + 8 * len(df.columns)) + 64) + 2 * sum(x or 0 for x in row[1:])
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where df is measured to be small; else the join is left to shuffle. df is read twice, so it should be a table."""
+    return F.broadcast(df) if broadcast_bytes(df) <= BROADCAST_BYTES else df
 
 
 def id_remainder(name: str, modulus: int) -> Column:

@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is two shuffles of the edges; their number grows with the logarithm of the longest chain. Nothing but a
-count and a checksum comes to the driver.
+Each step is two shuffles of the edges; their number grows with the logarithm of the longest chain. A hub, a node of so
+many arcs that one task would feel it, meets its smallest neighbour by broadcast, so that its arcs stay where they lie:
+n edges have at most MOST_HUBS such nodes, as the number of arcs that makes a hub grows with n. The table is final when
+each node points at one that points nowhere. Nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -11,32 +13,52 @@ from pyspark.sql import functions as F
 
 from mnemolake.llm.common import discard, materialise
 
+#: A node with more arcs than this is a hub; where that would allow more hubs than MOST_HUBS (4 MB), the bound is raised.
+HUB_ARCS, MOST_HUBS = 256, 1 << 16
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b) in both directions: the centre is a, its neighbours b."""
+
+def _star(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
+    """One step over edges (a, b), a > b; large: seen from both ends, the centre is a, its neighbours b. hub is None where there are none."""
     arcs = edges if not large else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = arcs.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("arcs"))
     # small: each row is oriented from the larger end; large: every neighbour counts
-    low = arcs.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("centre"), F.least("a", "low").alias("low"))
-    joined = arcs.join(low, F.col("a") == F.col("centre"))
+    least = least.select(F.col("a").alias("centre"), F.least("a", "low").alias("low"), "arcs")
+    met = F.col("a") == F.col("centre")
+    if hub is None:
+        joined = arcs.join(least, met).select("a", "b", "low")
+    else:
+        hubs = F.broadcast(least.where(F.col("arcs") > hub))
+        others = arcs.join(hubs.select("centre"), met, "left_anti").join(least.where(F.col("arcs") <= hub), met)
+        joined = others.select("a", "b", "low").unionByName(arcs.join(hubs, met).select("a", "b", "low"))
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
-        out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("centre", "low"))
+        out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("centre", "low"))
     return out.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _shape(edges: DataFrame) -> tuple[int, int, bool]:
+    """(edges, most arcs of a node, whether each node points at one that points nowhere)."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    row = nodes.agg(F.sum("up"), F.max(F.col("up") + F.col("down")), F.max(F.greatest("up", F.when(F.col("down") > 0, F.col("up") + 1).otherwise(0)))).first()
+    return row[0] or 0, row[1] or 0, (row[2] or 0) <= 1
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """(node, component) for every node of edges (a, b); a component is named by its smallest node."""
+    """(node, component) for every node of edges (a, b); a component is named by its smallest node.
+
+    Loops and repeated edges are as good as none; null ends make no edge; an empty table has no nodes.
+    """
     now = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    state = None
-    while True:
-        then = materialise(_star(_star(now, large=True), large=False), label)
-        # the table is final when each node points at a node that points nowhere, and nothing changed
-        found = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now)
+    n, most, done = _shape(now)
+    while not done:
+        bound = max(HUB_ARCS, -(-2 * n // MOST_HUBS))
+        hub = bound if most > bound else None
+        spread = materialise(_star(now, large=True, hub=hub), label)
+        then = materialise(_star(spread, large=False, hub=hub), label)
+        discard(now, spread)
         now = then
-        if found == state:
-            break
-        state = found
+        n, most, done = _shape(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

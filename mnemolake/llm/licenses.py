@@ -73,5 +73,5 @@ def scan_licenses(documents: DataFrame, more: DataFrame | None = None) -> DataFr
     if more is not None:
         own = more.groupBy(digest(whole_text()).alias("known")).agg(F.min("license").alias("license"))
         known = own.join(known.select("known"), "known", "left_anti").unionByName(known_digests(spark))
-        known = broadcast_if_small(known, known.count(), 96)
+        known = broadcast_if_small(known)
     return rows.join(known, F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "license", "notices", "n_notices")

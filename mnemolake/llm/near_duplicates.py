@@ -2,7 +2,7 @@
 
 Texts are sequences of words; their k-mers are five consecutive words, labelled by occurrence. A sketch is the hash of
 the PICKS labelled k-mers that are smallest under one hash function, in text order, so that equal sketches speak for a
-small edit distance. SKETCHES functions give as many chances; two documents are candidates where they meet often enough.
+small edit distance. SKETCHES functions give as many chances; two texts are candidates where AGREE sketches are equal.
 
 The similarity of two texts is m / (x + y - m), x and y their k-mers and m the longest chain of equal labelled k-mers in
 the order of both, found by an alignment inside the band that the threshold allows. Its complement is a metric.
@@ -10,14 +10,17 @@ A link is a similarity of 0.8 or more. Documents of fewer than five words have o
 
 How the work is dealt out:
 1. exact copies fall to one row for each text, by digest, combined before the shuffle;
-2. each sketch points at its smallest text; pairs (smallest, other) that agree in AGREE sketches or more link up
-   candidates to clusters, so a hot sketch makes as many rows as it has texts, not pairs. Two texts may agree in two
-   sketches of which each has another smallest text; so sketches held by several clusters are looked up once more in
-   twos, and each two points at the smallest cluster that holds both. Any two texts that agree twice end in one cluster;
-3. a cluster is cut into blocks of bounded rows and characters; each pair of blocks is a task. A task counts common
-   k-mers of all its pairs at once, aligns pairs that can reach the threshold and aren't linked yet in the task, and
-   gives back the links of a spanning forest;
-4. components of the links are the classes.
+2. a star round: each text is aligned with one text only, the one that leads most of its sketches. A family of near
+   copies falls together so, each text shipped once, a hot leader in parts of bounded rows and bytes;
+3. sketches whose texts are all in one component are closed. What is left are texts with AGREE open sketches; pairs
+   (leader, other) link them up to clusters, and sketches held by several clusters are looked up once more in twos, so
+   that any two texts that agree twice are in one cluster. While a cluster is larger than a block and the last round
+   linked a good part, another star round with other leaders goes first;
+4. the texts of a cluster are cut into blocks by length, and pairs of blocks that a link can join are tasks: not those
+   whose lengths are too far apart, nor those inside one component. A task counts common k-mers of all its pairs at
+   once, aligns those that can reach the threshold and aren't linked yet, and gives back the links of a spanning forest;
+5. components of the links are the classes.
+No candidate pair is left out: what the star rounds don't settle the blocks do. What travels are k-mers, made once.
 
 Defined results: a null text is the empty text; texts without words are alike only if equal; rows are copies if their
 texts are equal, whatever their ids; a class is named by its smallest doc_id (null only if all are); an empty table
@@ -39,8 +42,10 @@ from mnemolake.llm.components import components
 
 K, SIMILARITY = 5, 0.8
 SKETCHES, PICKS, AGREE = 32, 4, 2
-#: A block of a cluster holds about so many texts or characters; a longer text is a block of its own.
-BLOCK_ROWS, BLOCK_CHARS = 768, 6 << 20
+#: A block of a cluster holds about so many texts or k-mers; a longer text is a block of its own.
+BLOCK_ROWS, BLOCK_KMERS = 768, 1 << 20
+#: A star round goes on while it links at least this share of the texts that it has; the blocks do the rest.
+GOOD_ROUND = 0.25
 _CHUNK = 1 << 15
 _SEEDS = words.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))[:, None]
 _ODD = (words.mix(_SEEDS) | np.uint64(1)).astype(np.uint64)
@@ -59,6 +64,11 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return words.mix(s + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
+def kmers(text: str) -> np.ndarray:
+    """The labelled k-mers of a text in order."""
+    return labelled(words.shingles(words.word_hashes(text), K))
+
+
 def sketches(s: np.ndarray) -> np.ndarray:
     """SKETCHES hashes of PICKS labelled k-mers in text order; none of an empty text.
 
@@ -93,7 +103,12 @@ def _sketches_of(s: np.ndarray, picks: int) -> np.ndarray:
 
 @arrow_map(pa.list_(pa.int64()))
 def _text_sketches(text: str) -> list[int]:
-    return sketches(labelled(words.shingles(words.word_hashes(text), K))).tolist()
+    return sketches(kmers(text)).tolist()
+
+
+@arrow_map(pa.binary())
+def _text_kmers(text: str) -> bytes:
+    return kmers(text).tobytes()
 
 
 def chain(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> int:
@@ -142,20 +157,22 @@ def _common(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(left: list[tuple[bytes, str]], right: list[tuple[bytes, str]] | None) -> list[tuple[bytes, bytes]]:
-    """Links of a spanning forest of the pairs between two blocks, or within one (right is None)."""
-    kmers = [[labelled(words.shingles(words.word_hashes(t), K)) for _, t in side] for side in (left, right or [])]
-    keys = [k for k, _ in left] + [k for k, _ in right or []]
-    shapes = kmers[0] + kmers[1]
-    other = kmers[1] if right is not None else kmers[0]
+def block_links(left: list[tuple], right: list[tuple] | None) -> list[tuple[bytes, bytes]]:
+    """Links of a spanning forest of the pairs between two blocks, or within one (right is None).
+
+    A text is (key, component, labelled k-mers); texts of one component need no link.
+    """
+    rows, cols = ([x for _, _, x in side] for side in (left, left if right is None else right))
+    texts = left + (right or [])
     shift = len(left) if right is not None else 0
-    common = _common(kmers[0], other)
-    n, m = np.array([len(x) for x in kmers[0]], np.float32)[:, None], np.array([len(x) for x in other], np.float32)[None, :]
+    common = _common(rows, cols)
+    n, m = np.array([len(x) for x in rows], np.float32)[:, None], np.array([len(x) for x in cols], np.float32)[None, :]
     able = (common > 0) & (common >= np.float32(SIMILARITY / (1 + SIMILARITY)) * (n + m) - 0.01)
     if right is None:
         able = np.triu(able, 1)
     i, j = np.nonzero(able)
-    parent = list(range(len(shapes)))
+    leads: dict[bytes, int] = {}
+    parent = [leads.setdefault(of, at) for at, (_, of, _) in enumerate(texts)]
 
     def root(a: int) -> int:
         while parent[a] != a:
@@ -167,66 +184,166 @@ def block_links(left: list[tuple[bytes, str]], right: list[tuple[bytes, str]] |
     # the most alike first: they link most, and what is linked needs no alignment
     for q in np.argsort(-(common[i, j] / (n[i, 0] + m[0, j])), kind="stable").tolist():
         a, b = int(i[q]), int(j[q]) + shift
-        if root(a) != root(b) and similarity(shapes[a], shapes[b]) >= SIMILARITY:
+        if root(a) != root(b) and similarity(texts[a][2], texts[b][2]) >= SIMILARITY:
             parent[root(a)] = root(b)
-            links.append((keys[a], keys[b]))
+            links.append((texts[a][0], texts[b][0]))
     return links
 
 
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _block_task(table: pa.Table) -> pa.Table:
-    left, right, diagonal = [], [], False
-    for key, side, same, text in zip(*(table.column(c) for c in ("key", "side", "same", "text")), strict=True):
-        (right if side.as_py() else left).append((key.as_py(), text.as_py()))
-        diagonal = same.as_py()
-    links = block_links(sorted(left), None if diagonal else sorted(right))
+def _texts(table: pa.Table) -> list[tuple]:
+    """(key, component, labelled k-mers, whether on the other side) of each row, by key; views of the table's bytes."""
+    columns = (table.column(c).to_pylist() for c in ("key", "of", "kmers", "side"))
+    return sorted(((k, of, np.frombuffer(x, np.uint64), side) for k, of, x, side in zip(*columns, strict=True)), key=lambda x: x[0])
+
+
+def _linked(links: list[tuple[bytes, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], schema=_LINKS)
 
 
-def _met_twice(shared: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Edges (a, b) between clusters, or texts in none, two texts of which agree in two sketches (key, sketch); AGREE is 2."""
-    held = shared.join(clusters, F.col("key") == F.col("node"), "left").select("key", "sketch", F.coalesce("component", "key").alias("of"))
-    # a sketch whose texts are all in one cluster has nothing left to link
+def _block_task(table: pa.Table) -> pa.Table:
+    texts = _texts(table)
+    left, right = ([x[:3] for x in texts if x[3] == side] for side in (False, True))
+    return _linked(block_links(left, None if table.column("same")[0].as_py() else right))
+
+
+def _star_task(table: pa.Table) -> pa.Table:
+    """Links of the leader (side is true) with the others; a part of a star always has its leader."""
+    texts = _texts(table)
+    lead, _, shape, _ = next(x for x in texts if x[3])
+    return _linked([(lead, k) for k, _, x, side in texts if not side and similarity(shape, x) >= SIMILARITY])
+
+
+def _parts(rows: Column, n_kmers: Column) -> Column:
+    """Into how many parts of bounded rows and k-mers a group is cut."""
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n_kmers / BLOCK_KMERS), F.lit(1)).cast("int")
+
+
+def _led(held: DataFrame, turn: int) -> DataFrame:
+    """held (key, of, sketch) with the leader of each sketch, which another turn chooses anew; where a sketch has one text, no row."""
+    rank = F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "of")
+    least = held.groupBy("sketch").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = least.select(F.col("sketch").alias("met"), F.col("least.key").alias("low"), F.col("least.of").alias("low_of"))
+    return held.join(least, F.col("sketch") == F.col("met")).select("key", "of", "sketch", "low", "low_of")
+
+
+def _star_links(led: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Links of texts with the one leader that most of their sketches have, at least AGREE, and that isn't in their component."""
+    votes = led.where(F.col("of") != F.col("low_of")).groupBy("key", "low").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
+    star = materialise(votes.groupBy("key").agg(F.max(F.struct("n", "low"))["low"].alias("low")), "star")
+    sizes = star.join(shapes.select("key", "n_kmers"), "key").groupBy("low").agg(_parts(F.count("*"), F.sum("n_kmers")).alias("parts"))
+    sizes = materialise(sizes, "sizes")
+    # most stars are one part; the others are few, so that their texts needn't meet in a task
+    large = sizes.where("parts > 1").select(F.col("low").alias("l"), "parts")
+    split = F.pmod(F.xxhash64(F.lit("part"), "key"), F.coalesce("parts", F.lit(1))).cast("int")
+    others = star.join(broadcast_if_small(large), F.col("low") == F.col("l"), "left").select("key", "low", split.alias("part"), F.lit(False).alias("side"))
+    leads = sizes.select(F.col("low").alias("key"), "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("side"))
+    dealt = others.unionByName(leads).join(shapes.select("key", "kmers"), "key").withColumn("of", F.col("key"))
+    found = materialise(dealt.groupBy("low", "part").applyInArrow(_star_task, "a binary, b binary"), "links")
+    discard(star, sizes)
+    return found
+
+
+def _open(shared: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, of, sketch) of the sketches whose texts are in several components, for texts that have AGREE such sketches."""
+    held = shared.join(named, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("of"), "sketch")
     is_open = held.groupBy("sketch").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select(F.col("sketch").alias("open"))
-    texts = held.join(is_open, F.col("sketch") == F.col("open")).groupBy("key").agg(F.first("of").alias("of"), F.array_sort(F.collect_set("sketch")).alias("s"))
+    texts = held.join(is_open, F.col("sketch") == F.col("open")).groupBy("key").agg(F.first("of").alias("of"), F.collect_set("sketch").alias("s"))
+    return texts.where(F.size("s") >= AGREE).select("key", "of", F.explode("s").alias("sketch"))
+
+
+def _met_twice(held: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Edges (a, b) between clusters, or texts in none, two texts of which agree in two sketches of held (key, sketch); AGREE is 2."""
+    texts = _open(held.select("key", "sketch"), clusters).groupBy("key").agg(F.first("of").alias("of"), F.array_sort(F.collect_set("sketch")).alias("s"))
     twos = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.xxhash64(x, y))))
-    met = texts.where(F.size("s") >= AGREE).select("of", F.explode(twos).alias("two")).distinct()
+    met = texts.select("of", F.explode(twos).alias("two")).distinct()
     least = met.groupBy("two").agg(F.min("of").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("two").alias("met"), "low")
     return met.join(least, F.col("two") == F.col("met")).where(F.col("of") != F.col("low")).select(F.col("low").alias("a"), F.col("of").alias("b")).distinct()
 
 
-def links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Links (a, b) that span the classes of rows (key, doc_id, text), given (key, n_chars, sketches, one doc_id) of each text."""
-    pieces = sketched.select("key", F.explode("sketches").alias("sketch"))
-    least = pieces.groupBy("sketch").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("sketch").alias("met"), "low")
-    shared = materialise(pieces.join(least, F.col("sketch") == F.col("met")).select("key", "sketch", "low"), "shared")
-    pairs = shared.where(F.col("key") != F.col("low")).groupBy("low", "key").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
+def _clusters(led: DataFrame) -> DataFrame:
+    """(node, component): any two texts that agree twice are in one component."""
+    pairs = led.where(F.col("key") != F.col("low")).groupBy("low", "key").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
     clusters = components(pairs.select(F.col("low").alias("a"), F.col("key").alias("b")), "clusters")
-    rest = materialise(_met_twice(shared, clusters), "twice")
-    discard(shared)
-    if rest.limit(1).count():
+    rest = materialise(_met_twice(led, clusters), "twice")
+    if not rest.isEmpty():
         clusters = components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "clusters")
-    # blocks of a cluster, by a hash: as many as its rows or characters ask for
-    members = clusters.join(sketched.select(F.col("key").alias("node"), "n_chars"), "node")
-    sizes = members.groupBy(F.col("component").alias("c")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    # most clusters are one block; the others are few, so that their members needn't meet in a task
-    large = materialise(sizes.where("blocks > 1"), "large")
-    members = members.join(broadcast_if_small(large, large.count(), 40), F.col("component") == F.col("c"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks").cast("int"))
-    placed = materialise(members.select(F.col("node").alias("key"), "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate")), "blocks")
-    wanted = sketched.select("key", F.col("doc_id").alias("of")).join(placed.select("key").distinct(), "key")
-    wanted = broadcast_if_small(wanted.withColumnRenamed("key", "k"), placed.count(), 48)
-    held = rows.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("of"))).groupBy("key").agg(F.first("text").alias("text"))
-    dealt = placed.join(held, "key").select(
-        "key", "text", "component", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), (F.col("own") > F.col("mate")).alias("side"), (F.col("own") == F.col("mate")).alias("same")
-    )
-    found = materialise(dealt.groupBy("component", "i", "j").applyInArrow(_block_task, "a binary, b binary"), "links")
-    discard(placed)
+    discard(rest)
+    return clusters
+
+
+def _block_links(members: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Links between texts of different components (of) in each cluster of members (cluster, key, of, n_kmers)."""
+    # lengths of two linked texts are at most a factor of 1 / SIMILARITY apart, so their steps are equal or neighbours
+    step = F.floor(F.log(F.col("n_kmers")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
+    members = members.withColumn("step", step)
+    # a component larger than a block has blocks of its own, which are never compared with each other
+    own = members.groupBy("cluster", "step", F.col("of").alias("big")).agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK_ROWS).drop("rows")
+    own = materialise(own.withColumnRenamed("cluster", "c").withColumnRenamed("step", "s"), "large")
+    members = members.join(broadcast_if_small(own), (F.col("cluster") == F.col("c")) & (F.col("step") == F.col("s")) & (F.col("of") == F.col("big")), "left").drop("c", "s")
+    members = members.withColumn("big", F.coalesce("big", F.lit(b"")))
+    sizes = members.groupBy("cluster", "step", "big").agg(_parts(F.count("*"), F.sum("n_kmers")).alias("parts"))
+    sizes = materialise(sizes, "sizes")
+    large = sizes.where("parts > 1").select(F.col("cluster").alias("c"), F.col("step").alias("s"), F.col("big").alias("l"), "parts")
+    placed = members.join(broadcast_if_small(large), (F.col("cluster") == F.col("c")) & (F.col("step") == F.col("s")) & (F.col("big") == F.col("l")), "left")
+    part = F.pmod(F.xxhash64(F.lit("block"), "key"), F.coalesce("parts", F.lit(1))).cast("int")
+    placed = materialise(placed.select("cluster", "key", "of", F.struct("step", "big", part.alias("part")).alias("block")), "blocks")
+    blocks = sizes.select("cluster", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct("step", "big", p.alias("part")))).alias("block"))
+    one, two = blocks.select(F.col("cluster").alias("c"), F.col("block").alias("i")), blocks.select(F.col("cluster").alias("d"), F.col("block").alias("j"))
+    apart = (F.col("j.step") - F.col("i.step") > 1) | ((F.col("i.big") == F.col("j.big")) & (F.col("i.big") != F.lit(b"")))
+    tasks = materialise(one.join(two, (F.col("c") == F.col("d")) & (F.col("i") <= F.col("j"))).where(~apart).select("c", "i", "j"), "tasks")
+    sides = [placed.join(tasks, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col(at))).select("key", "of", "c", "i", "j", F.lit(at == "j").alias("side")) for at in "ij"]
+    dealt = sides[0].unionByName(sides[1].where("i != j")).join(shapes.select("key", "kmers"), "key").withColumn("same", F.col("i") == F.col("j"))
+    found = materialise(dealt.groupBy("c", "i", "j").applyInArrow(_block_task, "a binary, b binary"), "links")
+    discard(own, sizes, placed, tasks)
     return found
 
 
+def links(rows: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that span the classes of rows (key, doc_id, text), given (key, doc_id, sketches) of each text; and those classes (node, component)."""
+    pieces = sketched.select("key", F.explode("sketches").alias("sketch"))
+    met = pieces.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sketch").alias("met"))
+    shared = pieces.join(met, F.col("sketch") == F.col("met"), "left_semi").groupBy("key").agg(F.collect_set("sketch").alias("s")).where(F.size("s") >= AGREE)
+    shared = materialise(shared, "shared")
+    wanted = materialise(sketched.select(F.col("key").alias("k"), F.col("doc_id").alias("of")).join(shared.select(F.col("key").alias("k")), "k"), "wanted")
+    shapes = rows.join(broadcast_if_small(wanted), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    # of rows that repeat with their id any one does
+    shapes = shapes.select("key", _text_kmers(F.col("text")).alias("kmers")).groupBy("key").agg(F.first("kmers").alias("kmers"))
+    shapes = materialise(shapes.withColumn("n_kmers", F.length("kmers") / 8), "shapes")
+    discard(wanted)
+    held = shared.select("key", F.col("key").alias("of"), F.explode("s").alias("sketch"))
+    every, named, turn = [], None, 0
+    while True:
+        found = _star_links(_led(held, turn), shapes)
+        linked, texts = found.count(), held.select("key").distinct().count()
+        if every:
+            discard(held)
+        every.append(found)
+        edges = found if named is None else found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        named, turn = components(edges, "named"), turn + 1
+        held = materialise(_open(shared.select("key", F.explode("s").alias("sketch")), named), "open")
+        if held.isEmpty():
+            break
+        clusters = _clusters(_led(held, turn))
+        members = clusters.join(held.select("key", "of").distinct(), F.col("node") == F.col("key")).join(shapes.select("key", "n_kmers"), "key")
+        members = materialise(members.select(F.col("component").alias("cluster"), "key", "of", "n_kmers"), "members")
+        largest = members.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= BLOCK_ROWS or linked < GOOD_ROUND * texts:
+            found = _block_links(members, shapes)
+            every.append(found)
+            named = components(found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))), "named")
+            discard(members, held)
+            break
+        discard(members)
+    discard(shared, shapes)
+    spanning = every[0]
+    for more in every[1:]:
+        spanning = spanning.unionByName(more)
+    return spanning, named
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", whole_text().alias("text")).withColumn("key", _key(F.col("text")))
 
@@ -238,19 +355,18 @@ def _key(text: Column) -> Column:
 def text_classes(documents: DataFrame) -> DataFrame:
     """One row for each text: key, doc_id (its smallest), rows (with that doc_id), class_id, class_rows, n_links."""
     rows = _keyed(documents)
-    each = rows.select("key", "doc_id", F.char_length("text").alias("n_chars"), _text_sketches(F.col("text")).alias("sketches"))
-    sketched = each.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_chars").alias("n_chars"), F.first("sketches").alias("sketches"))
+    each = rows.select("key", "doc_id", _text_sketches(F.col("text")).alias("sketches"))
+    sketched = each.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches"))
     sketched = materialise(sketched, "sketches")
-    found = links(rows, sketched)
-    named = components(found, "classes").withColumnRenamed("node", "key")
-    labels = sketched.select("key", "doc_id", "copies").join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    found, named = links(rows, sketched)
+    labels = sketched.select("key", "doc_id", "copies").join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     classes = labels.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_rows"))
     return labels.join(classes, "component").join(degree, "key", "left").select("key", "doc_id", "component", "class_id", "class_rows", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_duplicate_classes(documents: DataFrame) -> DataFrame:
-    """One row for each row of documents: doc_id, class_id, class_rows, n_links (of its text, in a spanning forest)."""
+    """One row for each row of documents: doc_id, class_id, class_rows, n_links (of its text, among links that span its class)."""
     classes = text_classes(documents).select("key", "class_id", "class_rows", "n_links")
     return _keyed(documents).select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "class_rows", "n_links")
 
@@ -265,7 +381,7 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("key").alias(key), F.first("doc_id").alias(of))
     kept = materialise(kept.select(key, of), "kept")
     match = (_key(whole_text()) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(of))
-    found = documents.join(broadcast_if_small(kept, kept.count(), 48), match)
+    found = documents.join(broadcast_if_small(kept), match)
     # ids that repeat with the same text are rare, and known from ids and digests alone
     again = _keyed(documents).select("key", "doc_id").groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.limit(1).count():

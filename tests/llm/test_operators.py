@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 pytest.importorskip("mnemolake.llm")
 
-from mnemolake.llm import chat, components, decontaminate, html, licenses, media, mixing, near_duplicates, pii, quality, toxicity, words  # noqa: E402
+from mnemolake.llm import chat, common, components, decontaminate, html, licenses, media, mixing, near_duplicates, pii, quality, toxicity, words  # noqa: E402
 from mnemolake.llm.license_texts import TEXTS  # noqa: E402
 from tests.oracle import DATA  # noqa: E402
 
@@ -253,9 +253,43 @@ def test_pii_rows(docs):
 # near duplicates
 
 
+def plain_kmers(text):
+    """(k-mer, how often it came before) in order, written without the operator."""
+    w, seen, out = plain_words(text), {}, []
+    for i in range(max(1, len(w) - 4) if w else 0):
+        kmer = tuple(w[i : i + 5])
+        out.append((kmer, seen.get(kmer, 0)))
+        seen[kmer] = seen.get(kmer, 0) + 1
+    return out
+
+
+def plain_similarity(x, y):
+    """Of two plain_kmers; the longest common chain without a band, by its smallest ends."""
+    at, ends = {k: i for i, k in enumerate(y)}, []
+    for p in (at[k] for k in x if k in at):
+        where = next((i for i, e in enumerate(ends) if e >= p), len(ends)) if not ends or p <= ends[-1] else len(ends)
+        ends[where : where + 1] = [p]
+    return len(ends) / (len(x) + len(y) - len(ends)) if x or y else 0.0
+
+
+def brute_links(texts):
+    """Pairs of places in texts that are links; pairs that share no k-mer aren't looked at."""
+    shapes, holders, links = [plain_kmers(t) for t in texts], {}, []
+    for i, shape in enumerate(shapes):
+        common = {}
+        for k in shape:
+            for j in holders.setdefault(k, []):
+                common[j] = common.get(j, 0) + 1
+            holders[k].append(i)
+        for j, n in common.items():
+            total = len(shape) + len(shapes[j])
+            if n / (total - n) >= 0.8 and plain_similarity(shape, shapes[j]) >= 0.8:
+                links.append((j, i))
+    return links
+
+
 def brute_classes(rows):
     texts = sorted({t or "" for _, t, *_ in rows})
-    shapes = {t: near_duplicates.labelled(words.shingles(words.word_hashes(t), 5)) for t in texts}
     parent = {t: t for t in texts}
 
     def root(t):
@@ -263,10 +297,8 @@ def brute_classes(rows):
             t = parent[t]
         return t
 
-    for i, a in enumerate(texts):
-        for b in texts[:i]:
-            if near_duplicates.similarity(shapes[a], shapes[b]) >= 0.8:
-                parent[root(a)] = root(b)
+    for i, j in brute_links(texts):
+        parent[root(texts[i])] = root(texts[j])
     ids = {}
     for i, t, *_ in rows:
         if i is not None:
@@ -290,6 +322,9 @@ def test_classes_equal_brute_force(docs, monkeypatch, block):
         base = [f"g{g}w{i}" for i in range(150)]
         rows += [(100 * (g + 1) + n, edited(rng, base, int(rng.integers(0, 6)))) for n in range(18)]
         rows += [(100 * (g + 1) + 50 + n, " ".join(base)) for n in range(3)]
+    for g in (5, 6):  # some texts of a family repeat five or more words
+        base = [f"g{g}w{i}" for i in range(60)]
+        rows += [(100 * g + n, edited(rng, base, n % 3) + (" " + " ".join(base[4 : 10 + n]) if n % 2 else "")) for n in range(6)]
     shared = [f"s{i}" for i in range(40)]
     rows += [(900 + n, " ".join(shared) + " " + " ".join(f"o{n}x{i}" for i in range(30))) for n in range(20)]
     df = docs(rows)
@@ -302,7 +337,41 @@ def test_classes_equal_brute_force(docs, monkeypatch, block):
 
 
 def _shapes(texts):
-    return [near_duplicates.labelled(words.shingles(words.word_hashes(t), near_duplicates.K)) for t in texts]
+    return [near_duplicates.kmers(t) for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+def test_similarity_equals_independent_labels(x, y):
+    x, y = " ".join(x), " ".join(y)
+    one, two = _shapes([x, y])
+    assert len(set(one.tolist()) & set(two.tolist())) == len(set(plain_kmers(x)) & set(plain_kmers(y)))
+    want = plain_similarity(plain_kmers(x), plain_kmers(y))
+    got = near_duplicates.similarity(one, two)
+    assert got == want if want >= 0.8 else got <= want
+
+
+def test_a_text_that_repeats_words_meets_one_that_does_not():
+    plain = " ".join(f"w{i}" for i in range(200))
+    again = plain + " " + " ".join(f"w{i}" for i in range(5))
+    x, y = _shapes([plain, again])
+    assert near_duplicates.similarity(x, y) == plain_similarity(plain_kmers(plain), plain_kmers(again)) > 0.97
+    assert len(set(near_duplicates.sketches(x).tolist()) & set(near_duplicates.sketches(y).tolist())) > 20
+
+
+@pytest.mark.parametrize("block", [near_duplicates.BLOCK_ROWS, 16])
+def test_no_link_is_lost_in_families(docs, monkeypatch, block):
+    """Families whose texts drift apart, of several lengths; some small blocks, so that further star rounds and components of their own blocks are met."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(17)
+    texts = []
+    for g, (size, n, most) in enumerate([(40, 60, 4), (120, 120, 9), (400, 50, 30), (9, 30, 2)]):
+        base = [f"f{g}w{i}" for i in range(size)]
+        texts += [edited(rng, base, int(rng.integers(0, most))) for _ in range(n)]
+        texts += [edited(rng, base[: int(size * share)], 1) for share in (0.95, 0.85, 0.75, 0.6, 0.5)]
+    texts = sorted(set(texts))
+    got = near_duplicates.near_duplicate_classes(docs(list(enumerate(texts)))).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == brute_classes(list(enumerate(texts)))
 
 
 def test_short_texts_that_lack_one_word_are_candidates():
@@ -360,7 +429,7 @@ def _mixed_sections(n, copies, sections=14, variants=3, size=30):
 def test_texts_of_shared_sections_meet_though_no_smallest_text_catches_them_twice(docs):
     n, copies = 3000, 150
     texts = _mixed_sections(n, copies)
-    near = [(c, n + c) for c in range(copies) if near_duplicates.similarity(*_shapes([texts[c], texts[n + c]])) >= 0.8]
+    near = [(c, n + c) for c in range(copies) if plain_similarity(plain_kmers(texts[c]), plain_kmers(texts[n + c])) >= 0.8]
     agreeing = [(a, b) for a, b in near if len(set.intersection(*(set(near_duplicates.sketches(s).tolist()) for s in _shapes([texts[a], texts[b]])))) >= near_duplicates.AGREE]
     assert len(agreeing) > 100
     classes = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs(list(enumerate(texts)))).collect()}
@@ -382,7 +451,7 @@ def test_a_text_without_its_first_words_is_as_near_as_the_whole_chain_says(k):
     text = [f"k{k}w{i}" for i in range(5 * k + 4)]
     x, y, z = _shapes([" ".join(text), " ".join(text[k:]), " ".join(text[:-k])])
     assert near_duplicates.chain(x, y) == _whole_chain(x, y) == near_duplicates.chain(x, z) == 4 * k and near_duplicates.similarity(x, y) == 0.8
-    got = near_duplicates.block_links([(b"a", " ".join(text))], [(b"b", " ".join(text[k:]))])
+    got = near_duplicates.block_links([(b"a", b"a", x)], [(b"b", b"b", y)])
     assert got == [(b"a", b"b")]
 
 
@@ -392,6 +461,30 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ARCS", 3)
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 150, (60, 2))] + [(77, 200 + i) for i in range(40)] + [(500, 300 + i) for i in range(40)]
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long"), "t").collect()}
+    assert got == {x: root(x) for p in pairs for x in p if any(x in q and q[0] != q[1] for q in pairs)}
+    assert components.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_broadcasts_are_measured(spark):
+    df = spark.range(1000).selectExpr("id", "repeat('x', 1000) AS s")
+    assert common.broadcast_bytes(df) > 1000 * 2000 and common.broadcast_bytes(df.limit(0)) == 0
+
+
 # classifiers
 
 
