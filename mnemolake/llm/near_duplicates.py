@@ -46,7 +46,8 @@ SKETCHES, PICKS, AGREE = 32, 4, 2
 BLOCK_ROWS, BLOCK_KMERS = 768, 1 << 20
 #: A star round goes on while it links at least this share of the texts that it has; the blocks do the rest.
 GOOD_ROUND = 0.25
-_CHUNK = 1 << 15
+_CHUNK = 1 << 13
+_LARGEST = np.uint64((1 << 64) - 1)
 _SEEDS = words.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))[:, None]
 _ODD = (words.mix(_SEEDS) | np.uint64(1)).astype(np.uint64)
 
@@ -88,9 +89,10 @@ def _sketches_of(s: np.ndarray, picks: int) -> np.ndarray:
     for begin in range(0, len(s), _CHUNK):
         v = (s[None, begin : begin + _CHUNK] ^ _SEEDS) * _ODD
         v ^= v >> np.uint64(29)
-        n = min(picks, v.shape[1])
-        p = np.argpartition(v, n - 1, axis=1)[:, :n] if v.shape[1] > n else np.tile(np.arange(n), (SKETCHES, 1))
-        best_v, best_p = np.concatenate([best_v, np.take_along_axis(v, p, 1)], 1), np.concatenate([best_p, p + begin], 1)
+        for _ in range(min(picks, v.shape[1])):
+            p = v.argmin(axis=1)[:, None]
+            best_v, best_p = np.concatenate([best_v, np.take_along_axis(v, p, 1)], 1), np.concatenate([best_p, p + begin], 1)
+            np.put_along_axis(v, p, _LARGEST, 1)
         if best_v.shape[1] > picks:
             keep = np.argpartition(best_v, picks - 1, axis=1)[:, :picks]
             best_v, best_p = np.take_along_axis(best_v, keep, 1), np.take_along_axis(best_p, keep, 1)
