@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.work import discard, materialise
+
 
 def first_by_hash(rows: DataFrame, order: list[str], hash_column: str = "content_hash") -> DataFrame:
     """The first row of each hash; rows with an empty hash never collide. Only a row each leaves a map task's group."""
@@ -13,6 +15,29 @@ def first_by_hash(rows: DataFrame, order: list[str], hash_column: str = "content
     return rows.where(F.col(hash_column) != "").withColumn("_n", rank).where("_n = 1").drop("_n").unionByName(rows.where(F.col(hash_column) == ""))
 
 
+def insert_order(rows: DataFrame, seq: str = "seq", key: str = "id", hash_column: str = "content_hash") -> DataFrame:
+    """The rows that inserting in order of seq takes where an id or a non-empty hash that is there already is ignored.
+
+    A row is in if no row that is in before it has its id or hash. The first of both its id and its hash is in, what shares
+    either with it is out; that is repeated for what is left, which is nothing unless rows were first of one only. seq is
+    unique and stays the same when rows are read again; an empty table gives no rows; ids that are null never collide.
+    """
+    left, taken = materialise(rows.select(seq, key, hash_column), "left"), None
+    while True:
+        by_id = left.groupBy(F.col(key).alias("_i")).agg(F.min(seq).alias("_first"))
+        by_hash = left.where(F.col(hash_column) != "").groupBy(F.col(hash_column).alias("_h")).agg(F.min(seq).alias("_hashed"))
+        won = left.join(by_id, F.col(key) == F.col("_i"), "left").join(by_hash, F.col(hash_column) == F.col("_h"), "left")
+        won = won.where((F.col(key).isNull() | (F.col(seq) == F.col("_first"))) & (F.col("_hashed").isNull() | (F.col(seq) == F.col("_hashed")))).select(seq, key, hash_column)
+        won = materialise(won, "won")
+        taken = won if taken is None else taken.unionByName(won)
+        rest = not_in_store(left.join(won.select(F.col(seq).alias("_s")), F.col(seq) == F.col("_s"), "left_anti"), won, key, hash_column)
+        rest = materialise(rest, "left")
+        discard(left)
+        left = rest
+        if left.isEmpty():
+            return rows.join(taken.select(F.col(seq).alias("_s")), F.col(seq) == F.col("_s"), "left_semi")
+
+
 def not_in_store(rows: DataFrame, store: DataFrame, *keys: str) -> DataFrame:
     """Rows whose keys aren't in the store; an empty hash matches nothing."""
     for key in keys:

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.operators.dedup import first_by_hash
-from mnemolake.schema import EVENT, MEMORY, conform, ddl
+from mnemolake.schema import MEMORY, conform, ddl
 
 #: The event types.
 TYPES = ("memory.created", "memory.promotion", "memory.candidate", "snapshot.imported", "bundle.imported", "bundle.discovered", "hygiene.checked", "hygiene.warning")
 
 
 def utc(stamp: Column) -> Column:
-    """A stamp with any offset as UTC text, so that text order is time order; unreadable ones stay."""
-    return F.coalesce(F.date_format(F.try_to_timestamp(stamp), "yyyy-MM-dd'T'HH:mm:ss'Z'"), stamp)
+    """A stamp with an offset as UTC text, so that text order is time order; one in UTC already and unreadable ones stay."""
+    there = F.to_utc_timestamp(F.try_to_timestamp(stamp), F.current_timezone())
+    offset = stamp.rlike(r"[0-9][+-][0-9]{2}:?[0-9]{2}$") & stamp.contains(":")
+    return F.when(offset, F.coalesce(F.date_format(there, "yyyy-MM-dd'T'HH:mm:ss'Z'"), stamp)).otherwise(stamp)
+
+
+def utc_text(stamp: str) -> str:
+    """The same for a value, so that a condition on it still reaches the scan."""
+    try:
+        at = dt.datetime.fromisoformat(stamp)
+    except ValueError:
+        return stamp
+    return stamp if at.tzinfo is None or stamp.endswith("Z") else at.astimezone(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def select_events(events: DataFrame, memory_id=None, namespace=None, event_type=None, since=None, until=None, after_seq=None, before_seq=None) -> DataFrame:
-    """since and until are inclusive, the cursors exclusive; every condition reaches the scan."""
+    """since and until are inclusive and may have an offset, the cursors exclusive; every condition reaches the scan."""
     for name, value in (("memory_id", memory_id), ("namespace", namespace), ("event_type", event_type)):
         if value is not None:
             events = events.where(F.col(name) == value)
     for value, test in ((since, lambda v: F.col("occurred_at") >= v), (until, lambda v: F.col("occurred_at") <= v), (after_seq, lambda v: F.col("seq") > v), (before_seq, lambda v: F.col("seq") < v)):
         if value is not None:
-            events = events.where(test(value))
+            events = events.where(test(utc_text(value) if isinstance(value, str) else value))
     return events
 
 
@@ -58,10 +71,6 @@ def payload(memories: DataFrame) -> Column:
     return F.to_json(F.struct(*(F.col(c) for c in memories.columns)))
 
 
-def conform_events(events: DataFrame) -> DataFrame:
-    return conform(events, EVENT)
-
-
 def audit_replay(history: DataFrame, default_actor: str = "imported") -> DataFrame:
     """The last state of each memory_id of an audit history: identifier, fact_text, created_at.
 

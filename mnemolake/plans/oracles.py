@@ -31,6 +31,12 @@ _WARN = """d8 AS (SELECT CAST(doc_id AS VARCHAR) AS id, 8 * length(text) AS n FR
 s AS (SELECT count(*) AS total, sum(n) AS chars FROM d8),
 w AS (SELECT 'large_inline' AS category, 'warn' AS severity, id AS subject, CAST(n AS BIGINT) AS amount FROM d8 WHERE n > 131072
       UNION ALL SELECT 'growth', 'info', NULL, total FROM s WHERE total > 1000 UNION ALL SELECT 'growth', 'warn', NULL, CAST(chars AS BIGINT) FROM s WHERE chars > 10485760)"""
+_SEEN = "g0 AS (SELECT event_id AS seq, user_id || '/' || (event_id % 3) AS id, CASE WHEN event_type = 'error' THEN '' ELSE md5((event_id % 97) || ':' || event_type) END AS content_hash FROM events)"
+#: Rounds of: the first of id and hash is in, what shares either is out; more than any of the tables needs.
+for _n in range(12):
+    _SEEN += f""",
+w{_n} AS MATERIALIZED (SELECT * FROM g{_n} QUALIFY seq = min(seq) OVER (PARTITION BY id) AND (content_hash = '' OR seq = min(seq) OVER (PARTITION BY content_hash))),
+g{_n + 1} AS MATERIALIZED (SELECT * FROM g{_n} WHERE id NOT IN (SELECT id FROM w{_n}) AND (content_hash = '' OR content_hash NOT IN (SELECT content_hash FROM w{_n})))"""
 _TO = "['HOT', 'READY', 'PROMOTED', 'ARCHIVED'][CAST('0x' || substr(id, 1, 8) AS BIGINT) % 4 + 1]"
 
 ORACLE_SQL: dict[str, str] = {
@@ -56,6 +62,12 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_first": f"WITH {_D} {_FIRST}",
     "merge_dedup": f"WITH {_D}, s AS (SELECT doc_id, content_hash FROM d WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1), b AS (SELECT doc_id, content_hash FROM d WHERE doc_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1) SELECT * FROM s UNION ALL SELECT * FROM b WHERE content_hash NOT IN (SELECT content_hash FROM s)",
     "dedup_anti": f"WITH {_D} SELECT doc_id, content_hash FROM d WHERE doc_id % 2 = 1 AND content_hash NOT IN (SELECT content_hash FROM d WHERE doc_id % 2 = 0)",
+    "insert_ignore": f"WITH {_SEEN} {' UNION ALL '.join(f'SELECT * FROM w{n}' for n in range(12))}",
+    "event_since_offset": f"WITH {_E} SELECT seq, memory_id, occurred_at FROM e WHERE event_type = 'signup' AND occurred_at >= '2024-01-01T01:00:00Z'",
+    "occurred_at_utc": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS occurred_at FROM events",
+    "embedding": f"""WITH {_M}, g AS (SELECT id, md5(substr(lower(coalesce(fact_text, '')), i, 3)) AS h FROM (SELECT id, fact_text, unnest(range(1, greatest(1, length(coalesce(fact_text, '')) - 2) + 1)) AS i FROM m)),
+        b AS (SELECT id, ('0x' || substr(h, 31, 2))::INTEGER % 64 AS bucket, sum(1 - 2 * (('0x' || substr(h, 16, 1))::INTEGER % 2))::DOUBLE AS signed FROM g GROUP BY 1, 2)
+        SELECT id, CAST(bucket AS INTEGER) AS bucket, round(CAST(CAST(signed / sqrt(sum(signed * signed) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE), 5) AS x FROM b WHERE signed <> 0""",
     "upsert_latest": f"WITH {_E}, l AS (SELECT seq, memory_id AS id, CASE WHEN event_type = 'view' THEN sha256(payload_json) ELSE '' END AS content_hash FROM e) SELECT seq, id, content_hash FROM l QUALIFY seq = max(seq) OVER (PARTITION BY id) AND (content_hash = '' OR seq = max(seq) OVER (PARTITION BY content_hash))",
     "event_filter": f"WITH {_E} SELECT seq, memory_id, occurred_at FROM e WHERE namespace = 'u3' AND event_type = 'purchase' AND occurred_at >= '2024-01-01T00:00:00Z' AND seq > 100",
     "event_page": f"WITH {_E} SELECT seq, memory_id, event_type FROM e WHERE seq < 700 ORDER BY seq DESC LIMIT 50",
@@ -79,6 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "file_backed_scan": "SELECT CAST(page_id AS VARCHAR) AS id, url AS source_uri, CAST(strlen(html) AS BIGINT) AS byte_length FROM pages WHERE page_id % 3 > 0",
     "missing_files": "SELECT CAST(page_id AS VARCHAR) AS id, url AS uri FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 4 > 0)",
     "durable_facts": r"SELECT conv_id, turn, substr(text, 1, 1000) AS fact, 0.6::DOUBLE AS importance FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) WHERE regexp_matches(text, '(?i)(^|[ .,])(the|der|que|la)([ .,]|$)')",
+    "durable_cues": r"SELECT conv_id, turn, substr(text, 1, 1000) AS fact, 0.6::DOUBLE AS importance FROM (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'From now on, ' || coalesce(text, '') ELSE text END AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) WHERE regexp_matches(text, '(?i)\b(actually|remember that|from now on|don''?t|always|never|prefer)\b')",
     "turn_rows": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, '') AS fact_text, CASE role WHEN 'user' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS importance, 'turn' AS source FROM conversations WHERE role IN ('user', 'assistant')",
     "hydrate_order": f"WITH {_M} SELECT item_id AS pos, md5(item_id || ':0') AS id, fact_text FROM benchmark LEFT JOIN m ON m.id = md5(item_id || ':0')",
     "mirrored_writes": "SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'user' WHEN 'view' THEN 'memory' ELSE 'other' END AS target, CASE event_type WHEN 'click' THEN 0.9::DOUBLE WHEN 'view' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS importance, CASE WHEN event_type = 'error' THEN 1::BIGINT END AS ttl_seconds FROM events",

@@ -163,6 +163,33 @@ def q_dedup_anti(s, d):
     return dedup.not_in_store(rows.where(F.pmod("doc_id", F.lit(2)) == 1), rows.where(F.pmod("doc_id", F.lit(2)) == 0), "content_hash").select("doc_id", "content_hash")
 
 
+def q_insert_ignore(s, d):
+    """Ids and hashes repeat, so that some rows are first of one of them only."""
+    e = event_rows(s, d)
+    digest = F.when(F.col("event_type") == "error", "").otherwise(F.md5(F.concat_ws(":", (F.col("seq") % 97).cast("string"), "event_type")))
+    return dedup.insert_order(e.select("seq", F.concat("memory_id", F.lit("/"), (F.col("seq") % 3).cast("string")).alias("id"), digest.alias("content_hash")))
+
+
+def q_event_since_offset(s, d):
+    """The bound has an offset: 03:00 at +02:00 is 01:00 in UTC."""
+    return events.select_events(event_rows(s, d), event_type="signup", since="2024-01-01T03:00:00+02:00").select("seq", "memory_id", "occurred_at")
+
+
+def q_occurred_at_utc(s, d):
+    """Stamps written with another offset for each row."""
+    hours = F.pmod("event_id", F.lit(9)).cast("int")
+    there = F.date_format(F.expr("ts + make_dt_interval(0, pmod(event_id, 9))"), "yyyy-MM-dd'T'HH:mm:ss")
+    stamp = F.when(hours == 0, F.concat(there, F.lit("Z"))).otherwise(F.concat(there, F.format_string("+%02d:00", hours)))
+    return _table(s, d, "events").select("event_id", events.utc(stamp).alias("occurred_at"))
+
+
+def q_durable_cues(s, d):
+    """The real cue words, put into every third text."""
+    c = _table(s, d, "conversations")
+    cue = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) == 0, F.concat(F.lit("From now on, "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    return lists.durable_facts(c.withColumn("text", cue))
+
+
 def q_upsert_latest(s, d):
     e = event_rows(s, d)
     log = e.select("seq", F.col("memory_id").alias("id"), F.when(F.col("event_type") == "view", F.sha2("payload_json", 256)).otherwise("").alias("content_hash"))

@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.operators.dedup import live_versions, not_in_store
+from mnemolake.operators.dedup import insert_order, live_versions, not_in_store
+from mnemolake.operators.events import utc
 from mnemolake.operators.lifecycle import apply_updates
 from mnemolake.schema import BUNDLE, EVENT, MEMORY, conform, ddl
 
@@ -64,6 +65,8 @@ class Store:
         state = self._pointer()
         for name, df in frames.items():
             batch = f"{name}/{uuid.uuid4().hex}"
+            if name == "events":
+                df = df.withColumn("occurred_at", utc(F.col("occurred_at")))
             numbered = df.withColumn("seq", F.monotonically_increasing_id() + F.lit(state["next"]))
             conform(numbered, LOGS[name]).write.parquet(f"{self.root}/{batch}")
             state[name].append(batch)
@@ -95,13 +98,15 @@ class Store:
         self.append(**{"versions": rows} | ({} if events is None else {"events": events}))
 
     def insert_ignore(self, rows: DataFrame) -> int:
-        """Adds rows whose id and hash are new, first of each; returns how many. Ids of a batch are unique."""
-        batch = f"versions/{uuid.uuid4().hex}"
+        """Adds rows whose id and hash are new, in order, first wins by both; returns how many live because of it."""
         state, have = self._pointer(), self.current().select("id", "content_hash")
-        from mnemolake.operators.dedup import first_by_hash
-
-        numbered = first_by_hash(rows.withColumn("seq", F.monotonically_increasing_id() + F.lit(state["next"])), ["seq"])
-        conform(not_in_store(numbered, have, "id", "content_hash"), _VERSION).write.parquet(f"{self.root}/{batch}")
+        given = f"given/{uuid.uuid4().hex}"
+        # written first: seq has to be the same each time that the rows are read
+        conform(rows.withColumn("seq", F.monotonically_increasing_id() + F.lit(state["next"])), _VERSION).write.parquet(f"{self.root}/{given}")
+        new = not_in_store(self.spark.read.schema(ddl(_VERSION)).parquet(f"{self.root}/{given}"), have, "id", "content_hash")
+        batch = f"versions/{uuid.uuid4().hex}"
+        conform(insert_order(new), _VERSION).write.parquet(f"{self.root}/{batch}")
+        self._fs.delete(self._path(f"{self.root}/{given}"), True)
         told = self.spark.read.schema(ddl(_VERSION)).parquet(f"{self.root}/{batch}").agg(F.count("*"), F.max("seq")).first()
         state["versions"].append(batch)
         state["next"] = max(state["next"], (told[1] or 0) + 1)

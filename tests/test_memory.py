@@ -66,6 +66,31 @@ def test_live_versions_equal_replace(spark):
         assert sorted(map(tuple, got.select("seq", "id", "content_hash").collect())) == want
 
 
+def test_insert_order_equals_insert_or_ignore(spark, tmp_path):
+    rng = random.Random(11)
+    for n in range(3):
+        ops = [(i, rng.choice("abcdefgh"), rng.choice(["", "G", "H", "I", "J", "K"])) for i in range(50)] + [(90, "x", "h1"), (91, "x", "h2"), (92, "y", "h2"), (93, "y", "h3"), (94, "z", "h3")]
+        db = sqlite3.connect(":memory:")
+        db.execute("CREATE TABLE m (seq INTEGER, id TEXT PRIMARY KEY, h TEXT)")
+        db.execute("CREATE UNIQUE INDEX u ON m(h) WHERE h != ''")
+        db.executemany("INSERT OR IGNORE INTO m VALUES (?, ?, ?)", ops)
+        got = dedup.insert_order(spark.createDataFrame(ops, "seq long, id string, content_hash string"))
+        assert sorted(map(tuple, got.select("seq", "id", "content_hash").collect())) == sorted(db.execute("SELECT seq, id, h FROM m"))
+    assert dedup.insert_order(spark.createDataFrame([], "seq long, id string, content_hash string")).count() == 0
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("x", "h1", "first"), ("x", "h2", "second"), ("y", "h3", "third")], "id string, content_hash string, fact_text string").coalesce(1)
+    assert store.store.insert_ignore(rows) == store.count() == 2 and store.get("x")["fact_text"] == "first"
+    assert store.store.insert_ignore(rows) == 0 and store.store.insert_ignore(rows.limit(0)) == 0
+
+
+def test_stamps_with_offsets_are_kept_in_utc(spark):
+    stamps = ["2024-01-01T03:00:00+02:00", "2024-01-01T01:00:00Z", "2024-01-01T00:30:00.5-0030", "soon", None, "2024-01-01"]
+    df = spark.createDataFrame([(x,) for x in stamps], "t string")
+    want = ["2024-01-01T01:00:00Z", "2024-01-01T01:00:00Z", "2024-01-01T01:00:00Z", "soon", None, "2024-01-01"]
+    assert [r[0] for r in df.select(events.utc(df.t)).collect()] == want
+    assert [events.utc_text(x) for x in stamps if x] == [x for x in want if x]
+
+
 def test_audit_replay_equals_fold(spark):
     rng = random.Random(5)
     rows = [(str(n), rng.choice("xyz"), rng.choice(["t%d" % n, " ", None]), rng.choice(["ADD", "UPDATE", "DELETE"]), f"2024-01-0{rng.randint(1, 9)}", rng.choice([0, 0, 1]), rng.choice([None, "bob"])) for n in range(120)]
