@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from mnemolake.work import discard, materialise  # noqa: F401
+
 #: Measured bytes up to which a side may be broadcast; above it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -25,33 +24,6 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one stands in for it only where both are one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Removes the files of materialised frames that nothing reads any more."""
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
