@@ -1,12 +1,16 @@
 """HTML extraction: text-to-tag ratios over streaming parser events.
 
-The standard library's parser cuts a page into lines, one for each block element. Each line has a ratio: characters
-outside links for each tag. The ratios are smoothed with a Gaussian and split at their standard deviation; the lines
-above are seeds. The region with most seed text is selected: an article, else the main element, else the smallest
-container that holds the seeds. All of its lines are given but for what boilerplate elements hold.
+The standard library's parser cuts a page into lines, one for each block element; what lies inside elements that are
+never main text (menus, forms, buttons, scripts ...) isn't read at all. Each line has a ratio: characters outside links
+for each of its tags. The ratios are smoothed with a Gaussian and split at their standard deviation; the lines above are
+seeds. Seed text, that is what the ratios say, then decides three things:
+* whether an element that is named after what surrounds an article (class, id or role) is that or a wrapper of the text;
+* which article or main element is the page's, if one holds a good part of the seed text;
+* else which is the smallest container that holds nearly all of it.
+All lines of the region are given, but for what surrounding elements hold.
 
 Defined results: null, empty and text-free pages give the empty text; broken markup is read as far as it goes; equal
-pages give equal rows.
+pages give equal rows. Time is linear in the page, also where elements are never closed.
 """
 
 from __future__ import annotations
@@ -23,137 +27,160 @@ from mnemolake.llm.common import arrow_map
 
 #: Elements of HTML by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+CELLS = frozenset(("td", "th"))
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
 #: Elements that are never main text.
-DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form frameset head iframe input label map menu nav noframes noscript object option script select style svg template textarea title video".split())
-#: Words in class, id or role of what surrounds an article; a wrapper of the main text that has one stays.
-AROUND = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot banner billboard breadcrumb breadcrumbs byline-share comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus dialog feedback footer footnav gdpr"
-    " login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond rss share sharing shares"
-    " sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar tracking widget widgets".split()
+DROPPED = frozenset("aside audio button canvas datalist dialog footer form frameset head iframe label map menu nav noframes noscript object option script select style svg template textarea title video".split())
+#: A class, id or role that starts with one of these words names what surrounds an article.
+SURROUND = frozenset("ad ads adsense adslot advert adverts breadcrumb breadcrumbs commentlist disqus footnav gdpr masthead navbar sidebar sidenav sponsored tagcloud".split())
+#: So does one of these words among nothing but words of place and form, as in "comments", "post-comments" or "cookie-notice".
+AROUND = SURROUND | frozenset(
+    "advertisement advertisements advertising banner comment comments complementary consent contentinfo cookie cookies copyright disclaimer dialog feedback footer login menu menubar modal nav navigation newsletter notice notices"
+    " notification notifications overlay pager pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond rss search share sharing shares signup skip social sponsor sponsors subscribe subscription"
+    " teaser teasers toolbar topbar tracking widget widgets".split()
 )
-#: A new one closes an open one of the same list, up to the nearest element named after it.
-_CLOSES = {"p": ("p", ()), "li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-_CLOSES = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _CLOSES.items()}
-_WHOLE = frozenset(("html", "body", "article", "main"))
+#: Words of place and form.
+PLACES = frozenset(
+    "a all also and area article articles bar block body bottom box btn button buttons by center column container content entry fixed follow for form full global group has header holder home icons in inner item items large layout left links link list"
+    " local main more new no of on page panel post posts primary read region right row secondary section site small stories sticky story text the this thread title to top us wide wrap wrapper you your zone".split()
+)
+#: A new one closes open ones of the first list, up to the nearest other block.
+_CLOSES = {"li": "p li", "dt": "p dt dd", "dd": "p dt dd", "tr": "p tr td th", "td": "p td th", "th": "p td th"}
+_CLOSES = {k: frozenset(v.split()) for k, v in _CLOSES.items()}
+_PARAGRAPH = frozenset(("p",))
+_WHOLE = frozenset(("html", "body", "main"))
+_SMALL = frozenset("p li tr td th pre h1 h2 h3 h4 h5 h6 dt dd".split())
 _TOKEN = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: The share of seed text that an article or main element has to hold, and that a container has to.
+ELEMENT_SHARE, CONTAINER_SHARE = 0.25, 0.8
+
+
+class _Node:
+    """A block element: what it is named after (None, or whether the word leads), whether an article or main is inside it, its seed text."""
+
+    __slots__ = ("name", "up", "named", "holds", "seed", "out", "within")
+
+    def __init__(self, name: str, up: _Node | None, named: bool | None):
+        self.name, self.up, self.named, self.holds, self.seed, self.out = name, up, named, False, 0, False
+        #: the outermost article and main at or above it
+        self.within = dict(up.within) if up and (up.within or name in ("article", "main")) else {} if name in ("article", "main") else up.within if up else {}
+        if name in ("article", "main"):
+            self.within.setdefault(name, self)
 
 
 class _Line:
-    __slots__ = ("path", "links", "tags", "text", "dropped", "around")
+    __slots__ = ("text", "weight", "tags", "node")
 
-    def __init__(self, text: str, links: int, tags: int, path: tuple, dropped: bool, around: tuple):
-        self.text, self.links, self.tags, self.path, self.dropped, self.around = text, links, tags, path, dropped, around
+    def __init__(self, text: str, links: int, tags: int, node: _Node):
+        self.text, self.weight, self.tags, self.node = text, len(text) - min(links, len(text)), tags, node
 
 
 class _Reader(HTMLParser):
-    """Collects lines; each knows the containers above it as (element, number)."""
+    """Collects lines and the blocks that they are in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.nodes = [_Node("", None, None)]
         self.lines: list[_Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it starts something dropped, its number
-        self.around: list[tuple[int, bool]] = []  # of the open elements those with a class word of AROUND: number, whether it leads
-        self.holding: set[int] = set()  # of all such elements those that hold an article or a main element
+        self.open: list[tuple[str, bool, _Node | None]] = []  # element, whether it starts something dropped, its node if it is a block
+        self.places: dict[str, list[int]] = {}  # where elements of a name are in open
+        self.blocks: list[int] = []
         self.parts: list[str] = []
-        self.links = self.tags = self.drop = self.in_link = self.count = 0
+        self.links = self.tags = self.drop = 0
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers aren't needed."""
         return j
 
-    def _cut(self) -> None:
+    def _node(self) -> _Node:
+        return self.open[self.blocks[-1]][2] if self.blocks else self.nodes[0]
+
+    def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple((name, number) for name, _, number in self.open if name in BLOCKS or name == "td")
-            self.lines.append(_Line(text, min(self.links, len(text)), self.tags, path, self.drop > 0, tuple(self.around)))
-        if text or self.tags > 50:
-            self.tags = 0
-        self.parts, self.links = [], 0
-
-    def _pop(self) -> None:
-        name, dropping, number = self.open.pop()
-        if self.around and self.around[-1][0] == number:
-            self.around.pop()
-        self.drop -= dropping
-        self.in_link -= name == "a"
+            self.lines.append(_Line(text, self.links, self.tags, self._node()))
+        self.parts, self.links, self.tags = [], 0, 0
+
+    def _pop_to(self, place: int) -> None:
+        while len(self.open) > place:
+            name, dropping, node = self.open.pop()
+            self.places[name].pop()
+            self.drop -= dropping
+            if node is not None:
+                self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS or tag in ("td", "th"):
-            self._cut() if tag not in ("td", "th") else self.parts.append(" ")
-            if tag in _CLOSES or tag in BLOCKS:
-                closed, limit = _CLOSES.get(tag, (frozenset(("p",)), frozenset()))
-                self._close_open(closed | {"p"} if tag != "td" and tag != "th" else closed, limit)
-        elif tag == "br":
+        block, cell = tag in BLOCKS, tag in CELLS
+        if (block or cell) and not self.drop:
+            if block:
+                self.cut()
+            else:
+                self.parts.append(" ")
+            closed = _CLOSES.get(tag, _PARAGRAPH)
+            while self.blocks and self.open[self.blocks[-1]][0] in closed:
+                self._pop_to(self.blocks[-1])
+        elif tag == "br" and not self.drop:
             self.parts.append(" ")
-        self.tags += 1
+        if not self.drop:
+            self.tags += 1
         if tag in VOID:
             return
-        dropping = tag in DROPPED or tag == "header" and not any(x[0] in ("article", "main") for x in self.open) or self._hidden(tag, attrs)
+        up = self._node()
+        named = None if self.drop else self._named(tag, attrs, up)
+        dropping = tag in DROPPED or tag == "header" and not up.within or self._hidden(tag, attrs) or named is not None and not (block or cell)
+        node = None
+        if block or cell:
+            node = _Node(tag, up, named)
+            self.nodes.append(node)
+            self.blocks.append(len(self.open))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, dropping, node))
         self.drop += dropping
-        self.in_link += tag == "a"
-        self.count += 1
-        if tag in ("article", "main"):
-            self.holding.update(number for number, _ in self.around)
-        if (leads := self._around(tag, attrs)) is not None:
-            self.around.append((self.count, leads))
-        self.open.append((tag, dropping, self.count))
-
-    def _close_open(self, closed: frozenset, limit: frozenset) -> None:
-        """An unclosed p, li, td ... ends where the next block begins; inline elements above it end with it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in closed:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if name in limit or name in BLOCKS and name not in closed:
-                return
 
     def _hidden(self, tag: str, attrs: list) -> bool:
-        if tag in _WHOLE and tag != "article":
+        if tag in _WHOLE:
             return False
-        for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _UNSEEN.search(value) for name, value in attrs)
 
-    def _around(self, tag: str, attrs: list) -> bool | None:
-        """Whether a class, id or role starts with a word of AROUND; None where none has such a word. An article's has to."""
-        if tag in _WHOLE and tag != "article":
+    def _named(self, tag: str, attrs: list, up: _Node) -> bool | None:
+        """Whether a class, id or role starts with a word for what surrounds an article; None where none has such a word."""
+        if tag in _WHOLE:
             return None
         found = None
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 for one in value.lower().split():
                     tokens = _TOKEN.findall(one)
-                    if tokens and tokens[0] in AROUND:
+                    if not tokens:
+                        continue
+                    plain = all(t in AROUND or t in PLACES for t in tokens)
+                    if tokens[0] in SURROUND or plain and tokens[0] in AROUND:
                         return True
-                    if tag != "article" and not AROUND.isdisjoint(tokens):
+                    if plain and tag != "article" and not AROUND.isdisjoint(tokens):
+                        found = False
+                    if plain and "header" in tokens and not up.within and not {"article", "entry", "post", "story", "title"} & set(tokens) and ("site" in tokens or "page" in tokens or up.name == "body"):
                         found = False
         return found
 
     def handle_endtag(self, tag: str) -> None:
         block = tag in BLOCKS
-        if block:
-            self._cut()
-        elif tag == "br":
-            self.parts.append(" ")
-        self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if not block and self.open[i][0] in BLOCKS:
-                return
+        if not self.drop:
+            if block:
+                self.cut()
+            elif tag == "br" or tag in CELLS:
+                self.parts.append(" ")
+            self.tags += 1
+        places = self.places.get(tag)
+        # an inline element doesn't end beyond the block that it would end in
+        if places and (block or tag in CELLS or not self.blocks or places[-1] > self.blocks[-1]):
+            self._pop_to(places[-1])
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] in ("script", "style"):
-            return
-        self.parts.append(data)
-        if self.in_link:
-            self.links += len(data.strip())
+        if not self.drop:
+            self.parts.append(data)
+            if self.places.get("a"):
+                self.links += len(data.strip())
 
 
 def _smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -163,68 +190,72 @@ def _smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(edged, kernel / kernel.sum(), mode="valid")
 
 
-def _judge(lines: list[_Line], holding: set[int]) -> None:
-    """Drops the lines inside elements that a class word of AROUND names.
+def _ratios(lines: list[_Line]) -> np.ndarray:
+    return _smooth(np.array([x.weight / max(1, x.tags) for x in lines], dtype=np.float64))
 
-    Such an element stays if it holds most seed text and either an article or main element, or the word doesn't lead.
-    """
-    if not any(x.around for x in lines):
-        return
-    ratios = _ratios(lines)
-    total, held = 0, {}
-    for x, up in zip(lines, ratios >= ratios.std(), strict=True):
-        if up and not x.dropped:
-            total += len(x.text) - x.links
-            for number, _ in x.around:
-                held[number] = held.get(number, 0) + len(x.text) - x.links
-    for x in lines:
-        x.dropped = x.dropped or any(2 * held.get(number, 0) <= total or leads and number not in holding for number, leads in x.around)
 
+def _weigh(nodes: list[_Node], seeds: list[_Line]) -> int:
+    """Gives each block the seed text inside it; returns that of the page. A block comes after the one that it is in."""
+    for node in nodes:
+        node.seed = 0
+    for line in seeds:
+        line.node.seed += line.weight
+    for node in reversed(nodes):
+        if node.up:
+            node.up.seed += node.seed
+    return nodes[0].seed
 
-def _ratios(lines: list[_Line]) -> np.ndarray:
-    return _smooth(np.array([(len(x.text) - x.links) / max(1, x.tags) for x in lines], dtype=np.float64))
 
+def _judge(nodes: list[_Node], total: int) -> None:
+    """Marks blocks that are named after what surrounds an article, and all inside them.
 
-def _region(lines: list[_Line]) -> list[_Line]:
-    """The lines of the selected region."""
-    live = [line for line in lines if not line.dropped]
-    if not live:
-        return []
-    ratios = _ratios(lines)
-    above = ratios >= ratios.std()
-    seeds = [x for x, up in zip(lines, above, strict=True) if up and not x.dropped] or live
-    weight = lambda xs: sum(len(x.text) - x.links for x in xs)
+    Such a block stays if it holds most seed text and either an article or main element, or the word doesn't lead.
+    """
+    for node in reversed(nodes):
+        if node.up and (node.holds or node.name in ("article", "main")):
+            node.up.holds = True
+    for node in nodes[1:]:
+        named = node.named is not None and (2 * node.seed <= total or node.named and not node.holds)
+        node.out = node.up.out or named
+
+
+def _region(nodes: list[_Node], lines: list[_Line], seeds: list[_Line]) -> list[_Line]:
+    """The lines of the selected region, of lines that are in none that surrounds."""
+    total = _weigh(nodes, seeds)
     for element in ("article", "main"):
-        inside: dict[int, list[_Line]] = {}
-        for line in seeds:
-            if number := next((n for name, n in line.path if name == element), 0):
-                inside.setdefault(number, []).append(line)
-        if not inside:
-            inside = {n: [x] for x in live for name, n in x.path if name == element}
-        if inside:
-            best = max(inside, key=lambda n: (weight(inside[n]), -n))
-            return [x for x in live if (element, best) in x.path]
-    # no such element: descend from the page while one child holds nearly all seed text
-    total, at, chosen = weight(seeds), 0, None
-    while True:
-        held: dict[tuple, list[_Line]] = {}
-        for line in seeds:
-            if len(line.path) > at and (not chosen or line.path[at - 1] == chosen):
-                held.setdefault(line.path[at], []).append(line)
-        best = max(held, key=lambda k: weight(held[k]), default=None)
-        if best is None or best[0] in ("p", "li", "tr", "td", "pre") or best[0][:1] == "h" and best[0][1:].isdigit() or weight(held[best]) < 0.8 * total:
-            break
-        chosen, at = best, at + 1
-    return [x for x in live if not chosen or chosen in x.path]
+        held = {line.node.within[element]: None for line in lines if element in line.node.within}
+        best = max(held, key=lambda node: node.seed, default=None)
+        if best is not None and best.seed >= ELEMENT_SHARE * total:
+            return [x for x in lines if x.node.within.get(element) is best]
+    # descend from the page while one block holds nearly all seed text
+    heaviest: dict[_Node, _Node] = {}
+    for node in nodes[1:]:
+        if node.up not in heaviest or node.seed > heaviest[node.up].seed:
+            heaviest[node.up] = node
+    chosen = nodes[0]
+    while (down := heaviest.get(chosen)) is not None and down.name not in _SMALL and down.seed >= CONTAINER_SHARE * total:
+        chosen = down
+    inside = {chosen}
+    for node in nodes:
+        if node.up in inside:
+            inside.add(node)
+    return [x for x in lines if x.node in inside]
 
 
 def main_text(page: str) -> str:
     reader = _Reader()
     reader.feed(page)
     reader.close()
-    reader._cut()
-    _judge(reader.lines, reader.holding)
-    return "\n".join(line.text for line in _region(reader.lines))
+    reader.cut()
+    nodes, lines = reader.nodes, reader.lines
+    if not lines:
+        return ""
+    ratios = _ratios(lines)
+    above = [x for x, up in zip(lines, ratios >= ratios.std(), strict=True) if up]
+    _judge(nodes, _weigh(nodes, above))
+    live = [x for x in lines if not x.node.out]
+    seeds = [x for x in above if not x.node.out] or live
+    return "\n".join(x.text for x in _region(nodes, live, seeds))
 
 
 @arrow_map(pa.string())

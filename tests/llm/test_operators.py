@@ -3,6 +3,7 @@ import hashlib
 import html as entities
 import re
 import struct
+import time
 import zlib
 from pathlib import Path
 
@@ -145,7 +146,7 @@ def test_contamination_equals_brute_force(spark, docs, monkeypatch, block):
 
 
 def test_html_main_text(spark):
-    for r in spark.read.parquet(f"{DATA}/pages.parquet").limit(20).collect():
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
         inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(entities.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
         assert html.main_text(r.html) == "\n".join(b for b in blocks if b)
@@ -180,6 +181,41 @@ def test_article_lines_of_links_stay_without_an_article_element():
     assert html.main_text(f"<body><div id=c>{_STORY}<p>See <a href=x>the whole report of the committee</a>.</p></div>") == _TOLD + "\nSee the whole report of the committee."
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p>Text of article <button>Share</button> goes on</p></article>", "Text of article goes on"),
+        ("<article><p>Text <span class='advert'>Buy now</span> more</p></article>", "Text more"),
+        ("<article><p>Text <select><option>one<option>two</select> <textarea>three</textarea><noscript>four</noscript>more</p></article>", "Text more"),
+        (f"<article>{_STORY}<p class='notice-period'>The notice period.</p></article>", _TOLD + "\nThe notice period."),
+        (f"<article>{_STORY}<section class='related-work'><p>Earlier work.</p></section></article>", _TOLD + "\nEarlier work."),
+        (f"<body><div id=c>{_STORY}<p><a href=x>A link alone</a></p></div>", _TOLD + "\nA link alone"),
+        (f"<body><div class=header><p>Our site</div><div class=content>{_STORY}<div class='cookie-notice'>We use cookies</div></div><div class='ad-box'>Buy</div>", _TOLD),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\nc"),
+    ],
+)
+def test_what_surrounds_goes_and_nothing_else(page, text):
+    assert html.main_text(page) == text
+
+
+_TAGGED = "".join(f"<li><b><i>w{i}</i></b></li>" for i in range(100, 520))
+
+
+@pytest.mark.parametrize("page", [f"<body><article><ul>{_TAGGED}</ul></article><article>{_STORY}</article>", f"<body><div><ul>{_TAGGED}</ul></div><div>{_STORY}</div>", f"<body><main><ul>{_TAGGED}</ul></main><div>{_STORY}</div>"])
+def test_ratios_decide_the_region(page, monkeypatch):
+    """Where the ratios say nothing, what has more text is selected instead of the story."""
+    assert html.main_text(page) == _TOLD
+    monkeypatch.setattr(html, "_ratios", lambda lines: np.zeros(len(lines)))
+    assert html.main_text(page).startswith("w100\n") and "Paragraph" not in html.main_text(page)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 40_000 + "</p>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<div>" * 40_000 + "x" + "</div>" * 40_000, "<ul><li>x" * 20_000, "<div><article><p>x" * 20_000, "<td>" * 40_000])
+def test_broken_markup_takes_linear_time(page):
+    begin = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - begin < 5
+
+
 # personal data
 
 BASE = {
