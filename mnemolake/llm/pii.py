@@ -94,13 +94,65 @@ _DOT_SPOKEN = (" dot ", " punkt ", " point ", " punto ")
 #: A run of numbers has one of these after its first.
 _SPACED = tuple(c + w for w in _DIGIT for c in " ,.-")
 _AT_WORDS, _DOT_WORDS = "at|@|arroba|arobase|klammeraffe", r"dot|\.|punkt|point|punto"
-_AT = re.compile(rf"[ ]*[\[({{<][ ]*(?:{_AT_WORDS})[ ]*[\])}}>][ ]*", re.I)
-_DOT = re.compile(rf"[ ]*[\[({{<][ ]*(?:{_DOT_WORDS})[ ]*[\])}}>][ ]*", re.I)
-#: Without brackets an address has a spelled dot besides its at; the other dots may be plain.
-_BARE = re.compile(r"(?<![\w.+%-])[a-z0-9._%+-]+(?P<at> +at +| *@ *)[a-z0-9-]+(?:\.[a-z0-9-]+)*(?: +dot +[a-z0-9-]+(?:\.[a-z0-9-]+)*)+|(?<![\w.+%-])[a-z0-9._%+-]+(?P<sign> +@ *| *@ +)[a-z0-9-]+(?:\.[a-z0-9-]+)+", re.I)
+#: Blanks before a bracket are taken by hand: a pattern that starts with them would start anew at each of a long run.
+_AT = re.compile(rf"[\[({{<][ ]*(?:{_AT_WORDS})[ ]*[\])}}>][ ]*", re.I)
+_DOT = re.compile(rf"[\[({{<][ ]*(?:{_DOT_WORDS})[ ]*[\])}}>][ ]*", re.I)
+#: Without brackets an address has a spelled dot besides its at; the other dots may be plain. Where another at follows, the
+#: address is that one's: "me at joe dot doe at ex dot com". Spelled dots before the at are found from there to the left.
+_BARE = re.compile(
+    r"(?<![\w.+%-])[a-z0-9._%+-]+(?P<at> +at +| *@ *)(?>[a-z0-9-]+(?:\.[a-z0-9-]+)*(?: +dot +[a-z0-9-]+(?:\.[a-z0-9-]+)*)+)(?! +at +[a-z0-9])"
+    r"|(?<![\w.+%-])[a-z0-9._%+-]+(?P<sign> +@ *| *@ +)[a-z0-9-]+(?:\.[a-z0-9-]+)+",
+    re.I,
+)
 _BARE_PART = re.compile(r"(?P<at> +at +| *@ *)|(?P<dot> +dot +)", re.I)
 
 
+def _brackets(text: str) -> list[tuple[int, int, str]]:
+    """Edits for bracketed at and dot words, with the blanks around them."""
+    out, reach = [], 0
+    for a, b, new in sorted([(*m.span(), "@") for m in _AT.finditer(text)] + [(*m.span(), ".") for m in _DOT.finditer(text)]):
+        while a > reach and text[a - 1] == " ":
+            a -= 1
+        if a >= reach:
+            out.append((a, b, new))
+            reach = b
+    return out
+
+
+def _run_before(text: str, at: int, floor: int, of: frozenset) -> int:
+    """Where the run of characters that ends at `at` starts."""
+    while at > floor and text[at - 1] in of:
+        at -= 1
+    return at
+
+
+_BLANK = frozenset(" ")
+
+
+def _dotted_before(text: str, start: int, floor: int) -> list[tuple[int, int, str]]:
+    """Edits for spelled dots to the left of an address whose local part starts at start: "joe dot " before "doe at ex dot com"."""
+    out = []
+    while True:
+        word_end = _run_before(text, start, floor, _BLANK)
+        dot = word_end - 3
+        blank = _run_before(text, dot, floor, _BLANK) if dot > floor and word_end < start and text[dot:word_end].lower() == "dot" else dot
+        word = _run_before(text, blank, floor, _LOCAL) if floor < blank < dot else blank
+        if not floor <= word < blank < dot:
+            return out[::-1]
+        out.append((blank, start, "."))
+        start = word
+
+
+def _bare(text: str) -> list[tuple[int, int, str]]:
+    """Edits for addresses whose at or dots are words without brackets."""
+    out, floor = [], 0
+    for m in _BARE.finditer(text):
+        out += _dotted_before(text, m.start(), floor)
+        out += [(*p.span(), "@" if p["at"] else ".") for p in _BARE_PART.finditer(text, *m.span())]
+        floor = m.end()
+    return out
+
+
 class Tape:
     """A text with the source range of each of its characters."""
 
@@ -166,18 +218,13 @@ def deobfuscate(text: str) -> Tape | None:
         tape = tape or Tape(text)
         tape.rewrite(spelled)
         now = tape.text
-    marks = [(m.start(), m.end(), "@") for m in _AT.finditer(now)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(now)] if any(c in now for c in "[({<") else []
+    marks = _brackets(now) if any(c in now for c in "[({<") else []
     if marks:
-        kept, reach = [], 0
-        for edit in sorted(marks):
-            if edit[0] >= reach:
-                kept.append(edit)
-                reach = edit[1]
         tape = tape or Tape(text)
-        tape.rewrite(kept)
+        tape.rewrite(marks)
         now = tape.text
     if " dot " in low or spelled and " dot " in now.lower() or " @" in now or "@ " in now:
-        bare = [(p.start(), p.end(), "@" if p["at"] else ".") for m in _BARE.finditer(now) for p in _BARE_PART.finditer(now, *m.span())]
+        bare = _bare(now)
         if bare:
             tape = tape or Tape(text)
             tape.rewrite(bare)

@@ -260,6 +260,10 @@ def test_disguises_map_back(text, kind, span):
         ("card four one one one 1111 1111 1111, thanks", "card", "four one one one 1111 1111 1111"),
         ("to joe at mail.ex dot com", "email", "joe at mail.ex dot com"),
         ("to joe @ ex.com", "email", "joe @ ex.com"),
+        ("john dot doe at example dot com", "email", "john dot doe at example dot com"),
+        ("write me at john dot a dot doe at example dot com, please", "email", "john dot a dot doe at example dot com"),
+        ("write john dot doe (at) example (dot) com", "email", "doe (at) example (dot) com"),
+        ("host one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
     ],
 )
 def test_numbers_that_mix_words_and_digits(text, kind, span):
@@ -272,6 +276,57 @@ def test_numbers_that_no_detector_takes(text):
     assert not any(pii.find_all(text)[1].values())
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "(", "( " * 300_000, "a dot " * 200_000, "a at " * 200_000, "one " * 200_000, "+1 " * 200_000, "1 " * 300_000, "1." * 300_000, "plus " * 200_000, "a@" * 300_000, "[" * 500_000, "a" + " " * 500_000 + "@", "x dot" + " " * 400_000 + "at " * 9, "é1 " * 200_000])
+def test_long_runs_take_linear_time(text):
+    begin = time.process_time()
+    pii.find_all(text)
+    assert time.process_time() - begin < 10
+
+
+WORDS_OF_DIGITS = "zero one two three four five six seven eight nine".split()
+
+
+def plain_readings(text):
+    """The text with each disguise undone in the plainest way, and the source range of each character; one kind of disguise at a time."""
+    rules = [(r"(?i) *[\[(] *at *[\])] *", "@"), (r"(?i) *[\[(] *dot *[\])] *", "."), (r"(?i)(?<=[a-z0-9]) +at +(?=[a-z0-9-]+ +dot )", "@"), (r"(?i)(?<=[a-z0-9]) +dot +(?=[a-z0-9])", "."), (rf" *\b(?:{'|'.join(WORDS_OF_DIGITS)})\b", None)]
+    chars = [(c, i, i + 1) for i, c in enumerate(text)]
+    for pattern, new in rules:
+        out, p = [], 0
+        for m in re.finditer(pattern, "".join(c for c, _, _ in chars)):
+            out += chars[p : m.start()]
+            word = m[0].strip()
+            # blanks before a number word go where a digit is before them
+            lead = m.end() - len(word) if new is None and not (out and out[-1][0].isdigit()) else m.start()
+            first = m.end() - len(word) if new is None else m.start()
+            out += chars[m.start() : lead] + [(new or str(WORDS_OF_DIGITS.index(word)), chars[first][1], chars[m.end() - 1][2])]
+            p = m.end()
+        chars = out + chars[p:]
+    return chars
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_added_spans_equal_a_plain_reading(data):
+    """Texts of words, each with one disguised identifier: the added span is the one that the plain reading and the base patterns give."""
+    word = st.sampled_from("lorem ipsum dolor amet sit".split())
+    before, after = (" ".join(data.draw(st.lists(word, min_size=1, max_size=5))) for _ in "ab")
+    kind = data.draw(st.sampled_from(["bracketed", "spoken", "phone", "ip"]))
+    name, host = data.draw(st.sampled_from(["joe", "a.b", "x1"])), data.draw(st.sampled_from(["ex", "mail", "my-host"]))
+    digits = data.draw(st.lists(st.integers(0, 9), min_size=9, max_size=12))
+    said = {
+        "bracketed": f"{name} [at] {host} (dot) org",
+        "spoken": f"{name} at {host} dot org",
+        "phone": "+" + str(digits[0]) + "".join(" " + WORDS_OF_DIGITS[d] for d in digits[1:]),
+        "ip": " dot ".join(" ".join(WORDS_OF_DIGITS[d] for d in digits[2 * i : 2 * i + 2]) for i in range(4)),
+    }[kind]
+    text = f"{before} {said} {after}"
+    chars = plain_readings(text)
+    reading, of = "".join(c for c, _, _ in chars), {"phone": "phone", "ip": "ip"}.get(kind, "email")
+    pattern, good = BASE[of]
+    want = [(chars[m.start()][1], chars[m.end() - 1][2]) for m in re.finditer(pattern, reading) if good(m[0])]
+    assert [text[a:b] for a, b in want] == [said] and pii.find_all(text)[1][of] == want
+
+
 def test_many_spans_and_one_disguise():
     text = " ".join(f"u{i}@h.example" for i in range(40_000)) + " last [at] h.example"
     base, every = pii.find_all(text)
