@@ -28,8 +28,7 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return documents.select("doc_id", decontaminate.contamination(documents, table(spark, sf_dir, "benchmark")).alias("c")).select("doc_id", "c.*")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

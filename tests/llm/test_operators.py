@@ -129,17 +129,23 @@ def brute_contamination(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
-def test_contamination_equals_brute_force(spark, docs, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [decontaminate.MOST_BITS, 16])
+def test_contamination_equals_brute_force(spark, docs, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    if bits == 16:
+        monkeypatch.setattr(decontaminate, "PROBES", 1)
     passage = " ".join(f"k{i}" for i in range(20))
-    items = [(1, passage), (2, "short one"), (3, "the the the the the"), (4, ""), (5, None), (6, "solo"), (1, passage + " more"), (10, "short one")]
+    many = " ".join(f"m{i} of the" for i in range(90))
+    items = [(1, passage), (2, "short one"), (3, "the the the the the"), (4, ""), (5, None), (6, "solo"), (1, passage + " more"), (10, "short one"), (None, "four words make one"), (11, many), (12, "É ÀB cd ΑΒ")]
     rows = [(0, None), (1, ""), (2, f"x {passage.upper()} y"), (3, "a Short, one! short one"), (4, "the " * 30), (5, LONG), (6, passage[:40]), (7, "solo"), (8, f"{passage} {passage}"), (9, " ".join(["pad"] * 400) + " solo"), (7, "solo")]
+    rows += [(12, many), (13, "x " * 60 + many), (14, many.replace("m40 ", "")), (15, "four words make one four words make"), (16, "É àb CD ΑΒ"), (17, "É ÀB cd αβ"), (18, passage[3:]), (19, "pad " * 57 + passage + " pad" * 70 + " " + passage)]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS s", "2 AS k")
-    got = docs(rows).select("doc_id", decontaminate.contamination(docs(rows), bench).alias("c")).select("doc_id", "c.*").collect()
-    assert sorted(map(tuple, got)) == sorted((i, *brute_contamination(t, items)) for i, t in rows)
+    got = decontaminate.contamination(docs(rows), bench).collect()
+    want = [(i, *brute_contamination(t, [("" if a is None else a, b) for a, b in items])) for i, t in rows]
+    assert sorted(map(tuple, got)) == sorted(want)
+    kept = decontaminate.decontaminate(docs(rows), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[-1]) and kept.columns == docs(rows).columns
     assert decontaminate.decontaminate(docs(rows), bench.limit(0)).count() == len(rows)
-    assert decontaminate.decontaminate(docs(rows), bench).columns == docs(rows).columns
 
 
 # HTML
