@@ -20,7 +20,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages contaminate go."""
+    """Documents that benchmark passages contaminate go; null and empty texts stay, repeated rows stay or go together, columns are unchanged."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -31,7 +31,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document, and for which shards; a null text has none, each row has its own, and no column of docs but doc_id, source and text matters."""
     return mixing.mix(docs)
 
 

@@ -3,9 +3,10 @@
 Sources get integer quotas of equal-token blocks by highest quotients target / (2k - 1). The rule is house-monotone, so
 the quotas of the first j shards are the apportionment of j shards' blocks, and a shard's own quotas are differences.
 No quotient list is made: a divisor gives each source's quota up to the few seats that are left, and only the
-quotients around it compete. A source's blocks lie along its documents in the order of a seeded hash; whole passes
-take every block, the last pass takes the first blocks of that order. A document's share is the overlap of its token
-range with the blocks taken, which needs its offset only: prefix sums over hash ranges, then within each.
+quotients around it compete. A source's blocks lie along its documents in the order of a seeded hash, pass after pass;
+each shard in turn takes the next blocks of every source, as many as its quota says. A document's share in a shard is
+the overlap of its token ranges, one for each pass, with the shard's blocks. That needs its offset only: prefix sums over
+hash ranges, then within each. Words are counted once; how many ranges there are follows from the number of documents.
 
 The blocks have up to BLOCK_TOKENS tokens; fewer where the smallest source would have under BLOCKS_AT_LEAST of them.
 
@@ -19,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import whole_text
+from mnemolake.llm.common import materialise, whole_text
 
 WEIGHTS = (5, 2, 1)
 #: The mix's tokens, and a source's at most, as multiples of what there is.
 SHARE, REPEAT = 1.5, 2
 BLOCK_TOKENS, BLOCKS_AT_LEAST, SHARDS = 1024, 256, 16
-#: Ranges of the 60-bit hash that a source's documents are split into for prefix sums.
-RANGES = 1024
+#: The 60-bit hash is split into ranges for prefix sums, so many that a source of all documents has about RANGE_ROWS in each.
+RANGE_ROWS = 1 << 12
 _HASH_BITS = 60
 
 
@@ -40,8 +41,10 @@ def _place(seed: str) -> Column:
 
 
 def _sized(documents: DataFrame, seed: str) -> DataFrame:
-    rows = documents.select("doc_id", "source", tokens(whole_text()).alias("size"), _place(seed).alias("place"))
-    return rows.withColumn("part", F.shiftright("place", _HASH_BITS - RANGES.bit_length() + 1).cast("int"))
+    """(doc_id, source, size, place, part) as a table: what the mix needs of the texts, counted once."""
+    rows = materialise(documents.select("doc_id", "source", tokens(whole_text()).alias("size"), _place(seed).alias("place")), "sized")
+    bits = max(4, min(20, (rows.count() // RANGE_ROWS).bit_length()))
+    return rows.withColumn("part", F.shiftright("place", _HASH_BITS - bits).cast("int"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -93,20 +96,37 @@ def shard_quotas(targets: DataFrame, shards: int = SHARDS) -> DataFrame:
     return held.withColumn("quota", F.col("held") - before)
 
 
-def mix(documents: DataFrame, seed: str = "mix") -> DataFrame:
-    """One row for each row of documents: doc_id, source, size, source_size, target, taken, block."""
+def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """How much [a, b) and [c, d) have in common."""
+    return F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c))
+
+
+def mix(documents: DataFrame, seed: str = "mix", shards: int = SHARDS) -> DataFrame:
+    """One row for each row of documents: doc_id, source, size, source_size, target, taken, block, shards.
+
+    shards has the words taken for each shard that takes any, as struct(shard, words); taken is their sum.
+    """
     sized = _sized(documents, seed)
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     sources = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
-    totals = shard_quotas(source_targets(sources)).where(F.col("shard") == SHARDS).select(F.col("source").alias("s"), "source_size", "target", "block", "held")
+    quotas = shard_quotas(source_targets(sources), shards)
+    # a source's blocks by shard: where each ends, in order; quotas of earlier shards come first
+    ends = F.transform(F.array_sort(F.collect_list(F.struct("shard", "held"))), lambda x: x["held"])
+    totals = quotas.groupBy("rank").agg(F.first("source").alias("s"), *(F.first(c).alias(c) for c in ("source_size", "target", "block")), ends.alias("ends"))
     offsets = parts.withColumn("part_start", F.sum("part_size").over(W.partitionBy("source").orderBy("part")) - F.col("part_size"))
-    plan = offsets.join(totals, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("part").alias("p"), "part_start", "source_size", "target", "block", "held")
+    plan = offsets.join(totals, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("part").alias("p"), "part_start", "source_size", "target", "block", "ends")
     inside = W.partitionBy("source", "part").orderBy("place", F.col("doc_id"), "size")
     rows = sized.withColumn("start", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    start = F.col("start") + F.col("part_start")
-    blocks = F.ceil(F.col("source_size") / F.col("block"))
-    passes = F.when(blocks > 0, F.floor(F.col("held") / blocks)).otherwise(F.lit(0))
-    reach = (F.col("held") - passes * blocks) * F.col("block")
-    taken = F.col("size") * passes + F.greatest(F.lit(0), F.least(start + F.col("size"), reach) - start)
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "block")
+    rows = rows.withColumn("start", F.col("start") + F.col("part_start")).withColumn("turn", F.ceil(F.col("source_size") / F.col("block")) * F.col("block"))
+
+    def words(i: Column) -> Column:
+        """What shard i, from 0, takes of the document, over all passes."""
+        begin, end = F.when(i > 0, F.get("ends", i - 1)).otherwise(F.lit(0)) * F.col("block"), F.get("ends", i) * F.col("block")
+        starts = [F.col("start") + F.col("turn") * n for n in range(REPEAT)]
+        return sum((_overlap(at, at + F.col("size"), begin, end) for at in starts), F.lit(0))
+
+    taken = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.struct((i + 1).alias("shard"), words(i).cast("long").alias("words")))
+    rows = rows.withColumn("shards", F.filter(taken, lambda x: x["words"] > 0))
+    total = F.aggregate("shards", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return rows.select("doc_id", "source", "size", "source_size", "target", total.alias("taken"), "block", "shards")

@@ -70,7 +70,7 @@ def test_media_round_trip(docs):
 def test_mix_keeps_targets_and_limits(docs):
     rows = [(i, " ".join(["w"] * (1 + i % 40)), None if i % 9 == 8 else f"s{i % 9}" if i % 3 else "hot") for i in range(900)] + [(1, None, "empty"), (5, "a b", "s1"), (5, "a b", "s1")]
     got = mixing.mix(docs(rows)).collect()
-    assert len(got) == len(rows) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs(rows)).collect()), key=str)
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs(rows)).collect()))
     total, sums = sum(r["size"] for r in got), {}
     for r in got:
         assert 0 <= r.taken <= 2 * r["size"]
@@ -81,6 +81,29 @@ def test_mix_keeps_targets_and_limits(docs):
     assert mixing.mix(docs([])).count() == 0 and mixing.mix(docs([(1, None)])).first().taken == 0
 
 
+def test_shards_take_their_quotas_of_blocks(docs):
+    """Each shard's words of a source are the next blocks in the seeded order, as many as the highest quotients say."""
+    rows = [(i, " ".join(["w"] * (i * 7 % 61)), None if i % 9 == 8 else f"s{i % 9 % 4}") for i in range(700)]
+    got, total = mixing.mix(docs(rows), shards=5).collect(), sum(i * 7 % 61 for i in range(700))
+    block, sources = got[0].block, sorted({(r.source is None, r.source or "", r.source_size, r.target) for r in got})
+    won = sorted((-t / (2 * k - 1), rank, k) for rank, (*_, n, t) in enumerate(sources) for k in range(1, 2 * -(-n // block) + 1))
+    seats = int(1.5 * total // block)
+    for rank, (null, name, n, _) in enumerate(sources):
+        held = [sum(q[1] == rank for q in won[: seats * j // 5]) for j in range(6)]
+        own = sorted((hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:15], r.doc_id, r) for r in got if (r.source is None, r.source or "") == (null, name))
+        start, blocks = 0, -(-n // block)
+        for _, _, r in own:
+            want = {}
+            for word in range(start, start + r["size"]):
+                for turn in range(2):
+                    seat = turn * blocks + word // block
+                    if seat < held[5]:
+                        shard = next(j for j in range(1, 6) if seat < held[j])
+                        want[shard] = want.get(shard, 0) + 1
+            assert {x.shard: x.words for x in r.shards} == want and r.taken == sum(want.values())
+            start += r["size"]
+
+
 def test_shard_quotas_are_highest_quotients(spark):
     sizes = [("a", 70000), ("b", 51), ("c", 9000), ("d", 333), ("e", 4100), (None, 7)]
     targets = mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).cache()
