@@ -21,8 +21,8 @@ from mnemolake.llm.license_texts import LONG_TEXTS, NOTICES, TEXTS
 COPYRIGHT_LINE = r"(?m)^[ \t\r*#/;-]*(copyright[ \t:]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*$"
 #: Fixed values: (spelling as a regular expression over the lower-cased text, the one kept).
 SPELLINGS = (
-    (r"\blicence", "license"),
-    (r"\bsub-licen[cs]e", "sublicense"),
+    (r"\blicenc", "licens"),
+    (r"\bsub-?licen[cs]", "sublicens"),
     (r"\bnon-infringement", "noninfringement"),
     (r"\bnon-commercial", "noncommercial"),
     (r"\borganisation", "organization"),
@@ -36,17 +36,45 @@ SPELLINGS = (
 #: Everything but ASCII letters and digits and non-ASCII characters, as a run.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Any text that a spelling rule can change has one of these; others skip the rules.
-_SPELLED = "licenc|sub-licen|non-|isation|ognise|edgement|favour|whilst|copyright|https:"
+#: Any text that a spelling rule can change has one of these, any with a copyright line one of those; others skip the rules.
+_SPELLED = ("licenc", "sub-licens", "non-", "isation", "ognise", "edgement", "favour", "whilst", "copyright", "https:")
+_CLAIMS = ("copyright", "(c)", "©", "all rights")
+#: Characters beyond ASCII that lower() would change, though the canonical form keeps them.
+_OTHER_CAPITAL = r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"
+#: A line has to have one of these to be looked up; ASCII letters of either case.
+_TELLS = r"(?i)licen[cs]e|released under"
 
 
-def canonical(text: Column) -> Column:
-    low = F.translate(text, _UPPER, _LOWER)
-    kept = F.when(low.rlike(r"copyright|\(c\)|©|all rights"), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low)
+def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
+    found = text.contains(parts[0])
+    for part in parts[1:]:
+        found = found | text.contains(part)
+    return found
+
+
+def _low(text: Column) -> Column:
+    """A to Z in lower case and nothing else; the function for all letters is faster, where it gives the same."""
+    same = (F.char_length(text) == F.octet_length(text)) | ~text.rlike(_OTHER_CAPITAL)
+    return F.when(same, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
+def _unclaimed(low: Column) -> Column:
+    return F.when(_any_of(low, _CLAIMS), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low)
+
+
+def _spelled(kept: Column) -> Column:
     spelled = kept
     for pattern, one in SPELLINGS:
         spelled = F.regexp_replace(spelled, pattern, one)
-    return F.btrim(F.regexp_replace(F.when(kept.rlike(_SPELLED), spelled).otherwise(kept), SEPARATORS, " "))
+    return F.when(_any_of(kept, _SPELLED), spelled).otherwise(kept)
+
+
+def _spaced(spelled: Column) -> Column:
+    return F.btrim(F.regexp_replace(spelled, SEPARATORS, " "))
+
+
+def canonical(text: Column) -> Column:
+    return _spaced(_spelled(_unclaimed(_low(text))))
 
 
 def digest(text: Column) -> Column:
@@ -66,9 +94,12 @@ def scan_licenses(documents: DataFrame, more: DataFrame | None = None) -> DataFr
     """
     spark = documents.sparkSession
     notices = F.create_map(*(x for row in known_digests(spark, NOTICES).collect() for x in (F.lit(row.known), F.lit(row.license))))
-    lines = F.filter(F.split(whole_text(), "\n"), lambda x: F.translate(x, _UPPER, _LOWER).rlike("licen[cs]e|released under"))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: notices[digest(x)]), lambda x: x.isNotNull())))
-    rows = documents.select("doc_id", digest(whole_text()).alias("digest"), F.array_join(found, ",").alias("notices"), F.size(found).cast("long").alias("n_notices"))
+    # a step is a column of its own, so that the next one, which reads it several times, doesn't compute it again
+    rows = documents.select("doc_id", whole_text().alias("text"))
+    rows = rows.select("doc_id", "text", _low(F.col("text")).alias("low")).select("doc_id", "text", _unclaimed(F.col("low")).alias("kept"))
+    rows = rows.select("doc_id", F.sha2(_spaced(_spelled(F.col("kept"))), 256).alias("digest"), F.when(F.col("text").rlike(_TELLS), F.filter(F.split("text", "\n"), lambda x: x.rlike(_TELLS))).otherwise(F.array().cast("array<string>")).alias("lines"))
+    rows = rows.select("doc_id", "digest", F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: notices[digest(x)]), lambda x: x.isNotNull()))).alias("found"))
+    rows = rows.select("doc_id", "digest", F.array_join("found", ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))
     known = F.broadcast(known_digests(spark))
     if more is not None:
         own = more.groupBy(digest(whole_text()).alias("known")).agg(F.min("license").alias("license"))

@@ -643,3 +643,45 @@ def test_whole_long_licenses_and_further_texts(spark, docs):
     more = spark.createDataFrame([("Own", "our own terms"), ("Other", texts["GPL-2.0"])], "license string, text string")
     assert {r.doc_id: r.license for r in licenses.scan_licenses(docs(rows)).collect()} == dict(enumerate(texts)) | {90: "Apache-2.0", 91: None, 92: None}
     assert {r.doc_id: r.license for r in licenses.scan_licenses(docs(rows), more).collect()} == dict(enumerate(texts)) | {90: "Apache-2.0", 91: "Own", 92: "Own"}
+
+
+#: The contract's rules, written without the operator's: equal spellings of a word, and what a line that claims copyright starts with.
+SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense", "organisation": "organization", "organisations": "organizations", "recognise": "recognize", "recognised": "recognized", "acknowledgement": "acknowledgment", "acknowledgements": "acknowledgments", "favour": "favor", "favours": "favors", "favourable": "favorable", "whilst": "while", "https": "http"}
+
+
+def plain_canonical(text):
+    """Case, punctuation, copyright lines and spellings made equal, word by word."""
+    lines = []
+    for line in re.sub("[A-Z]+", lambda m: m[0].lower(), text).split("\n"):
+        start = line.lstrip(" \t\r*#/;-")
+        word = start.removeprefix("copyright").lstrip(" \t:") if start.startswith("copyright") else None
+        claims = start.startswith(("©", "all rights reserved")) or start.startswith("(c)") and start[3:].lstrip(" \t")[:1] in tuple("0123456789<[{")
+        claims = claims or word is not None and (word.startswith(("(c)", "©")) or word[:1] in tuple("0123456789<[{"))
+        lines.append("" if claims else line)
+    text = "\n".join(lines).replace("sub-licen", "sublicen").replace("non-infringement", "noninfringement").replace("non-commercial", "noncommercial")
+    out = [SAME.get(w, w) for w in WORD.findall(text)]
+    joined = " ".join(out)
+    return re.sub(r"(?<![^ ])copyright owner", "copyright holder", joined) if "copyright owner" in joined else joined
+
+
+def _mistreated(text):
+    """The same licence as others print it."""
+    yield text
+    yield text.upper()
+    yield text.replace("\n", "\r\n  ").replace(",", " ,").replace('"', "''")
+    yield "Copyright (c) 2019 Some One\n(c) 2020 Another\nAll rights reserved.\n" + text
+    yield "/*\n * " + text.replace("\n", "\n * ") + "\n */"
+    yield re.sub(r"\b(sub)?([Ll])icens", r"\1\2icenc", text).replace("noninfringement", "non-infringement").replace("http:", "https:")
+
+
+def test_planted_licenses_are_found_and_digests_equal_plain_rules(spark, docs):
+    planted = [(name, t) for name, text in TEXTS for t in _mistreated(text)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs([(i, t) for i, (_, t) in enumerate(planted)])).collect()}
+    first = {}
+    for name, text in TEXTS:
+        first.setdefault(plain_canonical(text), name)
+    told = [(i, first.get(plain_canonical(t)), got[i].license) for i, (_, t) in enumerate(planted)]
+    assert [x for x in told if x[1] != x[2]] == [] and sum(x[2] is not None for x in told) == len(told)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + [(-1, "É ÀB Copyright"), (-2, "É àB copyright."), (-3, "é àb copyright"), (-4, "ΑΣ"), (-5, "ΑΣ "), (-6, "Ⅷ"), (-7, None)]
+    digests = {r.doc_id: r.digest for r in licenses.scan_licenses(docs(rows)).collect()}
+    assert all(digests[i] == hashlib.sha256(plain_canonical(t or "").encode()).hexdigest() for i, t in rows)
