@@ -27,7 +27,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, REPEAT = 1.5, 2
 BLOCK_TOKENS, BLOCKS_AT_LEAST, SHARDS = 1024, 256, 16
 #: The 60-bit hash is split into ranges for prefix sums, so many that a source of all documents has about RANGE_ROWS in each.
-RANGE_ROWS = 1 << 12
+RANGE_ROWS = 1 << 7
 _HASH_BITS = 60
 
 
