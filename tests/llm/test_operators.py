@@ -11,10 +11,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 pytest.importorskip("mnemolake.llm")
 
-from mnemolake.llm import chat, common, components, decontaminate, html, licenses, media, mixing, near_duplicates, pii, quality, toxicity, words  # noqa: E402
+from mnemolake.llm import chat, common, components, decontaminate, html, licenses, media, mixing, near_duplicates, pii, quality, toxicity, training, words  # noqa: E402
 from mnemolake.llm.license_texts import TEXTS  # noqa: E402
 from tests.oracle import DATA  # noqa: E402
 
@@ -620,6 +621,17 @@ def test_classifiers_have_a_score_for_everything(spark, docs):
     assert toxicity.drop_toxic(docs(texts), labels).columns == docs(texts).columns
 
 
+def test_samples_are_bounded_by_rows_and_bytes(spark, docs):
+    rows = [(i, f"text {i} " * 10) for i in range(50)] + [(7, "a smaller one")] * 40 + [(None, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 2 + [(7, 0), (99, 1), (None, 1)], "doc_id long, y int")
+    every = training.labelled_sample(docs(rows), labels, "y", F.lit(True), 1000)
+    assert len(every) == 51 and sorted(y for t, y in every if t == "a smaller one") == [0, 1]
+    few = training.labelled_sample(docs(rows), labels, "y", F.lit(True), 1000, 1000)
+    assert 0 < len(few) < 15 and sum(len(t) for t, _ in few) <= 1000 and set(few) <= set(every)
+    assert len(training.labelled_sample(docs(rows), labels, "y", F.lit(True), 1000, 1)) == 1
+    assert training.labelled_sample(docs([]), labels, "y", F.lit(True), 10) == []
+
+
 # licences
 
 
