@@ -38,7 +38,7 @@ def broadcast_bytes(df: DataFrame) -> int:
     A row is held as key and as value, each with 8 bytes a column and 16 more, in a table of up to 64 bytes an entry.
     """
     loose = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
-    if len(loose) < sum(not f.dataType.simpleString() in ("int", "bigint", "boolean", "double") for f in df.schema.fields):
+    if any(f.dataType.simpleString().startswith(("array", "map", "struct", "variant")) for f in df.schema.fields):
         raise TypeError("only flat columns can be measured")
     row = df.agg(F.count("*"), *(F.sum(F.octet_length(c) + 8) for c in loose)).first()
     return row[0] * (2 * (16 + 8 * len(df.columns)) + 64) + 2 * sum(x or 0 for x in row[1:])

@@ -378,14 +378,19 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
 
     Of several texts of that id the first by digest stays; of equal rows with that id any one.
     """
-    classes = text_classes(documents)
-    key, of = free_name(documents, "kept_key"), free_name(documents, "kept_id")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("key").alias(key), F.first("doc_id").alias(of))
-    kept = materialise(kept.select(key, of), "kept")
-    match = (_key(whole_text()) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(of))
-    found = documents.join(broadcast_if_small(kept), match)
+    classes = materialise(text_classes(documents).where("class_rows > 1").select("key", "doc_id", "component", "class_id"), "classes")
+    key, stays, of = (free_name(documents, name) for name in ("kept_key", "kept_text", "kept_id"))
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("component").alias("c")).agg(F.min("key").alias("k"))
+    # of the texts of larger classes: whether they stay, and with which id; a class of one row needs no decision
+    told = classes.join(first, F.col("component") == F.col("c")).select(F.col("key").alias(key), (F.col("key") == F.col("k")).alias(stays), F.col("doc_id").alias(of))
+    told = materialise(told, "kept")
+    judged = documents.join(broadcast_if_small(told), _key(whole_text()) == F.col(key), "left")
+    kept = F.col(stays) & F.col("doc_id").eqNullSafe(F.col(of))
     # ids that repeat with the same text are rare, and known from ids and digests alone
-    again = _keyed(documents).select("key", "doc_id").groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.limit(1).count():
-        found = found.dropDuplicates([key])
-    return found.drop(key, of)
+    again = _keyed(documents).groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        found = judged.where(F.col(key).isNull() | kept)
+    else:
+        found = judged.where(F.col(key).isNull()).unionByName(judged.where(kept).dropDuplicates([key]))
+    discard(classes)
+    return found.drop(key, stays, of)
