@@ -45,11 +45,11 @@ class MemoryStore:
     def search(self, query: str, top_k: int = 5, max_chars: int | None = None, include_archived: bool = False) -> DataFrame:
         if not 1 <= top_k <= 100:
             raise ValueError("top_k is 1 to 100")
-        ranked = search.hybrid(self.store.memories(), query, top_k, self._now(), include_archived)
+        ranked = search.hybrid(self.store.indexed(), query, top_k, self._now(), include_archived)
         return search.messages(ranked if max_chars is None else search.budgeted(ranked, max_chars))
 
     def context(self, query: str, top_k: int = 5) -> str:
-        return search.context_block(search.hybrid(self.store.memories(), query, top_k, self._now())).first()[0]
+        return search.context_block(search.hybrid(self.store.indexed(), query, top_k, self._now())).first()[0]
 
     def files(self, identifier: str | None = None) -> DataFrame:
         rows = lists.file_backed(self.store.memories())

@@ -56,12 +56,22 @@ def embedding(text: Column) -> Column:
 
 
 def embedding_buckets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bucket, signed) where not 0, by expressions alone: trigrams exploded, digits of md5, one sum."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    grams = df.select(key, low.alias("low")).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("low") - 2)), lambda i: F.md5(F.substr(F.col("low"), i, F.lit(3)).cast("binary")))).alias("h"))
-    bucket = (F.conv(F.substring("h", 31, 2), 16, 10).cast("int") % DIM).alias("bucket")
-    sign = F.lit(1) - 2 * (F.conv(F.substring("h", 16, 1), 16, 10).cast("int") % 2)
-    return grams.groupBy(key, bucket).agg(F.sum(sign).cast("long").alias("signed")).where("signed != 0")
+    """(key, bucket, signed) where not 0, by expressions alone: trigrams exploded, digits of md5, one sum.
+
+    Characters are split once, so that a trigram far into a text costs what the first one does. A key sends at most one
+    row a bucket and task into the shuffle.
+    """
+    chars = df.select(key, F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "").alias("c"))
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("c") - 3))
+    grams = chars.select(key, F.explode(F.transform(at, lambda i: F.array_join(F.slice("c", i + 1, F.lit(3)), ""))).alias("gram"))
+    hashed = grams.select(key, F.md5(F.col("gram").cast("binary")).alias("h"))
+
+    def digit(place: int) -> Column:
+        return F.instr(F.lit("0123456789abcdef"), F.substring("h", place, 1)) - 1
+
+    bucket = (digit(31) % (DIM // 16) * 16 + digit(32)).cast("int").alias("bucket")
+    sign = F.lit(1) - 2 * (digit(16) % 2)
+    return hashed.groupBy(key, bucket).agg(F.sum(sign).cast("long").alias("signed")).where("signed != 0")
 
 
 def pack(vector: list[float]) -> bytes:

@@ -51,48 +51,83 @@ def _occurrences(tokens: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(places, at))
 
 
+def tokens_of(text: Column, stemmed: bool = True) -> Column:
+    return stems(text) if stemmed else plain_tokens(text)
+
+
 def index(memories: DataFrame, key: str = "id", text: str = "fact_text", stemmed: bool = True) -> DataFrame:
     """(key, tokens): derived and rebuildable. Every row is in it, those without text too."""
-    return memories.select(key, (stems(F.col(text)) if stemmed else plain_tokens(F.col(text))).alias("tokens"))
+    return memories.select(key, tokens_of(F.col(text), stemmed).alias("tokens"))
+
+
+def _counts(wanted: list[list[str]]) -> list[Column]:
+    return [F.size("tokens").alias("length"), *(_occurrences(F.col("tokens"), p).alias(f"f{i}") for i, p in enumerate(wanted))]
+
+
+def _corpus(counted: DataFrame, n: int) -> DataFrame:
+    """One row of statistics, so it is broadcast."""
+    return F.broadcast(counted.agg(F.count("*").alias("rows"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n))))
+
+
+def _bm25(n: int) -> Column:
+    """Of counts beside the corpus statistics; null where a phrase is absent."""
+    score = F.lit(0.0)
+    for i in range(n):
+        f, held = F.col(f"f{i}"), F.col(f"n{i}")
+        idf = F.ln((F.col("rows") - held + 0.5) / (held + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return F.when(F.expr(" AND ".join(f"f{i} > 0" for i in range(n))), -score)
 
 
 def bm25(indexed: DataFrame, query: str, key: str = "id", stemmed: bool = True) -> DataFrame:
-    """(key, bm25), lower is better, for rows that hold all phrases. The corpus statistics are one row, so they are broadcast."""
+    """(key, bm25), lower is better, for rows that hold all phrases."""
     wanted = phrases(query, stemmed)
     if not wanted:
         return indexed.select(key, F.lit(0.0).alias("bm25")).limit(0)
-    counted = indexed.select(key, F.size("tokens").alias("length"), *(_occurrences(F.col("tokens"), p).alias(f"f{i}") for i, p in enumerate(wanted)))
-    corpus = counted.agg(F.count("*").alias("rows"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(wanted))))
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.ln((F.col("rows") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = counted.where(" AND ".join(f"f{i} > 0" for i in range(len(wanted))))
-    return hits.join(F.broadcast(corpus)).select(key, (-score).alias("bm25"))
+    counted = indexed.select(key, *_counts(wanted))
+    return counted.join(_corpus(counted, len(wanted))).select(key, _bm25(len(wanted)).alias("bm25")).where("bm25 IS NOT NULL")
+
+
+def _ends(scores: DataFrame) -> DataFrame:
+    return F.broadcast(scores.agg(F.min("bm25").alias("best"), F.max("bm25").alias("worst")))
+
+
+def _text_score() -> Column:
+    return F.when(F.col("best") == F.col("worst"), F.lit(1.0)).otherwise(1 - (F.col("bm25") - F.col("best")) / (F.col("worst") - F.col("best")))
 
 
 def normalised(scores: DataFrame, key: str = "id") -> DataFrame:
     """(key, text_score): 1 for the best, 0 for the worst, 1 for all where they are equal."""
-    ends = scores.agg(F.min("bm25").alias("best"), F.max("bm25").alias("worst"))
-    value = F.when(F.col("best") == F.col("worst"), F.lit(1.0)).otherwise(1 - (F.col("bm25") - F.col("best")) / (F.col("worst") - F.col("best")))
-    return scores.join(F.broadcast(ends)).select(key, value.alias("text_score"))
+    return scores.join(_ends(scores)).select(key, _text_score().alias("text_score"))
 
 
 def hybrid(memories: DataFrame, query: str, k: int = 5, now: int | None = None, include_archived: bool = False, stemmed: bool = True, query_vector: list[float] | None = None) -> DataFrame:
     """The k best rows: id, identifier, content, created_at, cosine, text_score, score, rank. Rows without text are no candidates.
 
-    The index covers all rows, also those that the search doesn't show, so its statistics don't change with time.
+    The index covers all rows, also those that the search doesn't show, so its statistics don't change with time. Stems
+    are read from `tokens` where memories have that column. Counts, statistics and scores lie beside their rows, so
+    nothing is joined but single rows.
     """
-    text = normalised(bm25(index(memories, stemmed=stemmed), query, stemmed=stemmed).join(visible(memories, now, include_archived).select("id"), "id", "left_semi")).select(F.col("id").alias("hit"), "text_score")
-    seen = visible(memories, now, include_archived).where(search_text().isNotNull())
-    seen = seen.select("id", "identifier", "source", search_text().alias("content"), "created_at", "importance", cosine(F.col("embedding"), vector(query_vector or embed(query))).alias("cosine"))
-    scored = seen.join(text, F.col("id") == F.col("hit"), "left").withColumn("text_score", F.coalesce("text_score", F.lit(0.0)))
+    wanted = phrases(query, stemmed)
+    held = memories if stemmed and "tokens" in memories.columns else memories.withColumn("tokens", tokens_of(F.col("fact_text"), stemmed))
+    shown = F.lit(True)
+    if now is not None:
+        shown = shown & ttl_live(now)
+    if not include_archived:
+        shown = shown & not_archived()
+    near = cosine(F.col("embedding"), vector(query_vector or embed(query))).alias("cosine")
+    counted = held.select("id", "identifier", "source", search_text().alias("content"), "created_at", "importance", near, shown.alias("shown"), *_counts(wanted))
+    if wanted:
+        matched = counted.where("shown").join(_corpus(counted, len(wanted))).withColumn("bm25", _bm25(len(wanted)))
+        scored = matched.join(_ends(matched)).withColumn("text_score", F.coalesce(F.when(F.col("bm25").isNotNull(), _text_score()), F.lit(0.0)))
+    else:
+        scored = counted.where("shown").withColumn("text_score", F.lit(0.0))
     score = F.lit(COSINE_WEIGHT) * F.col("cosine") + F.lit(TEXT_WEIGHT) * F.col("text_score") + F.lit(IMPORTANCE_WEIGHT) * F.col("importance")
-    top = scored.withColumn("score", score).orderBy(F.desc("score"), F.desc("cosine"), "id").limit(k)
+    shape = ("id", "identifier", "source", "content", "created_at", "importance", "cosine", "text_score")
+    top = scored.where("content IS NOT NULL").select(*shape, score.alias("score")).orderBy(F.desc("score"), F.desc("cosine"), "id").limit(k)
     # a window over the k rows alone
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc("cosine"), "id"))).drop("hit")
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc("cosine"), "id")))
 
 
 def budgeted(ranked: DataFrame, max_chars: int) -> DataFrame:

@@ -14,6 +14,7 @@ from mnemolake.operators import dedup, events, hydrate, hygiene, lifecycle, list
 from mnemolake.schema import conform
 from mnemolake.sources import inspectors
 from mnemolake.streaming import event_stream
+from mnemolake.work import materialise
 
 #: 2024-01-01T02:00:00Z
 NOW = 1704074400
@@ -123,7 +124,7 @@ def q_bm25_norm(s, d):
 
 
 def q_bm25_stemmed(s, d):
-    return search.bm25(search.index(memories(s, d)), "things and the")
+    return search.bm25(materialise(search.index(memories(s, d)), "index"), "things and the")
 
 
 def _hybrid(s, d, k=20):
@@ -136,8 +137,9 @@ def q_hybrid_search(s, d):
 
 
 def q_hybrid_memories(s, d):
-    rows = memories(s, d).withColumn("fact_summary", F.lit(None).cast("string")).withColumn("embedding", embedding(F.col("fact_text")))
-    return search.messages(search.hybrid(rows, "the thing and then", 10, NOW))
+    rows = memories(s, d).withColumn("fact_summary", F.lit(None).cast("string")).withColumns({"embedding": embedding(F.col("fact_text")), "tokens": search.tokens_of(F.col("fact_text"))})
+    # vectors and stems are written once, as a store does; the search itself runs no Python
+    return search.messages(search.hybrid(materialise(rows, "index"), "the thing and then", 10, NOW))
 
 
 def q_search_max_chars(s, d):

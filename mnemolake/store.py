@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 from mnemolake.operators.dedup import insert_order, live_versions, not_in_store
 from mnemolake.operators.events import utc
 from mnemolake.operators.lifecycle import apply_updates
+from mnemolake.operators.search import tokens_of
 from mnemolake.schema import BUNDLE, EVENT, MEMORY, conform, ddl
 
 UPDATE = (("id", "string", None), ("seq", "long", None), ("promotion_state", "string", None), ("promotion_candidate", "int", None), ("updated_at", "string", None))
-_VERSION = (("seq", "long", None), *MEMORY)
+TOKENS = ("tokens", "array<string>", None)
+#: A version holds the stems of its text, so that searches don't stem; no other reader reads that column.
+_VERSION = (("seq", "long", None), *MEMORY, TOKENS)
 LOGS = {"versions": _VERSION, "updates": UPDATE, "events": EVENT, "bundles": (("seq", "long", None), *BUNDLE)}
 
 
+def _with_tokens(rows: DataFrame) -> DataFrame:
+    return rows if "tokens" in rows.columns else rows.withColumn("tokens", tokens_of(F.col("fact_text")))
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -34,7 +41,7 @@ class Store:
     def _pointer(self) -> dict:
         at = self._path(f"{self.root}/pointer.json")
         if not self._fs.exists(at):
-            return {"next": 1, **{k: [] for k in LOGS}}
+            return {"next": 1, "distinct": True, "indexed": True, **{k: [] for k in LOGS}}
         stream = self._fs.open(at)
         try:
             return {k: [] for k in LOGS} | json.loads(bytes(stream.readAllBytes()).decode())
@@ -65,7 +72,9 @@ class Store:
         state = self._pointer()
         for name, df in frames.items():
             batch = f"{name}/{uuid.uuid4().hex}"
-            if name == "events":
+            if name == "versions":
+                df, state["distinct"] = _with_tokens(df), False
+            elif name == "events":
                 df = df.withColumn("occurred_at", utc(F.col("occurred_at")))
             numbered = df.withColumn("seq", F.monotonically_increasing_id() + F.lit(state["next"]))
             conform(numbered, LOGS[name]).write.parquet(f"{self.root}/{batch}")
@@ -74,13 +83,25 @@ class Store:
             state["next"] = max(state["next"], (top or 0) + 1)
         self._publish(state)
 
+    def _live(self, state: dict) -> DataFrame:
+        """Versions that live, with the latest state of each. What inserts and compactions alone wrote needs no replacing."""
+        rows = self.log("versions")
+        if not state.get("distinct"):
+            rows = live_versions(rows)
+        return apply_updates(rows, self.log("updates")) if state["updates"] else rows
+
     def current(self) -> DataFrame:
         """Live memory rows with the latest state of each."""
-        return apply_updates(live_versions(self.log("versions")), self.log("updates")).select("seq", *(c[0] for c in MEMORY))
+        return self._live(self._pointer()).select("seq", *(c[0] for c in MEMORY))
 
     def memories(self) -> DataFrame:
         return self.current().drop("seq")
 
+    def indexed(self) -> DataFrame:
+        """memories() with the stems of each row; a store that was begun without stems has them from its next compaction on."""
+        state = self._pointer()
+        return self._live(state).select(*(c[0] for c in MEMORY), *(["tokens"] if state.get("indexed") else []))
+
     def events(self) -> DataFrame:
         return self.log("events")
 
@@ -102,13 +123,14 @@ class Store:
         state, have = self._pointer(), self.current().select("id", "content_hash")
         given = f"given/{uuid.uuid4().hex}"
         # written first: seq has to be the same each time that the rows are read
-        conform(rows.withColumn("seq", F.monotonically_increasing_id() + F.lit(state["next"])), _VERSION).write.parquet(f"{self.root}/{given}")
-        new = not_in_store(self.spark.read.schema(ddl(_VERSION)).parquet(f"{self.root}/{given}"), have, "id", "content_hash")
+        conform(rows.withColumn("seq", F.monotonically_increasing_id() + F.lit(state["next"])), _VERSION[:-1]).write.parquet(f"{self.root}/{given}")
+        new = not_in_store(self.spark.read.schema(ddl(_VERSION[:-1])).parquet(f"{self.root}/{given}"), have, "id", "content_hash")
         batch = f"versions/{uuid.uuid4().hex}"
-        conform(insert_order(new), _VERSION).write.parquet(f"{self.root}/{batch}")
+        conform(_with_tokens(insert_order(new)), _VERSION).write.parquet(f"{self.root}/{batch}")
         self._fs.delete(self._path(f"{self.root}/{given}"), True)
-        told = self.spark.read.schema(ddl(_VERSION)).parquet(f"{self.root}/{batch}").agg(F.count("*"), F.max("seq")).first()
+        told = self.spark.read.schema(ddl(_VERSION)).parquet(f"{self.root}/{batch}").agg(F.count("*"), F.max("seq"), F.count_if(F.coalesce("id", F.lit("")) == "")).first()
         state["versions"].append(batch)
+        state["distinct"] = bool(state.get("distinct")) and told[2] == 0
         state["next"] = max(state["next"], (told[1] or 0) + 1)
         self._publish(state)
         return told[0]
@@ -121,6 +143,9 @@ class Store:
 
     def compact(self) -> None:
         """Writes the live rows as one batch; seq stays, so later updates still find their version."""
-        batch = f"versions/{uuid.uuid4().hex}"
-        self.current().write.parquet(f"{self.root}/{batch}")
-        self._publish(self._pointer() | {"versions": [batch], "updates": []})
+        batch, state = f"versions/{uuid.uuid4().hex}", self._pointer()
+        rows = self._live(state)
+        if not state.get("indexed"):
+            rows = _with_tokens(rows.drop("tokens"))
+        rows.select(*(c[0] for c in _VERSION)).write.parquet(f"{self.root}/{batch}")
+        self._publish(state | {"versions": [batch], "updates": [], "distinct": True, "indexed": True})

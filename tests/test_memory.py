@@ -10,6 +10,7 @@ from mnemolake.functions.embed import bucket_sums, embed, embedding_buckets
 from mnemolake.functions.stem import stem
 from mnemolake.operators import dedup, events, search
 from mnemolake.operators.lifecycle import InvalidTransition
+from mnemolake.schema import conform
 from mnemolake.sources import bundle, inspectors, snapshot, storage
 
 CORPUS = ["invoice invoices total was five", "Invoicing vendor_x duplicate invoice risk", "payment terms are net 30", "", "café résumé running runs", "the payment of the invoice is late", "running shoes"]
@@ -147,6 +148,28 @@ def test_store_end_to_end(spark, tmp_path):
         snapshot.verify(out)
 
 
+def test_search_reads_the_stems_that_the_store_wrote(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "store"))
+    rows = conform(spark.createDataFrame([(str(n), "acme", f"{CORPUS[n % len(CORPUS)]} {n}", embed(str(n)), f"h{n}", "2024-01-01T00:00:00Z") for n in range(40)], "id string, identifier string, fact_text string, embedding array<float>, content_hash string, created_at string"))
+
+    def found():
+        plain = search.messages(search.hybrid(store.store.memories(), "running invoices", 8)).collect()
+        assert store.search("running invoices", 8).orderBy("rank").collect() == sorted(plain, key=lambda r: r["rank"])
+        plan = store.search("running invoices", 8)._jdf.queryExecution().toString()
+        assert "ArrowEvalPython" not in plan
+        return plan
+
+    assert store.store.insert_ignore(rows) == 40
+    assert "SortMergeJoin" not in found()  # nothing replaced, nothing updated: no version is looked for
+    store.add("acme", "running late with the invoices", content_hash="h0")
+    found()
+    store.store.compact()
+    found()
+    ids = conform(spark.createDataFrame([("", "x"), ("", "y")], "id string, fact_text string"))
+    store.store.insert_ignore(ids)
+    assert store.count() == store.store.current().select("id").distinct().count()
+
+
 def test_bundles_and_inspectors(spark, tmp_path):
     root = tmp_path / "b"
     (root / "attachments").mkdir(parents=True)
