@@ -7,6 +7,8 @@ import json
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,20 @@ class MemoryStore:
         asked = self.spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
         return hydrate.hydrate_many(self.store.memories(), asked, self.base, verify)
 
+    def hydrate_profiles(self, ids: list[str], profile: str | None, verify: bool = True) -> dict[str, dict]:
+        """hydrate() of many ids as one join: what is known of each; a failed read is in `reason` or `warning`."""
+        asked = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
+        rows = self.store.memories().join(asked, "id", "left_semi")
+        if profile in ("compact", "agent"):
+            found = lists.profile(rows, profile)
+        elif profile in ("audit", "full"):
+            found = hydrate.audit(rows, self.base, verify, profile == "full")
+        elif profile is None:
+            found = hydrate.hydrate(rows, self.base, verify)
+        else:
+            raise ValueError(f"unknown profile: {profile}")
+        return {r.id: r.asDict() for r in found.toLocalIterator()}
+
     # what changes
 
     def add(self, identifier: str, fact: str | None = None, file_uri: str | None = None, byte_offset: int | None = None, byte_length: int | None = None, importance: float = 0.5, ttl_seconds: int | None = None, summary: str | None = None, **columns) -> str:
@@ -143,7 +159,12 @@ class MemoryStore:
 
     def restore(self, path: str) -> int:
         rows = snapshot.load(self.spark, path)
-        loaded = self.store.insert_ignore(swap.new_rows(rows, self.store.current()))
+        try:
+            loaded = self.store.insert_ignore(swap.new_rows(rows, self.store.current()))
+        except (Py4JJavaError, PySparkException) as error:
+            if path.endswith(".gz") and any(told in str(error) for told in ("not a gzip file", "EOFException", "ZipException", "invalid gzip", "incorrect header check", "invalid block type", "invalid distance")):
+                raise ValueError(f"malformed compressed swap file: {path}") from error
+            raise
         kind = "bundle.imported" if os.path.isdir(path) and bundle.is_bundle(path) else "snapshot.imported"
         self._log(kind, {"path": path, "loaded": loaded})
         return loaded

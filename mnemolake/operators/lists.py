@@ -6,11 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemolake.functions.exprs import agent_truncate, non_empty, resolve_uri, ttl_live
+from mnemolake.functions.exprs import agent_truncate, resolve_uri, ttl_live
 
 SCAN = ("id", "identifier", "fact_text", "source", "importance", "metadata_json", "content_hash", "ttl_seconds", "created_at")
 
@@ -141,7 +141,3 @@ def mirrored_importance() -> Column:
 def mirrored_writes(writes: DataFrame) -> DataFrame:
     """Writes (action, target, ...) made elsewhere with their importance; a removal expires after a second, as nothing is deleted."""
     return writes.withColumn("importance", mirrored_importance()).withColumn("ttl_seconds", F.when(F.col("action") == "remove", F.lit(1).cast("long")))
-
-
-def search_text_or_empty() -> Column:
-    return F.coalesce(non_empty(F.col("fact_text")), non_empty(F.col("fact_summary")), F.lit(""))

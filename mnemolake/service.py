@@ -91,16 +91,19 @@ class Service:
 
     def hydrate_batch(self, asked: dict) -> dict:
         """One answer for each id, in order; what fails for one doesn't stop the others."""
-        results, profile = [], asked.get("profile", "agent")
-        for memory_id in asked["memory_ids"]:
-            try:
-                results.append(self._profile(self.store.hydrate(memory_id, profile, asked.get("verify", True)), profile))
-            except NotFound:
+        ids, profile = list(asked["memory_ids"]), asked.get("profile", "agent")
+        try:
+            found = self.store.hydrate_profiles(ids, profile, asked.get("verify", True))
+        except ValueError as error:
+            return self._counted("results", [{"memory_id": i, "error": "invalid_profile", "message": str(error)} for i in ids])
+        results = []
+        for memory_id in ids:
+            if memory_id not in found:
                 results.append({"memory_id": memory_id, "error": "not_found"})
-            except storage.ProvenanceError as error:
-                results.append({"memory_id": memory_id, "error": "provenance_mismatch", "reason": error.reason, "source_uri": error.uri})
-            except ValueError as error:
-                results.append({"memory_id": memory_id, "error": "invalid_profile", "message": str(error)})
+            elif reason := found[memory_id].get("reason"):
+                results.append({"memory_id": memory_id, "error": "provenance_mismatch", "reason": reason, "source_uri": memory_id})
+            else:
+                results.append(self._profile(dict(found[memory_id]), profile))
         return self._counted("results", results)
 
     def files(self, asked: dict) -> dict:

@@ -144,12 +144,3 @@ def load(spark: SparkSession, path: str, sources: dict[str, Callable] | None = N
     if kind == "legacy":
         return swap.read(spark, os.path.join(path, ROWS))
     return ({"snapshot": read, "bundle": bundle.read, "sqlite": sqlite.read_memories, "swap": swap.read} | (sources or {}))[kind](spark, path)
-
-
-def verify_table(listing: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The same checks as a join, for many snapshots at once: listing (path, length, sha256), manifest (path, size, sha256)."""
-    m = manifest.select("path", "size", F.col("sha256").alias("want"))
-    reason = F.when(F.col("length").isNull(), "missing_file").when((F.col("length") != F.col("size")) | (F.col("sha256") != F.col("want")), "mismatch")
-    return m.join(listing, "path", "left").select("path", reason.alias("reason"))
-
-

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions.exprs import resolve_uri
 
 #: Format by suffix.
-FORMATS = {".csv": "csv", ".tsv": "csv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".parquet": "parquet", ".md": "markdown", ".txt": "text", ".pdf": "pdf"}
+FORMATS = {".csv": "csv", ".tsv": "csv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".parquet": "parquet", ".md": "markdown", ".txt": "txt", ".pdf": "pdf", ".html": "html", ".xml": "xml", ".png": "png", ".jpg": "jpeg", ".jpeg": "jpeg"}
 
 
 class UnsupportedScheme(ValueError):
@@ -51,7 +51,16 @@ def read_range(path: str, offset: int = 0, length: int | None = None) -> bytes:
         return f.read() if length is None else f.read(length)
 
 
+def exists(uri: str, base: str | None = None) -> bool:
+    return os.path.exists(local_path(uri, base))
+
+
 def mapped(path: str, offset: int, length: int) -> bytes:
+    """read_range() through a map of the file, for many ranges of one file; a range beyond its end is short."""
+    if offset < 0 or length < 0:
+        raise ValueError("offset and length must not be negative")
+    if not os.path.getsize(path):
+        return b""  # an empty file can't be mapped
     with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
         return m[offset : offset + length]
 
@@ -63,7 +72,7 @@ def checksum(path: str) -> str:
 
 
 def metadata(path: str) -> dict:
-    return {"path": path, "size": os.path.getsize(path), "modified": os.path.getmtime(path), "format": FORMATS.get(os.path.splitext(path)[1].lower(), "binary")}
+    return {"path": path, "size": os.path.getsize(path), "modified": os.path.getmtime(path), "format": FORMATS.get(os.path.splitext(path)[1].lower(), "unknown")}
 
 
 def classify(path: str, offset: int, length: int, expected: str | None) -> tuple[bytes | None, bool, str | None]:

@@ -190,6 +190,7 @@ def test_bundles_and_inspectors(spark, tmp_path):
     (tmp_path / "j.jsonl").write_text('{"id": 1}\nbad\n{"name": 2}')
     told = inspectors.inspect(spark, str(tmp_path / "j.jsonl"))
     assert (told["columns"], told["row_count"], told["invalid"]) == (["id", "name"], 3, 1)
+    assert (told["sample"], told["unsupported_reason"]) == ([{"id": 1}, {"name": 2}], "line 1 isn't JSON")
     (tmp_path / "p.parquet").write_bytes(b"no")
     assert inspectors.inspect(spark, str(tmp_path / "p.parquet"))["unsupported_reason"]
     assert inspectors.inspect(spark, "/root/testdata/sf0.001/nation.parquet")["row_count"] == 25
@@ -197,6 +198,45 @@ def test_bundles_and_inspectors(spark, tmp_path):
         inspectors.inspect(spark, "s3://x/y.csv")
 
 
+def test_inspectors_tell_places(spark, tmp_path):
+    csv = tmp_path / "q.csv"
+    csv.write_bytes(b'id,note\n1,"line one\nline two"\n\n2,simple\n3,last')
+    told = inspectors.inspect(spark, str(csv), count_rows=True, sample=5)
+    raw = csv.read_bytes()
+    assert [raw[o : o + n].strip() for o, n in told["byte_ranges"]] == [b'1,"line one\nline two"', b"2,simple", b"3,last"]
+    assert (told["row_count"], told["sample"][0]["note"], len(told["checksum"])) == (3, "line one\nline two", 64) and isinstance(told["mtime"], float)
+    lines = [json.dumps({"id": n, "é": "x" * (n % 50)}, ensure_ascii=False) for n in range(4000)]
+    lines[3500] = "{no"
+    path = tmp_path / "many.jsonl"
+    path.write_text("\n".join(lines[:2]) + "\n\n" + "\n".join(lines[2:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        told = inspectors.inspect(spark, str(path), sample=3)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    raw = path.read_bytes()
+    assert [json.loads(raw[o : o + n]) for o, n in told["byte_ranges"]] == told["sample"] and len(told["sample"]) == 3
+    assert (told["row_count"], told["invalid"], told["unsupported_reason"]) == (4000, 1, "line 3501 isn't JSON")
+    assert storage.metadata("/etc/hostname")["format"] == "unknown" and storage.FORMATS[".jpg"] == "jpeg"
+    assert storage.exists(str(path)) and not storage.exists("nothing", str(tmp_path))
+    assert storage.mapped(str(path), 3, 10) == storage.read_range(str(path), 3, 10) and storage.mapped(str(path), len(raw) - 2, 10) == raw[-2:]
+
+
+def test_a_broken_gzip_is_a_value_error(spark, tmp_path):
+    import gzip
+
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    whole = gzip.compress("\n".join(json.dumps({"id": str(n), "identifier": "i", "fact_text": f"{random.random()}"}) for n in range(500)).encode())
+    (tmp_path / "cut.jsonl.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "other.jsonl.gz").write_bytes(b"not compressed at all")
+    for name in ("cut", "other"):
+        with pytest.raises(ValueError, match="malformed compressed"):
+            store.restore(str(tmp_path / f"{name}.jsonl.gz"))
+    assert store.count() == 0
+    (tmp_path / "whole.jsonl.gz").write_bytes(whole)
+    assert store.restore(str(tmp_path / "whole.jsonl.gz")) == 500
+
+
 def test_sqlite_sources(spark, tmp_path):
     path = str(tmp_path / "m.db")
     db = sqlite3.connect(path)
