@@ -10,7 +10,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from mnemolake import tools
+from mnemolake import tools, trace
 from mnemolake.facade import MemoryStore
 from mnemolake.service import Service, http_server, openapi
 
@@ -73,6 +73,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         root, swap = places["store"], places["swap_path"]
     service = Service(MemoryStore(spark, root, asked.base), swap)
     if asked.command == "serve":
+        trace.to_stderr()
         http_server(service, asked.host, asked.port).serve_forever()
     elif asked.command == "tools":
         tools.run(service, sys.stdin, sys.stdout)

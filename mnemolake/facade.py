@@ -77,6 +77,17 @@ class MemoryStore:
         asked = self.spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
         return hydrate.hydrate_many(self.store.memories(), asked, self.base, verify)
 
+    def hydrate_all(self, ids: list[str], verify: bool = True) -> list[dict]:
+        """Contents in the order of ids; raises at the first that is unknown or can't be read."""
+        found = []
+        for r in self.hydrate_batch(ids, verify).toLocalIterator():
+            if r.reason == "not_found":
+                raise NotFound(r.id)
+            if r.reason:
+                raise storage.ProvenanceError(r.reason, r.id)
+            found.append({"id": r.id, "content": bytes(r.content), "verified": r.verified})
+        return found
+
     def hydrate_profiles(self, ids: list[str], profile: str | None, verify: bool = True) -> dict[str, dict]:
         """hydrate() of many ids as one join: what is known of each; a failed read is in `reason` or `warning`."""
         asked = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")

@@ -85,6 +85,14 @@ ORACLE_SQL: dict[str, str] = {
     "profile_compact": f"WITH {_D} SELECT id, identifier, 'fact' AS memory_type, length(fact_text) AS text_chars FROM d",
     "profile_agent": f"WITH {_D} SELECT id, CASE WHEN length(fact_text) > 4096 THEN substr(fact_text, 1, 4096) || '…' ELSE fact_text END AS content, length(fact_text) > 4096 AS truncated FROM d",
     "agent_truncate": "SELECT doc_id, md5(CASE WHEN length(text) > 4096 THEN substr(text, 1, 4096) || '…' ELSE text END) AS h FROM documents",
+    "all_rows": f"WITH {_M} SELECT id, identifier, fact_text, source, promotion_candidate FROM m",
+    "replay_events": f"WITH {_E} SELECT seq, memory_id, event_type, occurred_at FROM e WHERE seq > 700",
+    "key_order": "SELECT key, min(event_id) AS first_line, CAST(arg_min(place, event_id) AS INTEGER) AS place, count(*) AS n FROM (SELECT event_id, unnest(json_keys(props)) AS key, unnest(range(0, len(json_keys(props)))) AS place FROM events) GROUP BY key",
+    "stored_vectors": "SELECT vec_id, vec_id % 7 > 2 AND vec_id % 3 <> 0 AND vec_id % 5 <> 0 AND len(embedding) = 64 AS ok FROM embeddings",
+    "hygiene_findings": """SELECT 'growth' AS category, 'info' AS severity, CAST(NULL AS VARCHAR) AS subject, count(*) AS amount FROM pages HAVING count(*) > 1000
+        UNION ALL SELECT 'attachment_growth', 'info', NULL, count(*) FROM pages HAVING count(*) > 100
+        UNION ALL SELECT 'missing_backing_file', CASE WHEN page_id % 2 = 1 THEN 'error' ELSE 'warn' END, CAST(page_id AS VARCHAR), NULL FROM pages WHERE page_id % 4 <> 1
+        UNION ALL SELECT 'stale_bundle', 'warn', 'b/' || page_id, NULL FROM pages WHERE page_id % 6 = 0 AND page_id % 9 = 0""",
     "jsonl_inspect": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
     "jsonl_summary": "SELECT count(*) AS rows, count(*) FILTER (NOT json_valid(props)) AS invalid FROM events WHERE trim(props) <> ''",
     "resolve_uri": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '/data/pages/' || page_id END AS uri FROM pages",

@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemolake.functions.embed import decode_vector, embedding, embedding_buckets, encode_vector
-from mnemolake.functions.exprs import agent_truncate, content_hash, file_hash, resolve_uri, ttl_live
+from mnemolake.functions.exprs import agent_truncate, content_hash, file_hash, resolve_uri, stored_vector_ok, ttl_live
 from mnemolake.operators import dedup, events, hydrate, hygiene, lifecycle, lists, search
-from mnemolake.schema import conform
-from mnemolake.sources import inspectors
+from mnemolake.schema import DIM, MODEL, conform
+from mnemolake.sources import bundle, inspectors
 from mnemolake.streaming import event_stream
 from mnemolake.work import materialise
 
@@ -332,5 +332,40 @@ def q_lifecycle_apply(s, d):
     return lifecycle.apply_updates(versions, updates).select("id", "seq", "promotion_state", "promotion_candidate", "updated_at")
 
 
+def q_all_rows(s, d):
+    return lists.all_rows(memories(s, d)).select("id", "identifier", "fact_text", "source", "promotion_candidate")
+
+
+def q_replay_events(s, d):
+    """What the replay iterator reads, without its order."""
+    return events.select_events(event_rows(s, d), after_seq=700).select("seq", "memory_id", "event_type", "occurred_at")
+
+
+def q_key_order(s, d):
+    """Keys by the line and the place where each is first seen."""
+    return inspectors.jsonl_columns(inspectors.jsonl_lines(_table(s, d, "events"), "event_id", "props"), "event_id")
+
+
+def q_stored_vectors(s, d):
+    """Which stored vectors may be used again: some aren't base64, are short, of another size or another model."""
+    n = F.col("vec_id")
+    encoded = F.when(n % 7 == 0, "%%%").when(n % 7 == 1, F.base64(F.lit("short").cast("binary"))).when(n % 7 > 2, F.base64(encode_vector(F.col("embedding"))))
+    dim, model = F.when(n % 3 == 0, 32).otherwise(DIM), F.when(n % 5 == 0, "other").otherwise(MODEL)
+    return _table(s, d, "embeddings").select("vec_id", stored_vector_ok(encoded, dim, model, DIM, MODEL).alias("ok"))
+
+
+def q_hygiene_findings(s, d):
+    """Files and bundles that aren't there any more, and counts beyond their thresholds."""
+    pages = _table(s, d, "pages")
+    local = F.col("page_id") % 2 == 1
+    uri = F.when(local, F.concat(F.lit("/data/"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("s3://bucket/"), F.col("page_id").cast("string")))
+    files = pages.select(F.col("page_id").cast("string").alias("id"), uri.alias("source_uri"), F.lit("file").alias("memory_type"), F.lit("").alias("fact_text"), F.lit(0).cast("long").alias("byte_offset"), F.octet_length("html").cast("long").alias("byte_length"))
+    there = pages.where("page_id % 4 = 1").select(uri.alias("path"), F.octet_length("html").cast("long").alias("length"))
+    missing = lists.files_missing(files, there, "/data").where("missing").select("id", (~F.col("uri").contains("://")).alias("checkable"))
+    entries = pages.where("page_id % 6 = 0").select(F.concat(F.lit("b/"), F.col("page_id").cast("string")).alias("path"))
+    folders = pages.where("page_id % 9 > 0").select(F.concat(F.lit("b/"), F.col("page_id").cast("string")).alias("path"))
+    return hygiene.warnings(files, missing, bundle.stale(entries, folders))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qsl, urlsplit
 
+from mnemolake import trace
 from mnemolake.facade import MemoryStore, NotFound
 from mnemolake.operators import lists
 from mnemolake.operators.lifecycle import STATES, STEPS, InvalidTransition
@@ -263,13 +264,15 @@ def http_server(service: Service, host: str = "127.0.0.1", port: int = 8787) ->
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self) -> None:
-            url, trace = urlsplit(self.path), uuid.uuid4().hex[:12]
+            url, trace_id = urlsplit(self.path), uuid.uuid4().hex[:12]
             length = int(self.headers.get("Content-Length") or 0)
             try:
                 asked = json.loads(self.rfile.read(length)) if length else {}
                 if not isinstance(asked, dict):
                     raise ValueError("the body must be an object")
-                status, answer = service.call(self.command, url.path, dict(parse_qsl(url.query)) | asked)
+                with trace.timed("http.request", trace_id=trace_id, method=self.command, path=url.path) as told:
+                    status, answer = service.call(self.command, url.path, dict(parse_qsl(url.query)) | asked)
+                    told["status"] = status
             except ValueError as error:
                 status, answer = 400, {"error": "bad_request", "message": str(error)}
             raw = status == 200 and isinstance(answer.get("content"), bytes | bytearray)
@@ -278,7 +281,7 @@ def http_server(service: Service, host: str = "127.0.0.1", port: int = 8787) ->
             self.send_header("Content-Type", "application/octet-stream" if raw else "application/json")
             if raw:
                 self.send_header("X-Provenance", "verified" if answer["verified"] else "unverified")
-            self.send_header("X-Trace-Id", trace)
+            self.send_header("X-Trace-Id", trace_id)
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

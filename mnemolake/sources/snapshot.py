@@ -134,13 +134,21 @@ def detect(path: str) -> str:
     return "sqlite" if path.endswith((".db", ".sqlite", ".sqlite3")) else "swap"
 
 
-def load(spark: SparkSession, path: str, sources: dict[str, Callable] | None = None) -> DataFrame:
+#: Importers of further formats by the kind that detect() or a caller names: (spark, path) to swap rows.
+IMPORTERS: dict[str, Callable] = {}
+
+
+def register(kind: str, importer: Callable) -> None:
+    IMPORTERS[kind] = importer
+
+
+def load(spark: SparkSession, path: str, sources: dict[str, Callable] | None = None, kind: str | None = None) -> DataFrame:
     """Rows to import from a path of any known format; a missing path has none."""
     if not os.path.exists(path):
         return spark.createDataFrame([], ddl(MEMORY)).withColumn("line", F.lit(0).cast("long")).withColumn("embedding_b64", F.lit(None).cast("string"))
     from mnemolake.sources import bundle, sqlite
 
-    kind = detect(path)
+    kind = kind or detect(path)
     if kind == "legacy":
         return swap.read(spark, os.path.join(path, ROWS))
-    return ({"snapshot": read, "bundle": bundle.read, "sqlite": sqlite.read_memories, "swap": swap.read} | (sources or {}))[kind](spark, path)
+    return ({"snapshot": read, "bundle": bundle.read, "sqlite": sqlite.read_memories, "swap": swap.read} | IMPORTERS | (sources or {}))[kind](spark, path)

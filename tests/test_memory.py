@@ -11,7 +11,7 @@ from mnemolake.functions.stem import stem
 from mnemolake.operators import dedup, events, search
 from mnemolake.operators.lifecycle import InvalidTransition
 from mnemolake.schema import conform
-from mnemolake.sources import bundle, inspectors, snapshot, storage
+from mnemolake.sources import bundle, inspectors, snapshot, storage, swap
 
 CORPUS = ["invoice invoices total was five", "Invoicing vendor_x duplicate invoice risk", "payment terms are net 30", "", "café résumé running runs", "the payment of the invoice is late", "running shoes"]
 
@@ -127,6 +127,10 @@ def test_store_end_to_end(spark, tmp_path):
         store.hydrate(b)
     with pytest.raises(NotFound):
         store.get("nothing")
+    with pytest.raises(storage.ProvenanceError, match="truncated"):
+        store.hydrate_all([b, "nothing"])
+    with pytest.raises(NotFound):
+        store.hydrate_all(["nothing", b])
     assert [r.reason for r in store.hydrate_batch([b, "nothing"]).collect()] == ["truncated", "not_found"]
     out = str(tmp_path / "snap")
     manifest = store.snapshot(out)
@@ -235,6 +239,11 @@ def test_a_broken_gzip_is_a_value_error(spark, tmp_path):
     assert store.count() == 0
     (tmp_path / "whole.jsonl.gz").write_bytes(whole)
     assert store.restore(str(tmp_path / "whole.jsonl.gz")) == 500
+    snapshot.register("half", lambda s, path: swap.read(s, path).where("CAST(id AS INT) < 250"))
+    try:
+        assert snapshot.load(spark, str(tmp_path / "whole.jsonl.gz"), kind="half").count() == 250
+    finally:
+        del snapshot.IMPORTERS["half"]
 
 
 def test_sqlite_sources(spark, tmp_path):

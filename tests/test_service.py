@@ -21,6 +21,18 @@ def service(spark, tmp_path_factory):
     return Service(MemoryStore(spark, str(base / "store"), base_dir=str(base)), str(base / "swap.jsonl"))
 
 
+def test_traces_are_lines_of_json(capsys):
+    from mnemolake import trace
+
+    trace.to_stderr()
+    with pytest.raises(KeyError), trace.timed("step", n=1) as told:
+        told["rows"] = 2
+        raise KeyError("x")
+    got = json.loads(capsys.readouterr().err)
+    assert got.pop("ms") >= 0 and got.pop("at") and got == {"event": "step", "n": 1, "rows": 2, "error": "KeyError"}
+    trace.log.handlers.clear()
+
+
 def test_calls(service):
     call = service.call
     status, made = call("POST", "/v1/add", {"identifier": "acme", "fact": "the invoice is late", "metadata": {"k": 1}})
