@@ -117,16 +117,16 @@ def read_back(formatted: Column, template: Template | None = None) -> Column:
     )
 
 
-def loss_text(segments: Column, template: Template | None = None) -> Column:
-    """What the loss mask covers, unescaped, nothing between."""
-    t = template or Template()
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: t.unescape(s["text"])), "")
+def loss_text(turns: Column, segments: Column) -> Column:
+    """What the loss mask covers of turns that were read back, nothing between; a turn is three segments, its text the middle one."""
+    return F.array_join(F.transform(F.filter(turns, lambda _, i: F.get(segments, 3 * i + 1)["loss"]), lambda x: x["text"]), "")
 
 
 def conversation_digests(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """What formatted conversations read back to: one row for each conv_id."""
     rows = format_conversations(conversations, template)
-    rows = rows.select("conv_id", "valid", "first_bad_turn", F.char_length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted"), template).alias("turns"), loss_text(F.col("segments"), template).alias("loss"))
+    rows = rows.select("conv_id", "valid", "first_bad_turn", F.char_length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted"), template).alias("turns"), "segments")
+    rows = rows.withColumn("loss", loss_text(F.col("turns"), F.col("segments")))
     return rows.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

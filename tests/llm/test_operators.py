@@ -126,7 +126,7 @@ def test_chat_reads_back(spark):
     odd = "\\### <turn>x</turn>\n\\b\\h \\\\ é"
     rows = [(1, 0, "system", "s"), (1, 1, "user", odd), (1, 2, "assistant", odd), (2, 1, "assistant", None), (2, 0, "user", ""), (3, 0, None, "x"), (3, None, "a\nb", "y"), (4, 0, "user", LONG), (4, 1, "user", "again"), (4, 1, "user", "again")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS turns", "2 AS segments")
-    out = {r.conv_id: r for r in chat.format_conversations(df).withColumn("back", chat.read_back(chat.F.col("formatted"))).withColumn("loss", chat.loss_text(chat.F.col("segments"))).collect()}
+    out = {r.conv_id: r for r in chat.format_conversations(df).withColumn("back", chat.read_back(chat.F.col("formatted"))).withColumn("loss", chat.loss_text(chat.F.col("back"), chat.F.col("segments"))).collect()}
     for conv, r in out.items():
         want = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == conv))
         assert [(x.role, x.text) for x in r.back] == [(b, c) for _, b, c in want]
