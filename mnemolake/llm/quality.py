@@ -59,8 +59,8 @@ def features(text: str) -> tuple[np.ndarray, int]:
     punct = group[starts] == 2
     title = kind[starts] == 2
     shape = np.where(digit > 0, 4, np.where((upper > 1) & (lower == 0), 3, np.where(title, 2, 1))).astype(np.uint64)
-    # a run of punctuation is its own shape, but no longer than three of it
-    shape[punct] = words.hashes(raw, starts[punct], np.minimum(ends[punct], starts[punct] + 3)) if punct.any() else 0
+    # a run of punctuation is its own shape
+    shape[punct] = h[punct]
     again = np.concatenate([[False], h[1:] == h[:-1]])
     shape[again] += np.uint64(1 << 40)
     s2 = shape[:-1] * _STEP + shape[1:]
