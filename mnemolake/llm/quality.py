@@ -32,7 +32,8 @@ _GROUP = np.array([0, 1, 1, 1, 1, 2], dtype=np.int8)
 _FIELDS = np.array([0, 1 << 21, 1, 1 << 42, 0, 0], dtype=np.int64)
 _FIELD = (1 << 21) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_KINDS = np.arange(6, dtype=np.uint64) * _STEP
+# no multiples of the step, as a shape in front of a run of punctuation would then be the same as that run alone
+_KINDS = words.mix(np.arange(1, 7, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
