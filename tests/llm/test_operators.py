@@ -621,6 +621,92 @@ def test_classifiers_have_a_score_for_everything(spark, docs):
     assert toxicity.drop_toxic(docs(texts), labels).columns == docs(texts).columns
 
 
+def plain_char_ngrams(text):
+    clean = " ".join(["", *re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower()), ""])
+    return {clean[i : i + n] for n in (4, 6, 8) for i in range(len(clean) - n + 1)}
+
+
+def plain_toxicity(examples):
+    """Dense features by n-gram, and the same steps written plainly: a function from text to score."""
+    y = np.array([label for _, label in examples], float)
+    sets = [plain_char_ngrams(t) for t, _ in examples]
+    ratio = {}
+    for gram in set().union(*sets):
+        one, zero = (sum(gram in s for s, label in zip(sets, y, strict=True) if label == k) for k in (1, 0))
+        r = np.log((one + 0.5) / (y.sum() + 1)) - np.log((zero + 0.5) / (len(y) - y.sum() + 1))
+        if one >= 5 and r >= 1.5:
+            ratio[gram] = r
+    names = sorted(ratio)
+    x = np.array([[ratio[g] * (g in s) for g in names] + [1.0] for s in sets])
+    w = np.array([0.0] * len(names) + [np.log(y.sum() / (len(y) - y.sum()))])
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, 201):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y)
+        g[:-1] += 0.01 * w[:-1] / len(y)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return lambda t: 1 / (1 + np.exp(-(w[-1] + sum(w[i] * ratio[g] for i, g in enumerate(names) if g in plain_char_ngrams(t)))))
+
+
+def plain_shapes(text):
+    """Counts of the n-grams of a text by name, and its tokens."""
+    tokens = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff\x20\x09-\x0D]+", text)
+    low = [t.lower() if t.isascii() else t for t in tokens]
+    shapes = []
+    for i, t in enumerate(tokens):
+        upper, lower = (len(re.findall(c, t)) for c in ("[A-Z]", "[a-z]"))
+        if not re.match(r"[A-Za-z0-9\x80-\U0010ffff]", t):
+            kind = t
+        else:
+            kind = "digits" if re.search("[0-9]", t) else "capitals" if upper > 1 and not lower else "title" if re.match("[A-Z]", t) else "word"
+        shapes.append((kind, i > 0 and low[i] == low[i - 1]))
+    names = [tuple(shapes[i : i + n]) for n in (1, 2, 3) for i in range(len(shapes) - n + 1)]
+    names += [tuple(low[i : i + n]) for n in (1, 2) for i in range(len(low) - n + 1)]
+    return {n: names.count(n) for n in set(names)}, max(1, len(tokens))
+
+
+def plain_quality(examples):
+    """The same updates, a weight at a time: a function from text to score."""
+    z, n = {}, {}
+
+    def weight(f):
+        a, b = z.get(f, 0.0), n.get(f, 0.0)
+        return 0.0 if abs(a) <= 0.02 else -(a - np.sign(a) * 0.02) / ((1 + b**0.5) / 2 + 0.01)
+
+    def score(text):
+        counts, tokens = plain_shapes(text)
+        return 1 / (1 + np.exp(-(weight("bias") + sum(weight(f) * c / tokens for f, c in counts.items()))))
+
+    order = np.random.default_rng(7)
+    for _ in range(6):
+        for i in order.permutation(len(examples)):
+            text, label = examples[i]
+            counts, tokens = plain_shapes(text)
+            error = score(text) - label
+            old = {f: weight(f) for f in ("bias", *counts)}
+            for f, w in old.items():
+                g = error * (1.0 if f == "bias" else counts[f] / tokens)
+                b = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (((b + g * g) ** 0.5 - b**0.5) / 2) * w
+                n[f] = b + g * g
+    return score
+
+
+@pytest.mark.parametrize("fit,plain,words_of", [(toxicity.fit, plain_toxicity, ("nitwit", "fool", "kind", "the", "sun")), (quality.fit, plain_quality, ("The", "plain", "WIN", "$$$$$", "a1", "plain"))])
+def test_classifiers_equal_plain_ones(fit, plain, words_of):
+    rng = np.random.default_rng(3)
+    examples = []
+    for i in range(60):
+        label = int(rng.random() < 0.4)
+        bad = words_of[:2] if fit is toxicity.fit else words_of[2:4]
+        picked = list(rng.choice(words_of, 6)) + ([bad[i % 2]] if label else [])
+        examples.append((" ".join(w for w in picked if label or w not in bad or rng.random() < 0.1), label))
+    model, score = fit(examples), plain(examples)
+    texts = [t for t, _ in examples] + ["", "nothing of it", "the NITWIT-fool, the kind", "WIN $$$$$ WIN WIN a1", "\u00c9t\u00e9 The"]
+    got, want = [model.score(t) for t in texts], [score(t) for t in texts]
+    assert max(want) - min(want) > 0.5 and np.allclose(got, want, atol=2e-4)
+
+
 def test_samples_are_bounded_by_rows_and_bytes(spark, docs):
     rows = [(i, f"text {i} " * 10) for i in range(50)] + [(7, "a smaller one")] * 40 + [(None, "x")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 2 + [(7, 0), (99, 1), (None, 1)], "doc_id long, y int")
