@@ -20,7 +20,7 @@ f AS (SELECT id, len(tokens) AS n, {", ".join(f"len(list_filter(tokens, lambda x
 c AS (SELECT count(*) AS total, avg(n) AS mean, {", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(4))} FROM f),
 bm AS (SELECT id, -({" + ".join(f"greatest(CASE WHEN ln((total - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((total - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END, 0) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(4))}) AS bm25
        FROM f, c WHERE {" AND ".join(f"f{i} > 0" for i in range(4))})"""
-_HY = f"""v AS (SELECT m.*, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}) AS cosine FROM m JOIN embeddings ON vec_id = CAST('0x' || substr(id, 1, 8) AS BIGINT) % 500),
+_HY = f"""v AS (SELECT m.*, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}) AS cosine FROM m JOIN embeddings ON vec_id = CAST('0x' || substr(id, 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)),
 vis AS (SELECT * FROM v WHERE {_LIVE} AND promotion_state <> 'ARCHIVED'),
 hits AS (SELECT bm.* FROM bm JOIN vis USING (id)),
 nt AS (SELECT id, CASE WHEN min(bm25) OVER () = max(bm25) OVER () THEN 1.0 ELSE 1 - (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END AS text_score FROM hits),

@@ -128,7 +128,7 @@ def q_bm25_stemmed(s, d):
 
 
 def _hybrid(s, d, k=20):
-    rows = memories(s, d).withColumn("fact_summary", F.lit(None).cast("string")).join(_table(s, d, "embeddings").select(F.col("vec_id"), "embedding"), F.col("vec_id") == F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("long"), F.lit(500)))
+    rows = memories(s, d).withColumn("fact_summary", F.lit(None).cast("string")).join(_table(s, d, "embeddings").select(F.col("vec_id"), "embedding"), F.col("vec_id") == F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("long"), F.lit(_table(s, d, "embeddings").count())))
     return search.hybrid(rows, QUERY, k, NOW, stemmed=False, query_vector=list(VECTOR))
 
 
