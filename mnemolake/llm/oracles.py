@@ -96,3 +96,65 @@ e AS (SELECT row, doc_id, {form("text")} AS digest FROM d)
 SELECT doc_id, digest, k.name AS license, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
 FROM e LEFT JOIN a USING (row) LEFT JOIN (VALUES {values(TEXTS)}) AS k(known, name) ON digest = known
 """
+
+
+def resampling_sql(buckets: int = 10_000) -> str:
+    """crc32 of each distinct word by its table, a byte at a time."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH c AS MATERIALIZED (SELECT {table}::BIGINT[] AS crc),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {words} AS w FROM documents),
+b AS MATERIALIZED (SELECT {words} AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT row, unnest(w) AS word FROM d), bw AS MATERIALIZED (SELECT unnest(w) AS word FROM b),
+v AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT)),
+                               lambda a, x: xor(crc[(xor(a, x) & 255) + 1], a >> 8)), 4294967295::BIGINT) % {buckets} AS bucket
+  FROM (SELECT word FROM dw UNION SELECT word FROM bw) u, c),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN v USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + {buckets})::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + {buckets})::DOUBLE))) AS gain FROM s LEFT JOIN t USING (bucket)),
+x AS (SELECT row, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN v USING (word) JOIN g USING (bucket) GROUP BY row),
+y AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN x USING (row)),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank FROM y LEFT JOIN r USING (row)
+"""
+
+
+_SCALED = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+TOP_K = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, {_SCALED} AS q FROM embeddings WHERE {_FINITE}),
+s AS (SELECT a.row, a.vec_id AS query_id, b.vec_id, b.row AS other, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * coalesce(b.q[i], 0))) AS BIGINT) AS score
+      FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.row <> b.row)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) x WHERE rank <= 5
+"""
+
+
+def centroid_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, {_SCALED} AS q FROM embeddings WHERE len(embedding) = {dims} AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM v ORDER BY h, q LIMIT {k}) x)",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT row, c, d FROM (
+            SELECT row, c, d, row_number() OVER (PARTITION BY row ORDER BY d, c) AS place
+            FROM (SELECT v.row, c{n}.c, CAST(list_sum(list_transform(range(1, {dims} + 1), lambda i: (v.q[i] - c{n}.q[i]) * (v.q[i] - c{n}.q[i]))) AS BIGINT) AS d FROM v, c{n}) y) z WHERE place = 1)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS total, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(1, {dims} + 1)) AS i FROM a{n} JOIN v USING (row)) y GROUP BY c, i),
+            l{n} AS (SELECT c, list((total - (total % n + n) % n) // n ORDER BY i) AS q FROM m{n} GROUP BY c),
+            c{n + 1} AS MATERIALIZED (SELECT c, coalesce(l{n}.q, c{n}.q) AS q FROM c{n} LEFT JOIN l{n} USING (c))""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (row) JOIN c{rounds} USING (c)
+"""

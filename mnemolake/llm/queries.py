@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import chat, decontaminate, html, licenses, media, mixing, near_duplicates, oracles, pii, quality, toxicity
+from mnemolake.llm import centroids, chat, decontaminate, html, licenses, media, mixing, near_duplicates, oracles, pii, quality, resampling, topk, toxicity
 from mnemolake.llm.common import table
 
 
@@ -55,6 +55,19 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other rows for each row whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": media_columns,
     "op2_mixing_sources": mixing_sources,
@@ -66,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": near_duplicate_classes,
     "op9_quality": quality_scores,
     "op10_license_scans": license_scans,
+    "op11_importance_resampling": importance_resampling,
+    "op12_exact_top_k": exact_top_k,
+    "op13_centroid_clusters": centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,4 +89,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": oracles.CHAT,
     "op4_benchmark_decontamination": oracles.DECONTAMINATION,
     "op10_license_scans": oracles.license_sql(),
+    "op11_importance_resampling": oracles.resampling_sql(),
+    "op12_exact_top_k": oracles.TOP_K,
+    "op13_centroid_clusters": oracles.centroid_sql(),
 }
