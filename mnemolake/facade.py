@@ -31,7 +31,7 @@ class MemoryStore:
     # what is known
 
     def count(self) -> int:
-        return self.store.current().count()
+        return self.store.count()
 
     def get(self, memory_id: str) -> dict:
         row = lists.by_id(self.store.memories(), memory_id).first()
@@ -47,11 +47,11 @@ class MemoryStore:
     def search(self, query: str, top_k: int = 5, max_chars: int | None = None, include_archived: bool = False) -> DataFrame:
         if not 1 <= top_k <= 100:
             raise ValueError("top_k is 1 to 100")
-        ranked = search.hybrid(self.store.indexed(), query, top_k, self._now(), include_archived)
+        ranked = search.hybrid_of_scores(self.store.current(), self.store.bm25(query), query, top_k, self._now(), include_archived)
         return search.messages(ranked if max_chars is None else search.budgeted(ranked, max_chars))
 
     def context(self, query: str, top_k: int = 5) -> str:
-        return search.context_block(search.hybrid(self.store.indexed(), query, top_k, self._now())).first()[0]
+        return search.context_block(search.hybrid_of_scores(self.store.current(), self.store.bm25(query), query, top_k, self._now())).first()[0]
 
     def files(self, identifier: str | None = None) -> DataFrame:
         rows = lists.file_backed(self.store.memories())
@@ -148,17 +148,18 @@ class MemoryStore:
         return lifecycle.states(self.spark)
 
     def events(self, limit: int = 100, ascending: bool = True, **conditions) -> DataFrame:
-        return log.page(self.store.events(), limit, ascending, **conditions)
+        return log.page(self.store.events(limit, ascending, **conditions), limit, ascending)
 
     def replay(self, after_seq: int = 0):
         """Events after a cursor in order of seq, one at a time."""
-        return log.select_events(self.store.events(), after_seq=after_seq).orderBy("seq").toLocalIterator()
+        for _, rows in self.store.slices(after_seq):
+            yield from rows.orderBy("seq").toLocalIterator()
 
     def trim_events(self, keep: int) -> None:
-        self.store.retain_events(log.trim_to(self.store.events(), keep))
+        self.store.trim_events(keep)
 
     def replay_into(self, target: MemoryStore, after_seq: int = 0) -> int:
-        return target.store.insert_ignore(log.created_rows(self.store.events(), after_seq))
+        return target.store.insert_ignore(log.created_rows(self.store.events(after_seq=after_seq), after_seq))
 
     # files
 
@@ -207,7 +208,7 @@ class MemoryStore:
         listing = storage.listing(rows, self.base) if listing is None else listing
         missing = lists.files_missing(rows, listing, self.base or "").where("missing").select("id", (~F.col("uri").rlike("^(?!file)[a-z0-9]+://")).alias("checkable"))
         indexed = self.store.bundles()
-        return hygiene.warnings(rows, missing, bundle.stale(indexed, storage.present(indexed.select("path"))))
+        return hygiene.warnings(rows, missing, bundle.stale(indexed, storage.present(indexed.select("path"))), self.store.stats())
 
     def _update(self, old: dict, changes: dict, kind: str, told: dict) -> None:
         stamp = self._stamp()

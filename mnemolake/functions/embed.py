@@ -56,22 +56,19 @@ def embedding(text: Column) -> Column:
 
 
 def embedding_buckets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bucket, signed) where not 0, by expressions alone: trigrams exploded, digits of md5, one sum.
-
-    Characters are split once, so that a trigram far into a text costs what the first one does. A key sends at most one
-    row a bucket and task into the shuffle.
-    """
-    chars = df.select(key, F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "").alias("c"))
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("c") - 3))
-    grams = chars.select(key, F.explode(F.transform(at, lambda i: F.array_join(F.slice("c", i + 1, F.lit(3)), ""))).alias("gram"))
-    hashed = grams.select(key, F.md5(F.col("gram").cast("binary")).alias("h"))
-
-    def digit(place: int) -> Column:
-        return F.instr(F.lit("0123456789abcdef"), F.substring("h", place, 1)) - 1
-
-    bucket = (digit(31) % (DIM // 16) * 16 + digit(32)).cast("int").alias("bucket")
-    sign = F.lit(1) - 2 * (digit(16) % 2)
-    return hashed.groupBy(key, bucket).agg(F.sum(sign).cast("long").alias("signed")).where("signed != 0")
+    """(key, bucket, signed) where not 0. A key is one row, so its sums are made where it lies: nothing is exploded or shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            if len(known) > 1 << 18:
+                known.clear()
+            sums = np.array([bucket_sums(t.as_py() or "", known) for t in batch.column(1)], dtype=np.int64).reshape(-1, DIM)
+            row, bucket = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(bucket.astype(np.int32)), pa.array(sums[row, bucket])], names=["key", "bucket", "signed"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, bucket int, signed long").withColumnRenamed("key", key)
 
 
 def pack(vector: list[float]) -> bytes:

@@ -10,9 +10,10 @@ from mnemolake.work import discard, materialise
 
 
 def first_by_hash(rows: DataFrame, order: list[str], hash_column: str = "content_hash") -> DataFrame:
-    """The first row of each hash; rows with an empty hash never collide. Only a row each leaves a map task's group."""
+    """The first row of each hash; rows with an empty or a null hash never collide. Only a row each leaves a map task's group."""
     rank = F.row_number().over(W.partitionBy(hash_column).orderBy(*order))
-    return rows.where(F.col(hash_column) != "").withColumn("_n", rank).where("_n = 1").drop("_n").unionByName(rows.where(F.col(hash_column) == ""))
+    hashed = F.coalesce(F.col(hash_column) != "", F.lit(False))
+    return rows.where(hashed).withColumn("_n", rank).where("_n = 1").drop("_n").unionByName(rows.where(~hashed))
 
 
 def insert_order(rows: DataFrame, seq: str = "seq", key: str = "id", hash_column: str = "content_hash") -> DataFrame:
@@ -35,13 +36,15 @@ def insert_order(rows: DataFrame, seq: str = "seq", key: str = "id", hash_column
         discard(left)
         left = rest
         if left.isEmpty():
+            discard(left)
             return rows.join(taken.select(F.col(seq).alias("_s")), F.col(seq) == F.col("_s"), "left_semi")
 
 
 def not_in_store(rows: DataFrame, store: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose keys aren't in the store; an empty hash matches nothing."""
+    """Rows whose keys aren't in the store; a null matches nothing, and an empty hash neither, while an empty id is an id."""
     for key in keys:
-        rows = rows.join(store.where(F.col(key) != "").select(key).distinct(), key, "left_anti")
+        known = F.col(key).isNotNull() if key == "id" else F.col(key) != ""
+        rows = rows.join(store.where(known).select(key).distinct(), key, "left_anti")
     return rows
 
 
@@ -52,11 +55,11 @@ def merge(store: DataFrame, batch: DataFrame, order: list[str], hash_column: str
 
 def live_versions(log: DataFrame) -> DataFrame:
     """What replaces leave of a mutation log (seq, id, content_hash, ...): a version lives if it is the last of its id and,
-    where it has a hash, the last of its hash. Both are over the whole log, so a version replaced by hash never comes back.
+    where it has a hash, the last of its hash; a null id never collides. Both are over the whole log, so a version replaced by hash never comes back.
 
     The last seq of a key is a partial aggregate before its shuffle, so a hot key makes no hot window.
     """
     by_id = log.groupBy(F.col("id").alias("_i")).agg(F.max("seq").alias("_last"))
     by_hash = log.where("content_hash != ''").groupBy(F.col("content_hash").alias("_h")).agg(F.max("seq").alias("_hashed"))
-    live = log.join(by_id, (F.col("id") == F.col("_i")) & (F.col("seq") == F.col("_last")), "left_semi")
+    live = log.join(by_id, F.col("id") == F.col("_i"), "left").where(F.col("_last").isNull() | (F.col("_last") == F.col("seq"))).drop("_i", "_last")
     return live.join(by_hash, F.col("content_hash") == F.col("_h"), "left").where(F.col("_hashed").isNull() | (F.col("_hashed") == F.col("seq"))).drop("_h", "_hashed")

@@ -26,12 +26,12 @@ def stats(memories: DataFrame) -> DataFrame:
     )
 
 
-def warnings(memories: DataFrame, missing: DataFrame | None = None, stale: DataFrame | None = None) -> DataFrame:
-    """(category, severity, subject, amount). missing: (id, checkable) of file rows without a file; stale: (path)."""
+def warnings(memories: DataFrame, missing: DataFrame | None = None, stale: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(category, severity, subject, amount). missing: (id, checkable) of file rows without a file; stale: (path); known: stats() of memories, where a store has them."""
     file = F.col("memory_type") == "file"
     row = lambda df, category, severity, subject, amount: df.select(F.lit(category).alias("category"), F.lit(severity).alias("severity") if isinstance(severity, str) else severity.alias("severity"), subject.cast("string").alias("subject"), amount.cast("long").alias("amount"))
     size = F.char_length("fact_text")
-    one, empty = stats(memories), F.lit(None)
+    one, empty = stats(memories) if known is None else known, F.lit(None)
     found = [
         row(memories.where(~file & (size > LARGE_INLINE)), "large_inline", "warn", F.col("id"), size),
         row(one.where(F.col("total") > MANY_ROWS), "growth", "info", empty, F.col("total")),

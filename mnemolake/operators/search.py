@@ -89,6 +89,14 @@ def bm25(indexed: DataFrame, query: str, key: str = "id", stemmed: bool = True)
     return counted.join(_corpus(counted, len(wanted))).select(key, _bm25(len(wanted)).alias("bm25")).where("bm25 IS NOT NULL")
 
 
+def bm25_of_counts(counted: DataFrame, n: int, rows: int, mean: float, key: str = "seq") -> DataFrame:
+    """(key, bm25) of counts (key, length, f0, ...) of the rows that hold any of n phrases; rows and mean are of all rows there are."""
+    # length is asked for so that both sides need the same columns, and one exchange serves both
+    held = F.broadcast(counted.agg(*(F.count_if((F.col(f"f{i}") > 0) & (F.col("length") > 0)).alias(f"n{i}") for i in range(n))))
+    both = counted.join(held).withColumns({"rows": F.lit(rows), "mean": F.lit(float(mean))})
+    return both.select(key, _bm25(n).alias("bm25")).where("bm25 IS NOT NULL")
+
+
 def _ends(scores: DataFrame) -> DataFrame:
     return F.broadcast(scores.agg(F.min("bm25").alias("best"), F.max("bm25").alias("worst")))
 
@@ -105,9 +113,8 @@ def normalised(scores: DataFrame, key: str = "id") -> DataFrame:
 def hybrid(memories: DataFrame, query: str, k: int = 5, now: int | None = None, include_archived: bool = False, stemmed: bool = True, query_vector: list[float] | None = None) -> DataFrame:
     """The k best rows: id, identifier, content, created_at, cosine, text_score, score, rank. Rows without text are no candidates.
 
-    The index covers all rows, also those that the search doesn't show, so its statistics don't change with time. Stems
-    are read from `tokens` where memories have that column. Counts, statistics and scores lie beside their rows, so
-    nothing is joined but single rows.
+    The statistics cover all rows, also those that the search doesn't show, so they don't change with time. This is the
+    search without an index: tokens are counted where they lie (in `tokens` where memories have that column).
     """
     wanted = phrases(query, stemmed)
     held = memories if stemmed and "tokens" in memories.columns else memories.withColumn("tokens", tokens_of(F.col("fact_text"), stemmed))
@@ -116,16 +123,32 @@ def hybrid(memories: DataFrame, query: str, k: int = 5, now: int | None = None,
         shown = shown & ttl_live(now)
     if not include_archived:
         shown = shown & not_archived()
+    counted = held.select(*_shape(query, query_vector), shown.alias("shown"), *_counts(wanted))
+    if not wanted:
+        return _ranked(counted.where("shown"), False, k)
+    return _ranked(counted.where("shown").join(_corpus(counted, len(wanted))).withColumn("bm25", _bm25(len(wanted))), True, k)
+
+
+def hybrid_of_scores(memories: DataFrame, scores: DataFrame | None, query: str, k: int = 5, now: int | None = None, include_archived: bool = False, query_vector: list[float] | None = None) -> DataFrame:
+    """hybrid() where an index gave the scores (seq, bm25) of all rows that the query matches; None: it has no words."""
+    rows = visible(memories, now, include_archived).select("seq", *_shape(query, query_vector))
+    return _ranked(rows if scores is None else rows.join(scores, "seq", "left"), scores is not None, k)
+
+
+def _shape(query: str, query_vector: list[float] | None) -> list:
     near = cosine(F.col("embedding"), vector(query_vector or embed(query))).alias("cosine")
-    counted = held.select("id", "identifier", "source", search_text().alias("content"), "created_at", "importance", near, shown.alias("shown"), *_counts(wanted))
-    if wanted:
-        matched = counted.where("shown").join(_corpus(counted, len(wanted))).withColumn("bm25", _bm25(len(wanted)))
-        scored = matched.join(_ends(matched)).withColumn("text_score", F.coalesce(F.when(F.col("bm25").isNotNull(), _text_score()), F.lit(0.0)))
+    return ["id", "identifier", "source", search_text().alias("content"), "created_at", "importance", near]
+
+
+def _ranked(rows: DataFrame, matched: bool, k: int) -> DataFrame:
+    """The k best of rows with cosine and, if any text is matched, bm25."""
+    if matched:
+        rows = rows.join(_ends(rows)).withColumn("text_score", F.coalesce(F.when(F.col("bm25").isNotNull(), _text_score()), F.lit(0.0)))
     else:
-        scored = counted.where("shown").withColumn("text_score", F.lit(0.0))
+        rows = rows.withColumn("text_score", F.lit(0.0))
     score = F.lit(COSINE_WEIGHT) * F.col("cosine") + F.lit(TEXT_WEIGHT) * F.col("text_score") + F.lit(IMPORTANCE_WEIGHT) * F.col("importance")
     shape = ("id", "identifier", "source", "content", "created_at", "importance", "cosine", "text_score")
-    top = scored.where("content IS NOT NULL").select(*shape, score.alias("score")).orderBy(F.desc("score"), F.desc("cosine"), "id").limit(k)
+    top = rows.where("content IS NOT NULL").select(*shape, score.alias("score")).orderBy(F.desc("score"), F.desc("cosine"), "id").limit(k)
     # a window over the k rows alone
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc("cosine"), "id")))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from mnemolake.plans.queries import NOW, VECTOR
+from mnemolake.functions.embed import embed
+from mnemolake.plans.queries import MEMORIES, NOW, QUERY, STEMMED, VECTOR
 
 _M = """m AS (
   SELECT md5(conv_id || ':' || turn) AS id, 'conv_' || conv_id AS identifier, text AS fact_text, role AS source, ((conv_id * 7 + turn * 3) % 11) / 10.0::DOUBLE AS importance,
@@ -39,7 +40,98 @@ w{_n} AS MATERIALIZED (SELECT * FROM g{_n} QUALIFY seq = min(seq) OVER (PARTITIO
 g{_n + 1} AS MATERIALIZED (SELECT * FROM g{_n} WHERE id NOT IN (SELECT id FROM w{_n}) AND (content_hash = '' OR content_hash NOT IN (SELECT content_hash FROM w{_n})))"""
 _TO = "['HOT', 'READY', 'PROMOTED', 'ARCHIVED'][CAST('0x' || substr(id, 1, 8) AS BIGINT) % 4 + 1]"
 
+
+
+def _measure(stem: str, least: int, exactly: bool = False) -> str:
+    """Whether a stem has so many runs of vowels and consonants; Y is a y that is a vowel."""
+    return f"regexp_full_match({stem}, '[^aeiouY]*([aeiouY]+[^aeiouY]+){{{least}{'' if exactly else ','}}}[aeiouY]*')"
+
+
+def _short(stem: str) -> str:
+    return f"regexp_matches({stem}, '[^aeiouY][aeiouY][^aeiouYwxy]$')"
+
+
+def _suffixes(table: tuple, kept: str, drop: str = "") -> str:
+    """The longest suffix of a table decides; kept is the condition on the stem before it."""
+    cases = ""
+    for end, new in sorted(table, key=lambda x: -len(x[0])):
+        stem = f"left(x, -{len(end)})"
+        cases += f" WHEN ends_with(x, '{end}') THEN CASE WHEN {kept.format(stem=stem)}{drop.format(stem=stem) if end == 'ion' else ''} THEN {stem} || '{new}' ELSE x END"
+    return f"CASE{cases} ELSE x END"
+
+
+def _porter(words: str) -> str:
+    """CTEs that give stems (word, stem) of a table of words, by the published steps, as regular expressions."""
+    two = "ational:ate tional:tion enci:ence anci:ance izer:ize logi:log bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+    three = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+    four = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+    pairs = lambda text: tuple(tuple((x + ":").split(":")[:2]) for x in text.split())
+    fixed = f"CASE WHEN regexp_matches(t, '(at|bl|iz)$') THEN t || 'e' WHEN length(t) > 1 AND lower(right(t, 1)) = lower(substr(t, -2, 1)) AND NOT regexp_matches(t, '[aeiouYlsz]$') THEN left(t, -1) WHEN {_measure('t', 1, True)} AND {_short('t')} THEN t || 'e' ELSE t END"
+    cut = "CASE WHEN ends_with(x, 'eed') OR NOT (ends_with(x, 'ed') OR ends_with(x, 'ing')) THEN NULL WHEN ends_with(x, 'ed') THEN left(x, -2) ELSE left(x, -3) END"
+    e = "left(x, -1)"
+    steps = [
+        "CASE WHEN regexp_matches(x, '(sses|ies)$') THEN left(x, -2) WHEN ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, -1) ELSE x END",
+        f"CASE WHEN ends_with(x, 'eed') THEN CASE WHEN {_measure('left(x, -3)', 1)} THEN {e} ELSE x END WHEN t IS NOT NULL AND regexp_matches(t, '[aeiouY]') THEN {fixed} ELSE x END",
+        f"CASE WHEN regexp_matches(x, '[yY]$') AND regexp_matches({e}, '[aeiouY]') THEN {e} || 'i' ELSE x END",
+        _suffixes(pairs(two), _measure("{stem}", 1).replace("{1,}", "{{1,}}")),
+        _suffixes(pairs(three), _measure("{stem}", 1).replace("{1,}", "{{1,}}")),
+        _suffixes(pairs(four), _measure("{stem}", 2).replace("{2,}", "{{2,}}"), " AND regexp_matches({stem}, '[st]$')"),
+        f"CASE WHEN ends_with(x, 'e') AND ({_measure(e, 2)} OR {_measure(e, 1)} AND NOT {_short(e)}) THEN {e} ELSE x END",
+        f"CASE WHEN ends_with(x, 'll') AND {_measure(e, 2)} THEN {e} ELSE x END",
+    ]
+    out = f"p0 AS (SELECT word, regexp_replace(regexp_replace(word, '([^aeiouy])y', '\\1Y', 'g'), 'yy', 'yY', 'g') AS x FROM {words} WHERE strlen(word) BETWEEN 3 AND 64)"
+    for n, step in enumerate(steps):
+        out += f", p{n + 1} AS (SELECT word, {step} AS x FROM (SELECT word, x, {cut if n == 1 else 'NULL'} AS t FROM p{n}) s)"
+    return out + f", stems AS (SELECT word, lower(x) AS stem FROM p{len(steps)} UNION ALL SELECT word, word FROM {words} WHERE strlen(word) NOT BETWEEN 3 AND 64)"
+
+
+def _stemmed(prefixes: list[str]) -> str:
+    """CTEs that end in bm (id, bm25) over stems, each of prefixes a phrase of its own."""
+    idf = "CASE WHEN ln((total - n{0} + 0.5) / (n{0} + 0.5)) > 0 THEN ln((total - n{0} + 0.5) / (n{0} + 0.5)) ELSE 1e-6 END"
+    each = range(len(prefixes))
+    return f"""tk AS MATERIALIZED (SELECT id, unnest(regexp_extract_all(lower(strip_accents(coalesce(fact_text, ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) AS word FROM m),
+words AS MATERIALIZED (SELECT DISTINCT word FROM tk), {_porter("words")},
+f AS (SELECT m.id, count(stem) AS n, {", ".join(f"count(*) FILTER (starts_with(stem, '{p}')) AS f{i}" for i, p in enumerate(prefixes))} FROM m LEFT JOIN (tk JOIN stems USING (word)) k ON k.id = m.id GROUP BY m.id),
+c AS (SELECT count(*) AS total, avg(n) AS mean, {", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in each)} FROM f),
+bm AS (SELECT id, -({" + ".join(f"{idf.format(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in each)}) AS bm25 FROM f, c WHERE {" AND ".join(f"f{i} > 0" for i in each)})"""
+
+
+def _embedded(query: str, k: int) -> str:
+    """CTEs that end in r: the hybrid of bm, the hash embedding of each text and importance."""
+    return f"""g AS (SELECT id, md5(substr(lower(coalesce(fact_text, '')), i, 3)) AS h FROM (SELECT id, fact_text, unnest(range(1, greatest(1, length(coalesce(fact_text, '')) - 2) + 1)) AS i FROM m)),
+b AS (SELECT id, ('0x' || substr(h, 31, 2))::INTEGER % 64 AS bucket, sum(1 - 2 * (('0x' || substr(h, 16, 1))::INTEGER % 2))::DOUBLE AS signed FROM g GROUP BY 1, 2),
+u AS (SELECT id, bucket, CAST(CAST(signed / nullif(sqrt(sum(signed * signed) OVER (PARTITION BY id)), 0) AS FLOAT) AS DOUBLE) AS x FROM b),
+cs AS (SELECT id, coalesce(sum(x * ({embed(query)}::DOUBLE[])[bucket + 1]) / nullif(sqrt(sum(x * x)) * sqrt({sum(v * v for v in embed(query))!r}::DOUBLE), 0), 0) AS cosine FROM u GROUP BY id),
+vis AS (SELECT m.*, cosine FROM m JOIN cs USING (id) WHERE {_LIVE} AND promotion_state <> 'ARCHIVED'),
+hits AS (SELECT bm.* FROM bm JOIN vis USING (id)),
+nt AS (SELECT id, CASE WHEN min(bm25) OVER () = max(bm25) OVER () THEN 1.0 ELSE 1 - (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END AS text_score FROM hits),
+sc AS (SELECT vis.*, 0.6 * cosine + 0.2 * coalesce(text_score, 0) + 0.2 * importance AS score FROM vis LEFT JOIN nt USING (id) WHERE coalesce(fact_text, '') <> ''),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, cosine DESC, id) AS INTEGER) AS rank FROM sc QUALIFY rank <= {k})"""
+
+
+_PHRASED = """t AS (SELECT id, regexp_extract_all(lower(coalesce(fact_text, '')), '[a-z0-9]+') AS tokens FROM m),
+f AS (SELECT id, len(tokens) AS n, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'the' AND starts_with(tokens[i + 1], 'an'))) AS f0, len(list_filter(tokens, lambda x: starts_with(x, 'of'))) AS f1 FROM t),
+c AS (SELECT count(*) AS total, avg(n) AS mean, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM f)"""
+_VERSIONS = """v AS (SELECT event_id, CAST(user_id AS VARCHAR) AS id, CASE WHEN event_type = 'view' THEN sha256(props) ELSE '' END AS content_hash, props AS fact_text, event_type = 'click' AS file, event_id % 100 AS bytes FROM events),
+live AS (SELECT * FROM v QUALIFY event_id = max(event_id) OVER (PARTITION BY id) AND (content_hash = '' OR event_id = max(event_id) OVER (PARTITION BY content_hash)))"""
+_KEPT = "k AS (SELECT * FROM events QUALIFY row_number() OVER (ORDER BY event_id DESC) <= (SELECT count(*) FROM events) * 7 // 10)"
+
 ORACLE_SQL: dict[str, str] = {
+    "bm25_stemmed": f"WITH {_M}, {_stemmed(['thing', 'and', 'the'])} SELECT id, round(bm25, 6) AS bm25 FROM bm",
+    "bm25_postings": f"WITH {_M}, {_BM} SELECT id, round(bm25, 6) AS bm25 FROM bm",
+    "bm25_phrase": f"WITH {_M}, {_PHRASED} SELECT id, round(-({' + '.join(f'CASE WHEN ln((total - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((total - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / mean))' for i in range(2))}), 6) AS bm25 FROM f, c WHERE f0 > 0 AND f1 > 0",
+    "hybrid_memories": f"WITH {_M}, {_stemmed(['the', 'thing', 'and', 'then'])}, {_embedded(MEMORIES, 10)} SELECT 'system' AS role, fact_text AS content, id AS memory_id, identifier, round(score, 4) AS score, created_at, rank FROM r",
+    "hybrid_postings": f"WITH {_M}, {_BM}, {_embedded(QUERY, 20)} SELECT id, rank, round(score, 6) AS score FROM r",
+    "store_versions": f"WITH {_VERSIONS} SELECT id, content_hash, fact_text, event_id FROM live",
+    "store_stats": f"""WITH {_VERSIONS} SELECT count(*) AS total, count(*) FILTER (NOT file) AS inline_count, count(*) FILTER (file) AS file_count, CAST(coalesce(sum(length(fact_text)) FILTER (NOT file), 0) AS BIGINT) AS inline_chars,
+        CAST(coalesce(sum(bytes) FILTER (file), 0) AS BIGINT) AS file_bytes, CAST(coalesce(max(length(fact_text)) FILTER (NOT file), 0) AS BIGINT) AS largest_inline FROM live""",
+    "store_lookup": f"""WITH {_VERSIONS}, k AS (SELECT CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS id, sha256(props) AS h FROM events WHERE event_id % 997 = 5 ORDER BY id NULLS FIRST, h LIMIT 60)
+        SELECT id, content_hash, event_id FROM live WHERE id IN (SELECT id FROM k WHERE id IS NOT NULL) OR content_hash IN (SELECT h FROM k)""",
+    "event_log_trimmed": f"WITH {_KEPT} SELECT event_id, CAST(user_id AS VARCHAR) AS memory_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS occurred_at FROM k WHERE event_type = 'purchase' AND strftime(ts, '%Y-%m-%dT%H:%M:%SZ') >= '2024-01-02T00:00:00Z'",
+    "event_slices": f"WITH {_KEPT}, s AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // (((SELECT count(*) FROM k) + 6) // 7) AS slice FROM k) SELECT CAST(slice AS INTEGER) AS slice, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM s GROUP BY slice",
+    "null_hashes": """WITH d AS (SELECT event_id AS seq, CASE WHEN event_type = 'signup' THEN '' WHEN event_type <> 'error' THEN md5((event_id % 97) || ':' || event_type) END AS content_hash FROM events),
+        f AS (SELECT *, coalesce(content_hash, '') = '' OR row_number() OVER (PARTITION BY seq % 2, content_hash ORDER BY seq) = 1 AS kept FROM d)
+        SELECT seq, content_hash FROM f WHERE kept AND (seq % 2 = 0 OR coalesce(content_hash, '') = '' OR content_hash NOT IN (SELECT content_hash FROM d WHERE seq % 2 = 0 AND content_hash IS NOT NULL))""",
     "content_hash": f"WITH {_M} SELECT id, content_hash FROM m",
     "ttl_live": f"WITH {_M} SELECT id, created_at FROM m WHERE {_LIVE}",
     "archived_filter": f"WITH {_M} SELECT id, promotion_state FROM m WHERE promotion_state <> 'ARCHIVED'",

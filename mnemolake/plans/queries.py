@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,14 +13,15 @@ from pyspark.sql import functions as F
 from mnemolake.functions.embed import decode_vector, embedding, embedding_buckets, encode_vector
 from mnemolake.functions.exprs import agent_truncate, content_hash, file_hash, resolve_uri, stored_vector_ok, ttl_live
 from mnemolake.operators import dedup, events, hydrate, hygiene, lifecycle, lists, search
-from mnemolake.schema import DIM, MODEL, conform
+from mnemolake.schema import DIM, EVENT, MODEL, conform
 from mnemolake.sources import bundle, inspectors
+from mnemolake.store import Store
 from mnemolake.streaming import event_stream
-from mnemolake.work import materialise
+from mnemolake.work import shared_dir
 
 #: 2024-01-01T02:00:00Z
 NOW = 1704074400
-QUERY = "the and of then"
+QUERY, PHRASE, STEMMED, MEMORIES = "the and of then", "the_an of", "things and the", "the thing and then"
 VECTOR = tuple(float((i * 7) % 13 - 6) for i in range(64))
 
 
@@ -52,6 +55,53 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("memory_id"), F.concat(F.lit("u"), F.pmod("user_id", F.lit(10)).cast("string")).alias("namespace"), "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"), F.col("props").alias("payload_json"), "value")
 
 
+_STORES: dict[tuple, Store] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, table: str, kind: str, begin: Callable[[Store], None], stemmed: bool = True) -> Store:
+    """A store that is derived from a table, written at its first use in a session and anew when the table has changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, kind, stemmed)
+    if _STORES.get(key, (None, None))[0] != changed:
+        store = Store(spark, f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}", stemmed)
+        begin(store)
+        _STORES[key] = changed, store
+    return _STORES[key][1]
+
+
+def memory_store(s, d, stemmed: bool = True) -> Store:
+    rows = lambda: conform(memories(s, d).withColumn("embedding", embedding(F.col("fact_text"))))
+    return _stored(s, d, "conversations", "memories", lambda store: store.insert_ignore(rows()), stemmed)
+
+
+def version_store(s, d) -> Store:
+    """Events as versions, upserted in three batches: by id and by hash, later ones replace earlier ones."""
+
+    def begin(store: Store) -> None:
+        e = event_rows(s, d)
+        kind = F.when(F.col("event_type") == "click", "file").otherwise("fact")
+        rows = e.select("seq", F.col("memory_id").alias("id"), F.when(F.col("event_type") == "view", F.sha2("payload_json", 256)).otherwise("").alias("content_hash"), F.col("payload_json").alias("fact_text"), kind.alias("memory_type"), (F.col("seq") % 100).alias("byte_length"), F.col("seq").cast("string").alias("source"))
+        third = e.agg(F.max("seq")).first()[0] // 3 + 1
+        for n in range(3):
+            store.upsert(rows.where((F.col("seq") >= n * third) & (F.col("seq") < (n + 1) * third)).orderBy("seq").drop("seq"))
+
+    return _stored(s, d, "events", "versions", begin)
+
+
+def event_store(s, d) -> Store:
+    """Events in four batches, of which the newest seven tenths stay."""
+
+    def begin(store: Store) -> None:
+        e = event_rows(s, d).withColumn("event_id", F.col("seq").cast("string"))
+        quarter = e.agg(F.max("seq")).first()[0] // 4 + 1
+        for n in range(4):
+            store.append(events=conform(e.where((F.col("seq") >= n * quarter) & (F.col("seq") < (n + 1) * quarter)).orderBy("seq"), EVENT))
+        store.trim_events(store.event_count() * 7 // 10)
+
+    return _stored(s, d, "events", "events", begin)
+
+
 def q_content_hash(s, d):
     return memories(s, d).select("id", "content_hash")
 
@@ -123,8 +173,22 @@ def q_bm25_norm(s, d):
     return search.normalised(_bm25(s, d)).select("id", F.round("text_score", 6).alias("text_score"))
 
 
+def _of_index(store: Store, query: str) -> DataFrame:
+    return store.bm25(query).join(store.current().select("seq", "id"), "seq").select("id", "bm25")
+
+
 def q_bm25_stemmed(s, d):
-    return search.bm25(materialise(search.index(memories(s, d)), "index"), "things and the")
+    """Over the written index: reads the postings of three terms."""
+    return _of_index(memory_store(s, d), STEMMED).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+def q_bm25_postings(s, d):
+    return _of_index(memory_store(s, d, stemmed=False), QUERY).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+def q_bm25_phrase(s, d):
+    """An underscore makes a phrase of two tokens."""
+    return _of_index(memory_store(s, d, stemmed=False), PHRASE).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 def _hybrid(s, d, k=20):
@@ -137,9 +201,50 @@ def q_hybrid_search(s, d):
 
 
 def q_hybrid_memories(s, d):
-    rows = memories(s, d).withColumn("fact_summary", F.lit(None).cast("string")).withColumns({"embedding": embedding(F.col("fact_text")), "tokens": search.tokens_of(F.col("fact_text"))})
-    # vectors and stems are written once, as a store does; the search itself runs no Python
-    return search.messages(search.hybrid(materialise(rows, "index"), "the thing and then", 10, NOW))
+    store = memory_store(s, d)
+    found = search.messages(search.hybrid_of_scores(store.current(), store.bm25(MEMORIES), MEMORIES, 10, NOW))
+    return found.select("role", "content", "memory_id", "identifier", "score", "created_at", "rank")
+
+
+def q_hybrid_postings(s, d):
+    store = memory_store(s, d, stemmed=False)
+    return search.hybrid_of_scores(store.current(), store.bm25(QUERY), QUERY, 20, NOW).select("id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_store_versions(s, d):
+    return version_store(s, d).current().select("id", "content_hash", "fact_text", F.col("source").cast("long").alias("event_id"))
+
+
+def q_store_stats(s, d):
+    """From the pointer alone, after many rows were replaced."""
+    return version_store(s, d).stats()
+
+
+def q_store_lookup(s, d):
+    """A few ids and hashes, looked up by filters that skip row groups."""
+    e = event_rows(s, d).where("seq % 997 = 5")
+    keys = e.select(F.when(F.col("seq") % 2 == 0, F.col("memory_id")).alias("id"), F.sha2("payload_json", 256).alias("content_hash"))
+    return version_store(s, d).holding(keys.orderBy("id", "content_hash").limit(60)).select("id", "content_hash", F.col("source").cast("long").alias("event_id"))
+
+
+def q_event_log_trimmed(s, d):
+    return event_store(s, d).events(event_type="purchase", since="2024-01-02T00:00:00Z").select(F.col("event_id").cast("long").alias("event_id"), "memory_id", "occurred_at")
+
+
+def q_event_slices(s, d):
+    """A running log in slices of bounded size, by cursor."""
+    store = event_store(s, d)
+    slices = [rows.agg(F.lit(n).alias("slice"), F.count("*").alias("n"), F.min(F.col("event_id").cast("long")).alias("first"), F.max(F.col("event_id").cast("long")).alias("last")) for n, (_, rows) in enumerate(store.slices(0, -(-store.event_count() // 7)))]
+    return reduce(DataFrame.unionByName, slices)
+
+
+def q_null_hashes(s, d):
+    """Hashes that are null or empty never collide, in the store or in what is new."""
+    e = event_rows(s, d)
+    digest = F.when(F.col("event_type") == "signup", "").when(F.col("event_type") != "error", F.md5(F.concat_ws(":", (F.col("seq") % 97).cast("string"), "event_type")))
+    rows = e.select("seq", digest.alias("content_hash"))
+    store = dedup.first_by_hash(rows.where("seq % 2 = 0"), ["seq"])
+    return dedup.merge(store, rows.where("seq % 2 = 1"), ["seq"])
 
 
 def q_search_max_chars(s, d):

@@ -192,7 +192,7 @@ class Service:
             for w in found:
                 if w["severity"] == "error":
                     self.store._log("hygiene.warning", w)
-            if self.store.store.events().count() > KEEP_EVENTS:
+            if self.store.store.event_count() > KEEP_EVENTS:
                 self.store.trim_events(KEEP_EVENTS)
         return {"warnings": found, "count": len(found), "counts": counts}
 

@@ -66,9 +66,9 @@ def jsonl_summary(lines: DataFrame, line: str) -> DataFrame:
 
 
 def jsonl_columns(lines: DataFrame, line: str) -> DataFrame:
-    """(key, first_line, place): keys by where they are first seen."""
+    """(key, first_line, place, n): keys by where they are first seen. Buffers are longs, so that they live in a hash aggregate."""
     seen = lines.where("valid").select(line, F.posexplode_outer("keys").alias("place", "key")).where("key IS NOT NULL")
-    return seen.groupBy("key").agg(F.min(F.struct(F.col(line).alias("first_line"), "place")).alias("x"), F.count("*").alias("n")).select("key", "x.first_line", "x.place", "n")
+    return seen.groupBy("key").agg(F.min(line).alias("first_line"), F.min_by("place", line).alias("place"), F.count("*").alias("n"))
 
 
 def jsonl_head(path: str, sample: int) -> tuple[list[dict], list[tuple[int, int]]]:
