@@ -71,16 +71,22 @@ def payload(memories: DataFrame) -> Column:
     return F.to_json(F.struct(*(F.col(c) for c in memories.columns)))
 
 
-def audit_replay(history: DataFrame, default_actor: str = "imported") -> DataFrame:
-    """The last state of each memory_id of an audit history: identifier, fact_text, created_at.
+def audit_states(history: DataFrame, default_actor: str = "imported") -> DataFrame:
+    """(memory_id, identifier, fact_text, created_at, gone) for each memory_id of an audit history, a table or a stream.
 
     In order of created_at and id, a deletion ends an epoch; in an epoch the last non-blank text stands, with its actor
-    and time. A memory is given if its last epoch has a text: if its last text isn't before its last deletion. Both are
-    partial aggregates, so a memory of many changes makes no hot window. Of texts at the same place the greatest stands.
+    and time. A memory is gone unless its last epoch has a text: unless its last text isn't before its last deletion. Both are
+    maxima, so they merge: a memory of many changes makes no hot window, and a stream holds the two of each memory as state
+    and gives the same result however its batches are cut. Of texts at the same place the greatest stands.
     """
     dead = F.coalesce((F.col("event") == "DELETE") | (F.coalesce(F.col("is_deleted"), F.lit(0)) != 0), F.lit(False))
     place = F.struct("created_at", "id")
     said = ~dead & F.col("new_memory").rlike(r"(?U)\S")
     last = history.groupBy("memory_id").agg(F.max(F.when(dead, place)).alias("died"), F.max(F.when(said, F.struct(place.alias("place"), "new_memory", "actor_id", "created_at"))).alias("x"))
-    last = last.where(F.col("x").isNotNull() & (F.col("died").isNull() | (F.col("x.place") >= F.col("died"))))
-    return last.select("memory_id", F.coalesce(F.nullif("x.actor_id", F.lit("")), F.lit(default_actor)).alias("identifier"), F.col("x.new_memory").alias("fact_text"), F.col("x.created_at").alias("created_at"))
+    there = F.col("x").isNotNull() & (F.col("died").isNull() | (F.col("x.place") >= F.col("died")))
+    return last.select("memory_id", F.coalesce(F.nullif("x.actor_id", F.lit("")), F.lit(default_actor)).alias("identifier"), F.col("x.new_memory").alias("fact_text"), F.col("x.created_at").alias("created_at"), (~there).alias("gone"))
+
+
+def audit_replay(history: DataFrame, default_actor: str = "imported") -> DataFrame:
+    """The last state of each memory_id that isn't gone: identifier, fact_text, created_at."""
+    return audit_states(history, default_actor).where("NOT gone").drop("gone")

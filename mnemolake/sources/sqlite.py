@@ -5,9 +5,9 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from mnemolake.schema import HISTORY, MEMORY, ddl
@@ -29,9 +29,32 @@ class _Range(InputPartition):
         self.low, self.high = low, high
 
 
+#: Comparisons that SQLite answers as Spark does; a null is never true in either.
+_TESTS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.table, self.parts, self.schema = options["path"], options["table"], int(options.get("partitions", 8)), schema
+        self.tests, self.values = [], []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes comparisons of columns of text with texts. Names come from the schema, values are bound, so neither becomes statement text that a caller wrote."""
+        texts = {f.name for f in self.schema.fields if f.dataType.simpleString() == "string"}
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if name in texts and type(f) in _TESTS and isinstance(f.value, str):
+                self._take(f'"{name}" COLLATE BINARY {_TESTS[type(f)]} ?', name, [f.value])
+            elif name in texts and isinstance(f, In) and 0 < len(f.value) <= 100 and all(isinstance(v, str) for v in f.value):
+                self._take(f'"{name}" COLLATE BINARY IN ({", ".join("?" * len(f.value))})', name, list(f.value))
+            elif name in texts and isinstance(f, IsNotNull):
+                self._take(f'"{name}" IS NOT NULL', name, [])
+            else:
+                yield f
+
+    def _take(self, test: str, name: str, values: list[str]) -> None:
+        self.tests.append(test)
+        self.values += values
 
     def partitions(self) -> list[_Range]:
         with _open(self.path) as db:
@@ -45,7 +68,8 @@ class _Reader(DataSourceReader):
         # names come from the declared schema only, so a hostile column name never reaches the statement
         names = ", ".join(f'"{f.name}"' for f in self.schema.fields)
         with _open(self.path) as db:
-            rows = db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (part.low, part.high))
+            tests = "".join(f" AND {t}" for t in self.tests)
+            rows = db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?{tests}', (part.low, part.high, *self.values))
             while batch := rows.fetchmany(_BATCH):
                 yield from batch
 
@@ -76,12 +100,14 @@ def _scan(spark: SparkSession, path: str, table: str, needed: tuple[str, ...]) -
     if missing:
         raise ValueError(f"{table} lacks {', '.join(missing)}")
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format(SqliteSource.name()).option("path", path).option("table", table).load()
 
 
-def read_memories(spark: SparkSession, path: str) -> DataFrame:
-    """Rows as an import takes them: only known columns, vectors as base64 text."""
+def read_memories(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """Rows as an import takes them: only known columns, vectors as base64 text. `where` is asked of SQLite as far as it can answer."""
     rows = _scan(spark, path, "memories", ("id", "identifier", "fact_text", "embedding"))
+    rows = rows if where is None else rows.where(where)
     rows = rows.withColumn("embedding_b64", F.base64("embedding")).drop("embedding").withColumn("line", F.monotonically_increasing_id())
     for name, kind, default in MEMORY:
         if name not in rows.columns and name != "embedding":
@@ -89,5 +115,6 @@ def read_memories(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, "history", tuple(c[0] for c in HISTORY))
+def read_history(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    rows = _scan(spark, path, "history", tuple(c[0] for c in HISTORY))
+    return rows if where is None else rows.where(where)

@@ -75,43 +75,105 @@ def metadata(path: str) -> dict:
     return {"path": path, "size": os.path.getsize(path), "modified": os.path.getmtime(path), "format": FORMATS.get(os.path.splitext(path)[1].lower(), "unknown")}
 
 
-def classify(path: str, offset: int, length: int, expected: str | None) -> tuple[bytes | None, bool, str | None]:
-    """(content, verified, reason): one read; a short read is told before a wrong checksum."""
-    try:
-        data = read_range(path, offset, length)
-    except OSError:
-        return None, False, "missing_file"
-    if len(data) < length:
-        return None, False, "truncated"
-    if expected and hashlib.sha256(data).hexdigest() != expected:
-        return None, False, "checksum_mismatch"
-    return data, bool(expected), None
-
-
 _READ = "id string, content binary, verified boolean, reason string"
+#: Ranges of a file that are at most so many bytes apart are read as one run; a run ends at so many bytes, so a task holds no more at once.
+GAP, RUN = 1 << 16, 8 << 20
+
+
+def runs(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(first byte, end, how many) of the runs that ranges (offset, length), in order of offset, are read as; overlaps and small gaps merge."""
+    start = end = n = 0
+    for offset, length in ranges:
+        if n and (offset > end + GAP or max(end, offset + length) - start > RUN):
+            yield start, end, n
+            n = 0
+        start, end = (offset, offset + length) if not n else (start, max(end, offset + length))
+        n += 1
+    if n:
+        yield start, end, n
+
+
+class _Opened:
+    """The file that was read last stays open until another is asked for; opened counts how many were."""
+
+    def __init__(self):
+        self.path, self.file, self.opened = None, None, 0
+
+    def at(self, path: str):
+        if path != self.path:
+            self.close()
+            self.file, self.path, self.opened = open(path, "rb"), path, self.opened + 1  # noqa: SIM115  closed by close()
+        return self.file
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+        self.path = self.file = None
+
+
+def read_sorted(rows: list[dict], held: _Opened, base: str | None, verify: bool) -> Iterator[tuple]:
+    """(id, content, verified, reason) of references in order of uri and offset: a file is opened once, neighbouring ranges are one read."""
+    first = 0
+    while first < len(rows):
+        last = first
+        while last < len(rows) and rows[last]["source_uri"] == rows[first]["source_uri"]:
+            last += 1
+        group, first = rows[first:last], last
+        try:
+            file = held.at(local_path(group[0]["source_uri"] or "", base))
+        except UnsupportedScheme:
+            yield from ((r["id"], None, False, "unsupported_scheme") for r in group)
+            continue
+        except OSError:
+            yield from ((r["id"], None, False, "missing_file") for r in group)
+            continue
+        at = 0
+        for start, end, n in runs([(max(0, r["byte_offset"] or 0), max(0, r["byte_length"] or 0)) for r in group]):
+            file.seek(start)
+            data = file.read(end - start)
+            for r in group[at : at + n]:
+                low, length = max(0, r["byte_offset"] or 0) - start, max(0, r["byte_length"] or 0)
+                part = data[low : low + length]
+                wanted = r["source_checksum"] if verify else None
+                if len(part) < length:
+                    yield r["id"], None, False, "truncated"
+                elif wanted and hashlib.sha256(part).hexdigest() != wanted:
+                    yield r["id"], None, False, "checksum_mismatch"
+                else:
+                    yield r["id"], part, bool(wanted), None
+            at += n
 
 
 def read_references(rows: DataFrame, base: str | None = None, verify: bool = True) -> DataFrame:
     """rows (id, source_uri, byte_offset, byte_length, source_checksum) to (id, content, verified, reason).
 
-    Rows of one file go to one task, in order of offset. A file of many ranges spreads over as many tasks as its
-    megabytes ask for.
+    Rows of one file go to one task, in order of offset, so that a task opens it once and reads runs of ranges; a file of
+    many ranges spreads over as many tasks as its megabytes ask for. A short read is told before a wrong checksum.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                try:
-                    out.append((r["id"], *classify(local_path(r["source_uri"], base), r["byte_offset"] or 0, r["byte_length"] or 0, r["source_checksum"] if verify else None)))
-                except UnsupportedScheme:
-                    out.append((r["id"], None, False, "unsupported_scheme"))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.bool_(), pa.string()))], names=["id", "content", "verified", "reason"])
+        held = _Opened()
+        try:
+            for batch in batches:
+                out, size = [], 0
+                for r in read_sorted(batch.to_pylist(), held, base, verify):
+                    out.append(r)
+                    size += len(r[1] or b"")
+                    if size >= RUN:
+                        yield _answers(out)
+                        out, size = [], 0
+                yield _answers(out)
+        finally:
+            held.close()
 
     wanted = rows.select("id", "source_uri", "byte_offset", "byte_length", "source_checksum")
     return wanted.repartition("source_uri", (wanted["byte_offset"] / (1 << 26)).cast("long")).sortWithinPartitions("source_uri", "byte_offset").mapInArrow(read, _READ)
 
 
+def _answers(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.binary(), pa.bool_(), pa.string()))], names=["id", "content", "verified", "reason"])
+
+
 def present(paths: DataFrame) -> DataFrame:
     """(path, length) of those of a one-column frame that exist as local files or folders; uris of other schemes don't."""
 

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import json
+import os
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +25,7 @@ PLAIN = ("id", "identifier", "fact_text", "source", "importance", "metadata_json
 def read(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
     """Memory rows of a file or folder; blank lines are skipped, a malformed line fails the read. gzip needs no option."""
     kinds = ddl(tuple(c for c in MEMORY if c[0] != "embedding")) + ", embedding_b64 string"
-    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    lines = _lines(spark, path).where(F.col("value").rlike(r"\S"))
     rows = lines.select(F.from_json("value", kinds, {"mode": "FAILFAST"}).alias("r"), F.monotonically_increasing_id().alias("line")).select("line", "r.*")
     if not full:
         rows = rows.select("line", *PLAIN)
@@ -48,5 +56,76 @@ def as_json(memories: DataFrame, include_embeddings: bool = True) -> Column:
 
 
 def write(memories: DataFrame, path: str, include_embeddings: bool = True, compressed: bool = False) -> None:
-    """A folder of JSON-lines parts, as many as the frame has partitions."""
-    memories.select(as_json(memories, include_embeddings).alias("value")).write.option("compression", "gzip" if compressed else "none").text(path)
+    """One file of JSON lines. Tasks write its parts, gzip members if compressed; the driver joins them as bytes, holding none.
+
+    Beside a compressed file lies an index of its members (`.members`), by which read() gives each member a task.
+    """
+    spark = memories.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(conf)
+    if fs.exists(place(path)) and fs.getFileStatus(place(path)).isDirectory():
+        raise IsADirectoryError(path)
+    parts, whole = f"{path}.parts-{uuid.uuid4().hex}", f"{path}.new-{uuid.uuid4().hex}"
+    memories.select(as_json(memories, include_embeddings).alias("value")).write.option("compression", "gzip" if compressed else "none").text(parts)
+    found = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(place(parts)) if f.getPath().getName().startswith("part-"))
+    members, at, out = [], 0, fs.create(place(whole))
+    for name, size in found:
+        stream = fs.open(place(f"{parts}/{name}"))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+        stream.close()
+        members.append((at, size))
+        at += size
+    if compressed and not at:
+        nothing = gzip.compress(b"")
+        out.write(bytearray(nothing))
+        members, at = [(0, len(nothing))], len(nothing)
+    out.close()
+    fs.delete(place(parts), True)
+    for new, old in ((whole, path), *([(_index_of(spark, members, f"{path}.new-{uuid.uuid4().hex}"), f"{path}.members")] if compressed else [])):
+        fs.delete(place(old), False)
+        fs.rename(place(new), place(old))
+
+
+def _index_of(spark: SparkSession, members: list[tuple[int, int]], path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(json.dumps(members).encode()))
+    out.close()
+    return path
+
+
+def members_of(path: str) -> list[tuple[int, int]]:
+    """(offset, length) of the members of a local compressed file that write() made; none if it has no index that fits it."""
+    try:
+        with open(f"{path}.members") as f:
+            found = [(int(a), int(n)) for a, n in json.load(f)]
+        return found if sum(n for _, n in found) == os.path.getsize(path) else []
+    except (OSError, ValueError, TypeError):
+        return []
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of a file or folder; a compressed file with an index is read by as many tasks as it has members."""
+    members = members_of(path) if path.endswith(".gz") and "://" not in path and os.path.isfile(path) else []
+    if len(members) < 2:
+        return spark.read.text(path)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open(path, "rb") as f:
+                    f.seek(r["at"])
+                    inflate, left, rest = zlib.decompressobj(31), r["n"], b""
+                    while left and (data := f.read(min(left, 1 << 18))):
+                        left -= len(data)
+                        lines = (rest + inflate.decompress(data)).split(b"\n")
+                        rest = lines.pop()
+                        yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())], names=["value"])
+                    if not inflate.eof:
+                        raise ValueError("EOFException: a member ends too early")
+                    if rest:
+                        yield pa.RecordBatch.from_arrays([pa.array([rest.decode("utf-8", "replace")], pa.string())], names=["value"])
+
+    parts = spark.createDataFrame(members, "at long, n long").repartitionByRange(len(members), "at")
+    return parts.mapInArrow(read, "value string")

@@ -391,33 +391,48 @@ class Store:
         state["next"] = max(state["next"], batch["high"] + 1)
         return state
 
-    def _holding(self, state: dict, keys: DataFrame) -> DataFrame:
-        """Live versions that have the id or the hash of any of keys (id, content_hash); few keys are filters, which skip row groups."""
-        live = self._versions(state)
+    @staticmethod
+    def _few(keys: DataFrame) -> list | None:
+        """The keys, if they are few enough to be looked up by filters."""
         few = keys.limit(LITERALS + 1).collect()
-        if len(few) > LITERALS:
+        return few if len(few) <= LITERALS else None
+
+    def _holding(self, state: dict, keys: DataFrame, few: list | None = None) -> DataFrame:
+        """Live versions that have the id or the hash of any of keys (id, content_hash); few keys are filters, which skip row groups."""
+        live, few = self._versions(state), few or self._few(keys)
+        if few is None:
             ids = keys.select(F.col("id").alias("_id")).where("_id IS NOT NULL").distinct()
             hashes = keys.select(F.col("content_hash").alias("_hash")).where("_hash != ''").distinct()
             met = live.join(ids, F.col("id") == F.col("_id"), "left").join(hashes, F.col("content_hash") == F.col("_hash"), "left")
             return met.where(F.col("_id").isNotNull() | F.col("_hash").isNotNull()).drop("_id", "_hash")
-        tests = [_any("id", found) for found in [sorted({r.id for r in few if r.id is not None})] if found]
-        tests += [_any("content_hash", found) for found in [sorted({r.content_hash for r in few if r.content_hash})] if found]
+        asked = {"id": sorted({r.id for r in few if r.id is not None}), "content_hash": sorted({r.content_hash for r in few if r.content_hash})}
+        tests = [_any(c, values) for c, values in asked.items() if values]
         return live.where(reduce(lambda a, b: a | b, tests)) if tests else live.limit(0)
 
     def _replace(self, state: dict, given: DataFrame) -> None:
         """Adds a batch to state and what dies of it to `dead`: older versions of its ids and hashes, and those that it replaces itself."""
         keys = given.select("seq", "id", "content_hash")
-        last = live_versions(keys).select(F.col("seq").alias("_s"))
-        own = given.join(last, F.col("seq") == F.col("_s"), "left_anti")
-        older = self._holding(state, keys)
+        few, path = self._few(keys), f"dead/{uuid.uuid4().hex}"
         shape = ["seq", *_sizes(), F.col("tokens").cast("long").alias("tokens")]
-        path = f"dead/{uuid.uuid4().hex}"
-        older.select(*shape).unionByName(own.select(*shape)).write.parquet(f"{self.root}/{path}")
-        dead = self._read(DEAD, [path])
-        gone = dead.agg(*_sums()).first()
-        batch = self._version_batch(given)
+        older = self._holding(state, keys, few).select(*shape) if state["versions"] else None
+        if few is None:
+            last = live_versions(keys).select(F.col("seq").alias("_s"))
+            own = given.join(last, F.col("seq") == F.col("_s"), "left_anti").select(*shape)
+            (own if older is None else own.unionByName(older)).write.parquet(f"{self.root}/{path}")
+        else:
+            # a key has one live version at most, so what few keys replace is few too
+            last_of = {k: r.seq for r in sorted(few, key=lambda r: r.seq) for k in (("id", r.id), ("hash", r.content_hash))}
+            lost = [r.seq for r in few if r.id is not None and last_of["id", r.id] > r.seq or r.content_hash and last_of["hash", r.content_hash] > r.seq]
+            rows = [tuple(r) for df in ([given.where(F.col("seq").isin(lost)).select(*shape)] if lost else []) + ([] if older is None else [older]) for r in df.collect()]
+            if rows:
+                self.spark.createDataFrame(rows, ddl(DEAD)).coalesce(1).write.parquet(f"{self.root}/{path}")
+        batch = self._version_batch(given, at_most=None if few is None else len(few))
         if batch:
             self._with_batch(state, batch)
+        if few is not None and not rows:
+            return
+        dead = self._read(DEAD, [path])
+        gone = dead.agg(*_sums()).first()
         if not gone.total:
             self._fs.delete(self._path(f"{self.root}/{path}"), True)
             return

@@ -59,7 +59,7 @@ def rows_of(spark, rows):
 row = st.tuples(st.sampled_from(["a", "b", "c", "d", "e", "", None]), st.sampled_from(["", None, "G", "H", "I", "J"]), st.sampled_from(["", "one", "one two", "three words here " * 3, None]), st.sampled_from(["fact", "file"]), st.sampled_from([None, 5, 70]))
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(batches=st.lists(st.lists(row, min_size=1, max_size=5), min_size=1, max_size=4), compacted=st.integers(0, 4))
 def test_upserts_equal_replacing(spark, tmp_path_factory, batches, compacted):
     store = Store(spark, str(tmp_path_factory.mktemp("store")))
@@ -81,6 +81,20 @@ def test_upserts_equal_replacing(spark, tmp_path_factory, batches, compacted):
     assert {(r.seq, r.term): r.tf for r in held} == {(s, search.phrases(t)[0][0]): n for (s, t), n in tokens.items()}
 
 
+def test_many_keys_replace_as_few_do(spark, tmp_path):
+    """More keys than are looked up by filters: by joins."""
+    store, rng, rows = Store(spark, str(tmp_path / "s")), random.Random(8), []
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE m (id TEXT PRIMARY KEY, h TEXT NOT NULL)")
+    db.execute("CREATE UNIQUE INDEX u ON m(h) WHERE h != ''")
+    for n in (120, 5, 90):
+        rows = [(rng.choice([*map(str, range(70)), None]), rng.choice(["", *(f"h{i}" for i in range(70))]), "t" * rng.randint(0, 30), "fact", None) for _ in range(n)]
+        store.upsert(rows_of(spark, rows))
+        db.executemany("INSERT OR REPLACE INTO m VALUES (?, ?)", [r[:2] for r in rows])
+    assert sorted(map(tuple, store.current().select("id", "content_hash").collect()), key=str) == sorted(db.execute("SELECT id, h FROM m"), key=str)
+    assert store.stats().first() == hygiene.stats(store.memories()).first()
+
+
 def test_inserts_ignore_what_is_there(spark, tmp_path):
     store, db = Store(spark, str(tmp_path / "s")), sqlite3.connect(":memory:")
     db.execute("CREATE TABLE m (id TEXT PRIMARY KEY, h TEXT)")
