@@ -17,21 +17,23 @@ from pyspark.sql import functions as F
 from mnemolake.llm.common import broadcast_if_small, whole_text
 from mnemolake.llm.license_texts import LONG_TEXTS, NOTICES, TEXTS
 
-#: A line that only names who holds copyright; lines end at \n.
-COPYRIGHT_LINE = r"(?m)^[ \t\r*#/;-]*(copyright[ \t:]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*$"
+#: A line that only names who holds copyright; lines end at \n alone.
+COPYRIGHT_LINE = r"(?md)^[ \t\r*#/;-]*(copyright[ \t:]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*$"
+#: A word starts where no ASCII letter or digit is before it.
+_START = r"(?<![a-z0-9])"
 #: Fixed values: (spelling as a regular expression over the lower-cased text, the one kept).
 SPELLINGS = (
-    (r"\blicenc", "licens"),
-    (r"\bsub-?licen[cs]", "sublicens"),
-    (r"\bnon-infringement", "noninfringement"),
-    (r"\bnon-commercial", "noncommercial"),
-    (r"\borganisation", "organization"),
-    (r"\brecognise", "recognize"),
-    (r"\backnowledgement", "acknowledgment"),
-    (r"\bfavour", "favor"),
-    (r"\bwhilst\b", "while"),
-    (r"\bcopyright owner", "copyright holder"),
-    (r"\bhttps:", "http:"),
+    (_START + r"licenc", "licens"),
+    (_START + r"sub-?licen[cs]", "sublicens"),
+    (_START + r"non-infringement", "noninfringement"),
+    (_START + r"non-commercial", "noncommercial"),
+    (_START + r"organisation", "organization"),
+    (_START + r"recognise", "recognize"),
+    (_START + r"acknowledgement", "acknowledgment"),
+    (_START + r"favour", "favor"),
+    (_START + r"whilst(?![a-z0-9])", "while"),
+    (_START + r"copyright owner", "copyright holder"),
+    (_START + r"https:", "http:"),
 )
 #: Everything but ASCII letters and digits and non-ASCII characters, as a run.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -5,8 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from mnemolake.llm.license_texts import NOTICES, TEXTS
-from mnemolake.llm.licenses import COPYRIGHT_LINE, SEPARATORS, SPELLINGS
+from mnemolake.llm.license_texts import LONG_TEXTS, NOTICES, TEXTS
 
 MIXING = r"""
 WITH d AS (
@@ -64,13 +63,31 @@ FROM d LEFT JOIN hit USING (row) LEFT JOIN items USING (row)
 """
 
 
+#: The rules of the canonical form for engines whose lines end at \n and that can't look behind: what is before a word is kept.
+_CLAIM = r"(?m)^[-;/#* \t\r]*(copyright[: \t]*(©|\(c\)|[{\[<0-9])|\(c\)[ \t]*[{\[<0-9]|©|all rights reserved)[^\n]*$"
+_WORDS = {
+    "licenc": "licens", "sub-?licen[sc]": "sublicens", "non-infringement": "noninfringement", "non-commercial": "noncommercial", "organisation": "organization", "recognise": "recognize",
+    "acknowledgement": "acknowledgment", "favour": "favor", "whilst": "while", "copyright owner": "copyright holder", "https:": "http:",
+}
+
+
+def _rules() -> list[tuple[str, str]]:
+    rules = []
+    for word, one in _WORDS.items():
+        if word == "whilst":
+            # what follows is kept too, so the next one may lack its border: once more
+            rules += [(rf"(^|[^a-z0-9]){word}($|[^a-z0-9])", rf"\1{one}\2")] * 2
+        else:
+            rules.append((rf"(^|[^a-z0-9]){word}", rf"\1{one}"))
+    return rules
+
+
 def canonical(text: str) -> str:
     """The canonical form of a licence text, one string at a time."""
-    text = text.translate({c: c + 32 for c in range(65, 91)})
-    text = re.sub(COPYRIGHT_LINE, "", text)
-    for pattern, one in SPELLINGS:
+    text = re.sub(_CLAIM, "", text.translate({c: c + 32 for c in range(65, 91)}))
+    for pattern, one in _rules():
         text = re.sub(pattern, one, text)
-    return re.sub(SEPARATORS, " ", text).strip(" ")
+    return " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
 
 
 def license_sql() -> str:
@@ -81,10 +98,10 @@ def license_sql() -> str:
         return ", ".join(f"('{d}', '{n}')" for d, n in rows.items())
 
     def form(column: str) -> str:
-        out = f"regexp_replace(translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{COPYRIGHT_LINE}', '', 'g')"
-        for pattern, one in SPELLINGS:
+        out = f"regexp_replace(translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_CLAIM}', '', 'g')"
+        for pattern, one in _rules():
             out = f"regexp_replace({out}, '{pattern}', '{one}', 'g')"
-        return f"sha256(trim(regexp_replace({out}, '{SEPARATORS}', ' ', 'g'), ' '))"
+        return f"sha256(array_to_string(regexp_extract_all({out}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), ' '))"
 
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
@@ -94,7 +111,7 @@ n AS (SELECT row, name FROM (SELECT row, {form("line")} AS digest FROM l WHERE r
 a AS (SELECT row, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, count(DISTINCT name) AS n_notices FROM n GROUP BY row),
 e AS (SELECT row, doc_id, {form("text")} AS digest FROM d)
 SELECT doc_id, digest, k.name AS license, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
-FROM e LEFT JOIN a USING (row) LEFT JOIN (VALUES {values(TEXTS)}) AS k(known, name) ON digest = known
+FROM e LEFT JOIN a USING (row) LEFT JOIN (VALUES {values(TEXTS + LONG_TEXTS)}) AS k(known, name) ON digest = known
 """
 
 
