@@ -28,6 +28,8 @@ SHARE, REPEAT = 1.5, 2
 BLOCK_TOKENS, BLOCKS_AT_LEAST, SHARDS = 1024, 256, 16
 #: The 60-bit hash is split into ranges for prefix sums, so many that a source of all documents has about RANGE_ROWS in each.
 RANGE_ROWS = 1 << 7
+#: Rows of one id and size that one task gives their places.
+GROUP_ROWS = 1 << 14
 _HASH_BITS = 60
 
 
@@ -101,6 +103,27 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c))
 
 
+def _started(sized: DataFrame) -> DataFrame:
+    """(source, part, doc_id, size, start): each row with the words before it in its part.
+
+    Rows of one id and size can't be told apart, so they are counted before they are ordered: an id that many rows have,
+    a null one among them, is a row for each of its sizes in the window. Copies get their places afterwards, those of a
+    group beyond GROUP_ROWS in tasks of their own.
+    """
+    groups = sized.groupBy("source", "part", "place", "doc_id", "size").agg(F.count("*").alias("copies"))
+    words = F.col("size") * F.col("copies")
+    inside = W.partitionBy("source", "part").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    groups = groups.withColumn("start", F.sum(words).over(inside) - words)
+
+    def each(rows: DataFrame) -> DataFrame:
+        at = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + GROUP_ROWS, F.col("copies")) - 1))
+        return rows.withColumn("at", at).select("source", "part", "doc_id", "size", (F.col("start") + F.col("at") * F.col("size")).alias("start"))
+
+    few = each(groups.where(F.col("copies") <= GROUP_ROWS).withColumn("first", F.lit(0).cast("long")))
+    many = groups.where(F.col("copies") > GROUP_ROWS).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(GROUP_ROWS).cast("long"))))
+    return few.unionByName(each(many.repartition("source", "place", "doc_id", "size", "first")))
+
+
 def mix(documents: DataFrame, seed: str = "mix", shards: int = SHARDS) -> DataFrame:
     """One row for each row of documents: doc_id, source, size, source_size, target, taken, block, shards.
 
@@ -115,9 +138,7 @@ def mix(documents: DataFrame, seed: str = "mix", shards: int = SHARDS) -> DataFr
     totals = quotas.groupBy("rank").agg(F.first("source").alias("s"), *(F.first(c).alias(c) for c in ("source_size", "target", "block")), ends.alias("ends"))
     offsets = parts.withColumn("part_start", F.sum("part_size").over(W.partitionBy("source").orderBy("part")) - F.col("part_size"))
     plan = offsets.join(totals, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("part").alias("p"), "part_start", "source_size", "target", "block", "ends")
-    inside = W.partitionBy("source", "part").orderBy("place", F.col("doc_id"), "size")
-    rows = sized.withColumn("start", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    rows = _started(sized).join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     rows = rows.withColumn("start", F.col("start") + F.col("part_start")).withColumn("turn", F.ceil(F.col("source_size") / F.col("block")) * F.col("block"))
 
     def words(i: Column) -> Column:
