@@ -10,7 +10,10 @@ type and has nothing carved; equal blobs give equal results; hits inside an acce
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -87,7 +90,7 @@ def _jpeg(b: bytes, at: int) -> int | None:
                     p += 2
                     continue
                 break
-    return None if not scanned else None
+    return None
 
 
 def _bmp(b: bytes, at: int) -> int | None:
@@ -131,21 +134,43 @@ def _gzip(b: bytes, at: int) -> int | None:
     return len(b) - at - len(unpack.unused_data) if unpack.eof else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
+@functools.lru_cache(maxsize=4)
+def _marks(b: bytes, mark: bytes) -> list[int]:
+    """Where a mark stands in a blob, in order; looked for once, whatever the number of starts that ask."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
+@functools.lru_cache(maxsize=1)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """The first consistent end of each start: an end record tells where its archive starts."""
+    found: dict[int, int] = {}
+    for end in _marks(b, b"PK\x05\x06"):
+        if end + 22 > len(b):
+            break
         size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if start + size == end - at and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+        at = end - start - size
+        if 0 <= at <= end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+            found.setdefault(at, end + 22 + note)
+    return found
+
+
+def _zip(b: bytes, at: int) -> int | None:
+    end = _zip_ends(b).get(at)
+    return None if end is None else end - at
+
+
+def _after(b: bytes, mark: bytes, at: int) -> int:
+    """The first place of a mark from `at` on, or -1."""
+    places = _marks(b, mark)
+    i = bisect.bisect_left(places, at)
+    return places[i] if i < len(places) else -1
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b"." or b.find(b"startxref", at) < 0:
+    if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > b.find(b"startxref", at) else None
+    table, end = _after(b, b"startxref", at), _after(b, b"%%EOF", at)
+    return end + 5 - at if 0 <= table < end else None
 
 
 def _flac(b: bytes, at: int) -> int | None:
