@@ -63,7 +63,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _probes(s: np.ndarray, k: int, probe: int, bits: int) -> np.ndarray:
-    return (words.mix(s + np.uint64(k * PROBES + probe) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    step = np.uint64((k * PROBES + probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    return (words.mix(s + step) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _bitmap(shingles: DataFrame) -> tuple[list[int], int, np.ndarray]:
@@ -124,7 +125,7 @@ def _key() -> Column:
 
 
 def _occurrences(scanned: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, first, n, window): where windows occur in the texts of scanned (key, hits, chunks)."""
+    """(key, first, n, window) as a table: where windows occur in the texts of scanned (key, hits, chunks)."""
     some = scanned.where(F.size("hits") > 0).groupBy("key").agg(F.count("*").alias("copies"), F.first("hits").alias("hits"), F.first("chunks").alias("chunks"))
     some = materialise(some, "texts")
     hits = some.select("key", "copies", F.explode("hits").alias("h")).select("key", "copies", "h.*")
@@ -141,7 +142,9 @@ def _occurrences(scanned: DataFrame, windows: DataFrame) -> DataFrame:
     wanted = each.join(rarest.select(F.col("window").alias("w")), F.col("window") == F.col("w"), "left_semi").select(F.col("window").alias("w"), "words")
     near = places.join(chunks, (F.col("key") == F.col("t")) & (F.col("chunk") == F.col("c"))).join(wanted, F.col("window") == F.col("w"))
     inside = F.slice("held", F.col("first") - F.col("chunk") * GRID + 1, F.size("words"))
-    return near.where(inside == F.col("words")).select("key", "first", F.size("words").alias("n"), "window")
+    found = materialise(near.where(inside == F.col("words")).select("key", "first", F.size("words").alias("n"), "window"), "occurrences")
+    discard(some, rarest)
+    return found
 
 
 def _judged(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +153,7 @@ def _judged(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Data
     shingles = windows.select("k", F.explode("shingles").alias("s")).distinct()
     rows = documents.select("doc_id", _key().alias("key"), _scan(documents, *_bitmap(shingles)).alias("f")).select("doc_id", "key", "f.*")
     scanned = materialise(rows, "scanned")
-    found = materialise(_occurrences(scanned, windows), "occurrences")
+    found = _occurrences(scanned, windows)
     # the union of intervals: those in order add what lies beyond the last end
     spans = F.array_sort(F.collect_set(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
