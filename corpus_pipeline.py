@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.llm import decontaminate, mixing, near_duplicates, pii, toxicity
-from mnemolake.llm.common import materialise, table
+from mnemolake.llm.common import discard, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written as Parquet and read again; a stage's table goes when the next one is written."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            discard(written)  # what the next stage has been written from
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
