@@ -4,9 +4,11 @@ Texts are sequences of words; their k-mers are five consecutive words, labelled
 the PICKS labelled k-mers that are smallest under one hash function, in text order, so that equal sketches speak for a
 small edit distance. SKETCHES functions give as many chances; two texts are candidates where AGREE sketches are equal.
 
-The similarity of two texts is m / (x + y - m), x and y their k-mers and m the longest chain of equal labelled k-mers in
-the order of both, found by an alignment inside the band that the threshold allows. Its complement is a metric.
-A link is a similarity of 0.8 or more. Documents of fewer than five words have one k-mer, their whole sequence.
+Candidates are verified by an alignment of their words: with x and y words, of which m are equal in the order of both, the
+similarity is m / (x + y - m), found inside the band that the threshold allows. Its complement is a metric, an edit
+distance of insertions and deletions. A link is a similarity of 0.8 or more (texts of equal length: eight words of nine) of
+texts that have at least COMMON of their k-mers in common; without a common run of five words nothing is a link.
+A text of fewer than five words has one k-mer, its whole sequence, so it is linked to equal ones alone.
 
 How the work is dealt out:
 1. exact copies fall to one row for each text, by digest, combined before the shuffle;
@@ -18,9 +20,10 @@ How the work is dealt out:
    linked a good part, another star round with other leaders goes first;
 4. the texts of a cluster are cut into blocks by length, and pairs of blocks that a link can join are tasks: not those
    whose lengths are too far apart, nor those inside one component. A task counts common k-mers of all its pairs at
-   once, aligns those that can reach the threshold and aren't linked yet, and gives back the links of a spanning forest;
+   once, aligns those that have enough and aren't linked yet, and gives back the links of a spanning forest;
 5. components of the links are the classes.
-No candidate pair is left out: what the star rounds don't settle the blocks do. What travels are k-mers, made once.
+No candidate pair is left out: what the star rounds don't settle the blocks do. What travels are hashes of words, made
+once; a task makes their k-mers anew.
 
 Defined results: a null text is the empty text; texts without words are alike only if equal; rows are copies if their
 texts are equal, whatever their ids; a class is named by its smallest doc_id (null only if all are); an empty table
@@ -40,10 +43,10 @@ from mnemolake.llm import words
 from mnemolake.llm.common import arrow_map, broadcast_if_small, discard, free_name, materialise, whole_text
 from mnemolake.llm.components import components
 
-K, SIMILARITY = 5, 0.8
-SKETCHES, PICKS, AGREE = 32, 4, 2
-#: A block of a cluster holds about so many texts or k-mers; a longer text is a block of its own.
-BLOCK_ROWS, BLOCK_KMERS = 768, 1 << 20
+K, SIMILARITY, COMMON = 5, 0.8, 0.25
+SKETCHES, PICKS, AGREE = 48, 3, 2
+#: A block of a cluster holds about so many texts or words; a longer text is a block of its own.
+BLOCK_ROWS, BLOCK_WORDS = 768, 1 << 20
 #: A star round goes on while it links at least this share of the texts that it has; the blocks do the rest.
 GOOD_ROUND = 0.25
 _CHUNK = 1 << 13
@@ -65,21 +68,21 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return words.mix(s + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
-def kmers(text: str) -> np.ndarray:
-    """The labelled k-mers of a text in order."""
-    return labelled(words.shingles(words.word_hashes(text), K))
+def kmers(h: np.ndarray) -> np.ndarray:
+    """The labelled k-mers of a sequence of hashed words, in order."""
+    return labelled(words.shingles(h, K))
 
 
 def sketches(s: np.ndarray) -> np.ndarray:
     """SKETCHES hashes of PICKS labelled k-mers in text order; none of an empty text.
 
-    Where a text has just one k-mer more than are picked, the one that a near duplicate lacks is nearly always among
-    the picks; such texts and those that may lack it get as many sketches of half the picks besides.
+    Of few k-mers one changed word takes so many that the picks rarely agree: such texts get as many sketches of one k-mer
+    besides. Both texts of a link are as short then, or nearly.
     """
     if not len(s):
         return np.zeros(0, np.int64)
-    short = PICKS <= len(s) <= PICKS + 1
-    return np.concatenate([_sketches_of(s, picks) for picks in ((PICKS, PICKS // 2) if short else (PICKS,))])
+    short = len(s) <= 4 * PICKS
+    return np.concatenate([_sketches_of(s, picks) for picks in ((PICKS, 1) if short else (PICKS,))])
 
 
 def _sketches_of(s: np.ndarray, picks: int) -> np.ndarray:
@@ -105,31 +108,67 @@ def _sketches_of(s: np.ndarray, picks: int) -> np.ndarray:
 
 @arrow_map(pa.list_(pa.int64()))
 def _text_sketches(text: str) -> list[int]:
-    return sketches(kmers(text)).tolist()
+    return sketches(kmers(words.word_hashes(text))).tolist()
 
 
 @arrow_map(pa.binary())
-def _text_kmers(text: str) -> bytes:
-    return kmers(text).tobytes()
+def _text_words(text: str) -> bytes:
+    return words.word_hashes(text).tobytes()
 
 
 def chain(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> int:
-    """The longest common chain of labelled k-mers, both in order, within the band that a similarity of `least` leaves."""
-    common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    """How many words are equal in the order of both texts, inside the band that a similarity of `least` leaves.
+
+    What both begin and end with is taken first. The rest is aligned a word of y at a time, all places of x at once: the
+    bits of an integer are the steps of a row of the alignment's matrix, and a word moves them by one addition.
+    """
     # a whole number may come out just below itself; a band that is a little wide loses nothing
-    band = (len(x) + len(y)) * (1 - least) / (1 + least) + 1e-6
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    tails: list[int] = []
-    for q in j[np.argsort(i)].tolist():
-        at = bisect_left(tails, q)
-        tails[at : at + 1] = [q]
-    return len(tails)
+    band = int((len(x) + len(y)) * (1 - least) / (1 + least) + 1e-6)
+    if abs(len(x) - len(y)) > band:
+        return 0
+    short = min(len(x), len(y))
+    head = _equal_run(x[:short], y[:short])
+    tail = min(_equal_run(x[::-1][:short], y[::-1][:short]), short - head)
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    if not len(x) or not len(y):
+        return head + tail
+    both = np.intersect1d(x, y)
+    at = np.flatnonzero(np.isin(x, both))
+    places: dict[int, int] = {}
+    for i, w in zip(at.tolist(), x[at].tolist(), strict=True):
+        places[w] = places.get(w, 0) | 1 << i
+    whole, width = (1 << len(x)) - 1, (1 << 2 * band + 1) - 1
+    steps = whole
+    at = np.flatnonzero(np.isin(y, both))
+    for j, w in zip(at.tolist(), y[at].tolist(), strict=True):
+        found = places[w] & (width << j - band if j >= band else width >> band - j)
+        up = steps & found
+        steps = ((steps + up) | (steps - up)) & whole
+    return head + tail + len(x) - steps.bit_count()
+
+
+def _equal_run(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words two sequences of one length have in common at their beginning."""
+    other = np.flatnonzero(x != y)
+    return int(other[0]) if len(other) else len(x)
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sequences of hashed words; below the threshold it may come out smaller than it is."""
+    total = len(x) + len(y)
+    if not total:
+        return 0.0
+    # no order has more equal words than there are without order
+    if len(np.intersect1d(labelled(x), labelled(y), assume_unique=True)) < SIMILARITY / (1 + SIMILARITY) * total - 1e-6:
+        return 0.0
     m = chain(x, y)
-    return m / (len(x) + len(y) - m) if len(x) or len(y) else 0.0
+    return m / (total - m)
+
+
+def linked(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Of two texts as (hashed words, labelled k-mers)."""
+    common = len(np.intersect1d(x[1], y[1], assume_unique=True))
+    return common > 0 and common >= COMMON * (len(x[1]) + len(y[1]) - common) and similarity(x[0], y[0]) >= SIMILARITY
 
 
 def _common(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
@@ -162,14 +201,14 @@ def _common(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
 def block_links(left: list[tuple], right: list[tuple] | None) -> list[tuple[bytes, bytes]]:
     """Links of a spanning forest of the pairs between two blocks, or within one (right is None).
 
-    A text is (key, component, labelled k-mers); texts of one component need no link.
+    A text is (key, component, (hashed words, labelled k-mers)); texts of one component need no link.
     """
-    rows, cols = ([x for _, _, x in side] for side in (left, left if right is None else right))
+    rows, cols = ([x[1] for _, _, x in side] for side in (left, left if right is None else right))
     texts = left + (right or [])
     shift = len(left) if right is not None else 0
     common = _common(rows, cols)
     n, m = np.array([len(x) for x in rows], np.float32)[:, None], np.array([len(x) for x in cols], np.float32)[None, :]
-    able = (common > 0) & (common >= np.float32(SIMILARITY / (1 + SIMILARITY)) * (n + m) - 0.01)
+    able = (common > 0) & (common >= np.float32(COMMON / (1 + COMMON)) * (n + m) - 0.01)
     if right is None:
         able = np.triu(able, 1)
     i, j = np.nonzero(able)
@@ -186,7 +225,7 @@ def block_links(left: list[tuple], right: list[tuple] | None) -> list[tuple[byte
     # the most alike first: they link most, and what is linked needs no alignment
     for q in np.argsort(-(common[i, j] / (n[i, 0] + m[0, j])), kind="stable").tolist():
         a, b = int(i[q]), int(j[q]) + shift
-        if root(a) != root(b) and similarity(texts[a][2], texts[b][2]) >= SIMILARITY:
+        if root(a) != root(b) and linked(texts[a][2], texts[b][2]):
             parent[root(a)] = root(b)
             links.append((texts[a][0], texts[b][0]))
     return links
@@ -196,31 +235,32 @@ _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _texts(table: pa.Table) -> list[tuple]:
-    """(key, component, labelled k-mers, whether on the other side) of each row, by key; views of the table's bytes."""
-    columns = (table.column(c).to_pylist() for c in ("key", "of", "kmers", "side"))
-    return sorted(((k, of, np.frombuffer(x, np.uint64), side) for k, of, x, side in zip(*columns, strict=True)), key=lambda x: x[0])
+    """(key, component, (hashed words, labelled k-mers), whether on the other side) of each row, by key."""
+    columns = (table.column(c).to_pylist() for c in ("key", "of", "words", "side"))
+    shape = lambda x: (h := np.frombuffer(x, np.uint64), kmers(h))
+    return sorted(((k, of, shape(x), side) for k, of, x, side in zip(*columns, strict=True)), key=lambda x: x[0])
 
 
-def _linked(links: list[tuple[bytes, bytes]]) -> pa.Table:
+def _table(links: list[tuple[bytes, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], schema=_LINKS)
 
 
 def _block_task(table: pa.Table) -> pa.Table:
     texts = _texts(table)
     left, right = ([x[:3] for x in texts if x[3] == side] for side in (False, True))
-    return _linked(block_links(left, None if table.column("same")[0].as_py() else right))
+    return _table(block_links(left, None if table.column("same")[0].as_py() else right))
 
 
 def _star_task(table: pa.Table) -> pa.Table:
     """Links of the leader (side is true) with the others; a part of a star always has its leader."""
     texts = _texts(table)
     lead, _, shape, _ = next(x for x in texts if x[3])
-    return _linked([(lead, k) for k, _, x, side in texts if not side and similarity(shape, x) >= SIMILARITY])
+    return _table([(lead, k) for k, _, x, side in texts if not side and linked(shape, x)])
 
 
-def _parts(rows: Column, n_kmers: Column) -> Column:
-    """Into how many parts of bounded rows and k-mers a group is cut."""
-    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n_kmers / BLOCK_KMERS), F.lit(1)).cast("int")
+def _parts(rows: Column, n_words: Column) -> Column:
+    """Into how many parts of bounded rows and words a group is cut."""
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n_words / BLOCK_WORDS), F.lit(1)).cast("int")
 
 
 def _led(held: DataFrame, turn: int) -> DataFrame:
@@ -235,14 +275,14 @@ def _star_links(led: DataFrame, shapes: DataFrame) -> DataFrame:
     """Links of texts with the one leader that most of their sketches have, at least AGREE, and that isn't in their component."""
     votes = led.where(F.col("of") != F.col("low_of")).groupBy("key", "low").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
     star = materialise(votes.groupBy("key").agg(F.max(F.struct("n", "low"))["low"].alias("low")), "star")
-    sizes = star.join(shapes.select("key", "n_kmers"), "key").groupBy("low").agg(_parts(F.count("*"), F.sum("n_kmers")).alias("parts"))
+    sizes = star.join(shapes.select("key", "n_words"), "key").groupBy("low").agg(_parts(F.count("*"), F.sum("n_words")).alias("parts"))
     sizes = materialise(sizes, "sizes")
     # most stars are one part; the others are few, so that their texts needn't meet in a task
     large = sizes.where("parts > 1").select(F.col("low").alias("l"), "parts")
     split = F.pmod(F.xxhash64(F.lit("part"), "key"), F.coalesce("parts", F.lit(1))).cast("int")
     others = star.join(broadcast_if_small(large), F.col("low") == F.col("l"), "left").select("key", "low", split.alias("part"), F.lit(False).alias("side"))
     leads = sizes.select(F.col("low").alias("key"), "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("side"))
-    dealt = others.unionByName(leads).join(shapes.select("key", "kmers"), "key").withColumn("of", F.col("key"))
+    dealt = others.unionByName(leads).join(shapes.select("key", "words"), "key").withColumn("of", F.col("key"))
     found = materialise(dealt.groupBy("low", "part").applyInArrow(_star_task, "a binary, b binary"), "links")
     discard(star, sizes)
     return found
@@ -277,16 +317,16 @@ def _clusters(led: DataFrame) -> DataFrame:
 
 
 def _block_links(members: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Links between texts of different components (of) in each cluster of members (cluster, key, of, n_kmers)."""
+    """Links between texts of different components (of) in each cluster of members (cluster, key, of, n_words)."""
     # lengths of two linked texts are at most a factor of 1 / SIMILARITY apart, so their steps are equal or neighbours
-    step = F.floor(F.log(F.col("n_kmers")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
+    step = F.floor(F.log(F.col("n_words")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
     members = members.withColumn("step", step)
     # a component larger than a block has blocks of its own, which are never compared with each other
     own = members.groupBy("cluster", "step", F.col("of").alias("big")).agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK_ROWS).drop("rows")
     own = materialise(own.withColumnRenamed("cluster", "c").withColumnRenamed("step", "s"), "large")
     members = members.join(broadcast_if_small(own), (F.col("cluster") == F.col("c")) & (F.col("step") == F.col("s")) & (F.col("of") == F.col("big")), "left").drop("c", "s")
     members = members.withColumn("big", F.coalesce("big", F.lit(b"")))
-    sizes = members.groupBy("cluster", "step", "big").agg(_parts(F.count("*"), F.sum("n_kmers")).alias("parts"))
+    sizes = members.groupBy("cluster", "step", "big").agg(_parts(F.count("*"), F.sum("n_words")).alias("parts"))
     sizes = materialise(sizes, "sizes")
     large = sizes.where("parts > 1").select(F.col("cluster").alias("c"), F.col("step").alias("s"), F.col("big").alias("l"), "parts")
     placed = members.join(broadcast_if_small(large), (F.col("cluster") == F.col("c")) & (F.col("step") == F.col("s")) & (F.col("big") == F.col("l")), "left")
@@ -297,7 +337,7 @@ def _block_links(members: DataFrame, shapes: DataFrame) -> DataFrame:
     apart = (F.col("j.step") - F.col("i.step") > 1) | ((F.col("i.big") == F.col("j.big")) & (F.col("i.big") != F.lit(b"")))
     tasks = materialise(one.join(two, (F.col("c") == F.col("d")) & (F.col("i") <= F.col("j"))).where(~apart).select("c", "i", "j"), "tasks")
     sides = [placed.join(tasks, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col(at))).select("key", "of", "c", "i", "j", F.lit(at == "j").alias("side")) for at in "ij"]
-    dealt = sides[0].unionByName(sides[1].where("i != j")).join(shapes.select("key", "kmers"), "key").withColumn("same", F.col("i") == F.col("j"))
+    dealt = sides[0].unionByName(sides[1].where("i != j")).join(shapes.select("key", "words"), "key").withColumn("same", F.col("i") == F.col("j"))
     found = materialise(dealt.groupBy("c", "i", "j").applyInArrow(_block_task, "a binary, b binary"), "links")
     discard(own, sizes, placed, tasks)
     return found
@@ -312,8 +352,8 @@ def links(rows: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = materialise(sketched.select(F.col("key").alias("k"), F.col("doc_id").alias("of")).join(shared.select(F.col("key").alias("k")), "k"), "wanted")
     shapes = rows.join(broadcast_if_small(wanted), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("of")))
     # of rows that repeat with their id any one does
-    shapes = shapes.select("key", _text_kmers(F.col("text")).alias("kmers")).groupBy("key").agg(F.first("kmers").alias("kmers"))
-    shapes = materialise(shapes.withColumn("n_kmers", F.length("kmers") / 8), "shapes")
+    shapes = shapes.select("key", _text_words(F.col("text")).alias("words")).groupBy("key").agg(F.first("words").alias("words"))
+    shapes = materialise(shapes.withColumn("n_words", F.length("words") / 8), "shapes")
     discard(wanted)
     held = shared.select("key", F.col("key").alias("of"), F.explode("s").alias("sketch"))
     every, named, turn = [], None, 0
@@ -329,8 +369,8 @@ def links(rows: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held.isEmpty():
             break
         clusters = _clusters(_led(held, turn))
-        members = clusters.join(held.select("key", "of").distinct(), F.col("node") == F.col("key")).join(shapes.select("key", "n_kmers"), "key")
-        members = materialise(members.select(F.col("component").alias("cluster"), "key", "of", "n_kmers"), "members")
+        members = clusters.join(held.select("key", "of").distinct(), F.col("node") == F.col("key")).join(shapes.select("key", "n_words"), "key")
+        members = materialise(members.select(F.col("component").alias("cluster"), "key", "of", "n_words"), "members")
         largest = members.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if largest <= BLOCK_ROWS or linked < GOOD_ROUND * texts:
             found = _block_links(members, shapes)

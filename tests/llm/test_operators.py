@@ -17,7 +17,7 @@ pytest.importorskip("mnemolake.llm")
 
 from mnemolake.llm import chat, common, components, decontaminate, html, licenses, media, mixing, near_duplicates, pii, quality, toxicity, training, words  # noqa: E402
 from mnemolake.llm.license_texts import TEXTS  # noqa: E402
-from tests.oracle import DATA  # noqa: E402
+from tests.oracle import DATA, connect  # noqa: E402
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -384,13 +384,21 @@ def plain_kmers(text):
     return out
 
 
+def whole_chain(x, y):
+    """How many of two lists are equal in the order of both, row by row of the whole matrix."""
+    number = {w: i for i, w in enumerate(dict.fromkeys([*x, *y]))}
+    a, b = [number[w] for w in x], np.array([number[w] for w in y], dtype=np.int64)
+    row = np.zeros(len(b) + 1, np.int64)
+    for w in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == w, row[:-1] + 1, 0)))
+    return int(row[-1])
+
+
 def plain_similarity(x, y):
-    """Of two plain_kmers; the longest common chain without a band, by its smallest ends."""
-    at, ends = {k: i for i, k in enumerate(y)}, []
-    for p in (at[k] for k in x if k in at):
-        where = next((i for i, e in enumerate(ends) if e >= p), len(ends)) if not ends or p <= ends[-1] else len(ends)
-        ends[where : where + 1] = [p]
-    return len(ends) / (len(x) + len(y) - len(ends)) if x or y else 0.0
+    """Of two texts, by their words."""
+    x, y = plain_words(x), plain_words(y)
+    m = whole_chain(x, y)
+    return m / (len(x) + len(y) - m) if x or y else 0.0
 
 
 def brute_links(texts):
@@ -403,8 +411,7 @@ def brute_links(texts):
                 common[j] = common.get(j, 0) + 1
             holders[k].append(i)
         for j, n in common.items():
-            total = len(shape) + len(shapes[j])
-            if n / (total - n) >= 0.8 and plain_similarity(shape, shapes[j]) >= 0.8:
+            if n / (len(shape) + len(shapes[j]) - n) >= 0.25 and plain_similarity(texts[i], texts[j]) >= 0.8:
                 links.append((j, i))
     return links
 
@@ -438,7 +445,7 @@ def edited(rng, base, n):
 def test_classes_equal_brute_force(docs, monkeypatch, block):
     monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", block)
     rng = np.random.default_rng(4)
-    rows = [(1, None), (2, ""), (3, "!!!"), (4, "one two"), (5, "One, two"), (None, "lonely null id"), (6, LONG), (7, LONG + " end"), (8, "x"), (8, "x")]
+    rows = [(1, None), (2, ""), (3, "!!!"), (4, "one two"), (5, "One, two"), (None, "lonely null id"), (6, LONG[:60_000]), (7, LONG[:60_000] + " end"), (8, "x"), (8, "x")]
     for g in range(4):
         base = [f"g{g}w{i}" for i in range(150)]
         rows += [(100 * (g + 1) + n, edited(rng, base, int(rng.integers(0, 6)))) for n in range(18)]
@@ -458,26 +465,58 @@ def test_classes_equal_brute_force(docs, monkeypatch, block):
 
 
 def _shapes(texts):
-    return [near_duplicates.kmers(t) for t in texts]
+    return [words.word_hashes(t) for t in texts]
+
+
+def _sketches(text):
+    return set(near_duplicates.sketches(near_duplicates.kmers(words.word_hashes(text))).tolist())
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
-def test_similarity_equals_independent_labels(x, y):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40), st.data())
+def test_similarity_equals_the_whole_alignment(x, y, data):
+    if data.draw(st.booleans()):  # else few pairs are near
+        y = list(x)
+        for _ in range(data.draw(st.integers(0, 4))):
+            at = data.draw(st.integers(0, len(y)))
+            y[at : at + data.draw(st.integers(0, 1))] = data.draw(st.lists(st.sampled_from("abcde"), max_size=1))
     x, y = " ".join(x), " ".join(y)
     one, two = _shapes([x, y])
-    assert len(set(one.tolist()) & set(two.tolist())) == len(set(plain_kmers(x)) & set(plain_kmers(y)))
-    want = plain_similarity(plain_kmers(x), plain_kmers(y))
-    got = near_duplicates.similarity(one, two)
+    assert len(set(near_duplicates.kmers(one).tolist()) & set(near_duplicates.kmers(two).tolist())) == len(set(plain_kmers(x)) & set(plain_kmers(y)))
+    want, got = plain_similarity(x, y), near_duplicates.similarity(one, two)
     assert got == want if want >= 0.8 else got <= want
 
 
 def test_a_text_that_repeats_words_meets_one_that_does_not():
     plain = " ".join(f"w{i}" for i in range(200))
     again = plain + " " + " ".join(f"w{i}" for i in range(5))
-    x, y = _shapes([plain, again])
-    assert near_duplicates.similarity(x, y) == plain_similarity(plain_kmers(plain), plain_kmers(again)) > 0.97
-    assert len(set(near_duplicates.sketches(x).tolist()) & set(near_duplicates.sketches(y).tolist())) > 20
+    assert near_duplicates.similarity(*_shapes([plain, again])) == plain_similarity(plain, again) > 0.97
+    assert len(_sketches(plain) & _sketches(again)) > 30
+
+
+@pytest.mark.parametrize("rate,least", [(0.01, 1.0), (0.02, 1.0), (0.04, 0.99), (0.06, 0.95), (0.08, 0.9)])
+def test_recall_by_rate_of_changed_words(docs, rate, least):
+    """Pairs of texts, one with changed, dropped and new words; those that are links by the whole alignment have to be in one class."""
+    rng, rows, near = np.random.default_rng(int(rate * 1000)), [], []
+    for n in range(200):
+        base = [f"p{n}w{i}" for i in range(int(rng.integers(40, 400)))]
+        other = []
+        for w in base:
+            kind = rng.random() / rate
+            other += [w] if kind > 1 else [[f"c{rng.integers(1 << 40)}"], [], [w, f"n{rng.integers(1 << 40)}"]][int(kind * 3) % 3]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(other))]
+        near += [2 * n] if plain_similarity(rows[-2][1], rows[-1][1]) >= 0.8 else []
+    classes = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs(rows)).collect()}
+    assert len(near) > 150 and sum(classes[i + 1] == i for i in near) >= least * len(near)
+    assert all(c // 2 == i // 2 for i, c in classes.items())
+
+
+def test_near_copies_of_the_test_documents_are_found(docs):
+    texts = sorted({t for (t,) in connect().execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()})
+    links = brute_links(texts)
+    classes = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs(list(enumerate(texts)))).collect()}
+    found = sum(classes[i] == classes[j] for i, j in links)
+    assert len(links) > 50 and found >= 0.95 * len(links)
 
 
 @pytest.mark.parametrize("block", [near_duplicates.BLOCK_ROWS, 16])
@@ -498,9 +537,9 @@ def test_no_link_is_lost_in_families(docs, monkeypatch, block):
 def test_short_texts_that_lack_one_word_are_candidates():
     for i in range(400):
         long = [f"t{i}w{n}" for n in range(9)]
-        x, y, z = (near_duplicates.sketches(s).tolist() for s in _shapes([" ".join(long), " ".join(long[:8]), " ".join(long[1:])]))
+        x, y, z = (_sketches(t) for t in (" ".join(long), " ".join(long[:8]), " ".join(long[1:])))
         for other in (y, z):
-            assert len(set(x) & set(other)) >= near_duplicates.AGREE
+            assert len(x & other) >= near_duplicates.AGREE
 
 
 @pytest.mark.parametrize("length,edits", [(60, 1), (300, 6)])
@@ -513,7 +552,7 @@ def test_links_along_a_drifting_chain_stay_in_one_cluster(length, edits):
         for at in rng.integers(0, length, edits):
             text[at] = f"n{n}x{at}"
     shapes = _shapes(texts)
-    sketched = [set(near_duplicates.sketches(s).tolist()) for s in shapes]
+    sketched = [_sketches(t) for t in texts]
     keys = [hashlib.sha256(t.encode()).digest() for t in texts]
     least = {}
     for i, own in enumerate(sketched):
@@ -532,7 +571,8 @@ def test_links_along_a_drifting_chain_stay_in_one_cluster(length, edits):
             if met.count(low) >= near_duplicates.AGREE:
                 parent[root(i)] = root(low)
     pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, min(i + 6, len(texts)))]
-    linked = [(i, j) for i, j in pairs if near_duplicates.similarity(shapes[i], shapes[j]) >= near_duplicates.SIMILARITY]
+    shapes = [(h, near_duplicates.kmers(h)) for h in shapes]
+    linked = [(i, j) for i, j in pairs if near_duplicates.linked(shapes[i], shapes[j])]
     assert len(linked) >= 200 and all(root(i) == root(j) for i, j in linked)
 
 
@@ -550,30 +590,20 @@ def _mixed_sections(n, copies, sections=14, variants=3, size=30):
 def test_texts_of_shared_sections_meet_though_no_smallest_text_catches_them_twice(docs):
     n, copies = 3000, 150
     texts = _mixed_sections(n, copies)
-    near = [(c, n + c) for c in range(copies) if plain_similarity(plain_kmers(texts[c]), plain_kmers(texts[n + c])) >= 0.8]
-    agreeing = [(a, b) for a, b in near if len(set.intersection(*(set(near_duplicates.sketches(s).tolist()) for s in _shapes([texts[a], texts[b]])))) >= near_duplicates.AGREE]
+    near = [(c, n + c) for c in range(copies) if plain_similarity(texts[c], texts[n + c]) >= 0.8]
+    agreeing = [(a, b) for a, b in near if len(_sketches(texts[a]) & _sketches(texts[b])) >= near_duplicates.AGREE]
     assert len(agreeing) > 100
     classes = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs(list(enumerate(texts)))).collect()}
     assert [p for p in agreeing if classes[p[0]] != classes[p[1]]] == []
 
 
-def _whole_chain(x, y):
-    """The longest common chain without a band."""
-    row = [0] * (len(y) + 1)
-    for a in x:
-        before = row[:]
-        for j, b in enumerate(y):
-            row[j + 1] = before[j] + 1 if a == b else max(before[j + 1], row[j])
-    return row[-1]
-
-
 @pytest.mark.parametrize("k", [1, 2, 3, 5, 20])
 def test_a_text_without_its_first_words_is_as_near_as_the_whole_chain_says(k):
-    text = [f"k{k}w{i}" for i in range(5 * k + 4)]
+    text = [f"k{k}w{i}" for i in range(5 * k)]
     x, y, z = _shapes([" ".join(text), " ".join(text[k:]), " ".join(text[:-k])])
-    assert near_duplicates.chain(x, y) == _whole_chain(x, y) == near_duplicates.chain(x, z) == 4 * k and near_duplicates.similarity(x, y) == 0.8
-    got = near_duplicates.block_links([(b"a", b"a", x)], [(b"b", b"b", y)])
-    assert got == [(b"a", b"b")]
+    assert near_duplicates.chain(x, y) == whole_chain(x.tolist(), y.tolist()) == near_duplicates.chain(x, z) == 4 * k and near_duplicates.similarity(x, y) == 0.8
+    got = near_duplicates.block_links([(b"a", b"a", (x, near_duplicates.kmers(x)))], [(b"b", b"b", (y, near_duplicates.kmers(y)))])
+    assert got == ([(b"a", b"b")] if k > 1 else [])  # five words and four have no run of five in common
 
 
 def test_components_of_a_chain(spark):

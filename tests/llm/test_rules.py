@@ -13,7 +13,6 @@ pytest.importorskip("mnemolake.llm")
 
 from mnemolake.llm import decontaminate, licenses, media, mixing, oracles  # noqa: E402
 from mnemolake.llm.license_texts import LONG_TEXTS, TEXTS  # noqa: E402
-from mnemolake.work import shared_dir  # noqa: E402
 
 PIECES = ["copyright (c) 2020 a", "Copyright: 2020", "© x", "(c) 1999 b", "all rights reserved.", "licence", "élicence", "Licencé", "sub-licence", "sublicencing", "whilst", "whilst whilst", "awhilst", "favour", "https://x", "non-commercial", "_licence", "9licence", "word", "É", "organisation", "recognised", "acknowledgements", "copyright owner", "Licensed under the MIT License"]
 ENDS = ["\n", "\r", "\r\n", "\u0085", " ", " ", "", "é", ".", "\t", "-"]
@@ -65,20 +64,13 @@ def test_hostile_blobs_take_linear_time():
     assert [(k, blob[a : a + n]) for k, a, n in media.sniff(blob)[0]] == [("application/zip", held.getvalue()), ("application/pdf", pdf), ("application/zip", held.getvalue())]
 
 
-def test_decontamination_leaves_what_its_result_reads(spark, docs, tmp_path, recwarn):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        item = " ".join(f"w{i}" for i in range(20))
-        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-        found = decontaminate.contamination(docs([(1, f"a {item} b"), (2, "nothing")]), bench)
-        assert shared_dir(spark).endswith(str(tmp_path)) and [r.n_hit for r in found.orderBy("doc_id").collect()] == [20, 0]
-        assert sorted(re.sub("-[0-9a-f]{32}$", "", p.name) for p in tmp_path.iterdir()) == ["scanned", "verdicts"]
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
-        else:
-            spark.conf.unset("spark.checkpoint.dir")
+def test_decontamination_leaves_what_its_result_reads(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr("mnemolake.work.shared_dir", lambda _: f"file://{tmp_path}")
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.contamination(docs([(1, f"a {item} b"), (2, "nothing")]), bench)
+    assert [r.n_hit for r in found.orderBy("doc_id").collect()] == [20, 0]
+    assert sorted(re.sub("-[0-9a-f]{32}$", "", p.name) for p in tmp_path.iterdir()) == ["scanned", "verdicts"]
 
 
 def test_probes_wrap_without_a_warning(recwarn):
