@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions, by application: a running session's spark.checkpoint.dir can't be set.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. A temporary one stands in for it only where driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
+        path = _LOCAL[context.applicationId]
     return path.rstrip("/")
 
 
