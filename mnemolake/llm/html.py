@@ -2,12 +2,13 @@
 
 The standard library's parser cuts a page into lines, one for each block element; what lies inside elements that are
 never main text (menus, forms, buttons, scripts ...) isn't read at all. Each line has a ratio: characters outside links
-for each of its tags. The ratios are smoothed with a Gaussian and split at their standard deviation; the lines above are
-seeds. Seed text, that is what the ratios say, then decides three things:
+for each of its tags. The ratios are smoothed with a Gaussian and split at their standard deviation into two clusters; the lines
+above are seeds. Seed text, that is what the ratios say, then decides three things:
 * whether an element that is named after what surrounds an article (class, id or role) is that or a wrapper of the text;
 * which article or main element is the page's, if one holds a good part of the seed text;
 * else which is the smallest container that holds nearly all of it.
-All lines of the region are given, but for what surrounding elements hold.
+Of an article or main element all lines are given, but for what surrounding elements hold. Of a container, lines of
+links in a row are a menu, and go, where MENU_LINES of them or more are in the lower cluster.
 
 Defined results: null, empty and text-free pages give the empty text; broken markup is read as far as it goes; equal
 pages give equal rows. Time is linear in the page, also where elements are never closed.
@@ -32,17 +33,17 @@ VOID = frozenset("area base br col embed hr img input keygen link meta param sou
 #: Elements that are never main text.
 DROPPED = frozenset("aside audio button canvas datalist dialog footer form frameset head iframe label map menu nav noframes noscript object option script select style svg template textarea title video".split())
 #: A class, id or role that starts with one of these words names what surrounds an article.
-SURROUND = frozenset("ad ads adsense adslot advert adverts breadcrumb breadcrumbs commentlist disqus footnav gdpr masthead navbar sidebar sidenav sponsored tagcloud".split())
+SURROUND = frozenset("ads adsbygoogle adsense adslot advert adverts breadcrumb breadcrumbs commentlist disqus footnav gdpr masthead navbar outbrain sidebar sidenav sponsored taboola tagcloud".split())
 #: So does one of these words among nothing but words of place and form, as in "comments", "post-comments" or "cookie-notice".
 AROUND = SURROUND | frozenset(
-    "advertisement advertisements advertising banner comment comments complementary consent contentinfo cookie cookies copyright disclaimer dialog feedback footer login menu menubar modal nav navigation newsletter notice notices"
+    "ad advertisement advertisements advertising alert alertdialog banner comment comments complementary consent contentinfo cookie cookies copyright disclaimer dialog feedback footer login menu menubar modal nav navigation newsletter notice notices"
     " notification notifications overlay pager pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond rss search share sharing shares signup skip social sponsor sponsors subscribe subscription"
     " teaser teasers toolbar topbar tracking widget widgets".split()
 )
 #: Words of place and form.
 PLACES = frozenset(
-    "a all also and area article articles bar block body bottom box btn button buttons by center column container content entry fixed follow for form full global group has header holder home icons in inner item items large layout left links link list"
-    " local main more new no of on page panel post posts primary read region right row secondary section site small stories sticky story text the this thread title to top us wide wrap wrapper you your zone".split()
+    "a all also and area article articles bar block body bottom box btn button buttons by center column container content entry fixed follow for form full global google group has header holder home icons in inner item items large layout left links link list"
+    " local main message more new no of on page panel post posts primary read region right row secondary section site slot small stories sticky story text the this thread title to top unit us wide wrap wrapper you your zone".split()
 )
 #: A new one closes open ones of the first list, up to the nearest other block.
 _CLOSES = {"li": "p li", "dt": "p dt dd", "dd": "p dt dd", "tr": "p tr td th", "td": "p td th", "th": "p td th"}
@@ -54,6 +55,10 @@ _TOKEN = re.compile(r"[a-z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: The share of seed text that an article or main element has to hold, and that a container has to.
 ELEMENT_SHARE, CONTAINER_SHARE = 0.25, 0.8
+#: So many lines of links in a row are a menu; a line is one of links if at most this share of it is outside them.
+MENU_LINES, OUTSIDE_SHARE = 3, 0.1
+#: Attributes that mark an advert.
+ADVERT_DATA = ("data-ad", "data-ad-slot", "data-ad-client", "data-ad-unit", "data-google-query-id")
 
 
 class _Node:
@@ -149,6 +154,8 @@ class _Reader(HTMLParser):
             return None
         found = None
         for name, value in attrs:
+            if name in ADVERT_DATA:
+                return True
             if name in ("class", "id", "role") and value:
                 for one in value.lower().split():
                     tokens = _TOKEN.findall(one)
@@ -219,8 +226,22 @@ def _judge(nodes: list[_Node], total: int) -> None:
         node.out = node.up.out or named
 
 
-def _region(nodes: list[_Node], lines: list[_Line], seeds: list[_Line]) -> list[_Line]:
-    """The lines of the selected region, of lines that are in none that surrounds."""
+def _without_menus(lines: list[_Line], low: set[_Line]) -> list[_Line]:
+    """Lines without runs of links that have MENU_LINES in the lower cluster; all of them where nothing but links is left."""
+    out, run = [], []
+    for line in [*lines, None]:
+        if line is not None and line.weight <= OUTSIDE_SHARE * len(line.text):
+            run.append(line)
+            continue
+        out += run if len(low.intersection(run)) < MENU_LINES else []
+        run = []
+        if line is not None:
+            out.append(line)
+    return out if any(x.weight > OUTSIDE_SHARE * len(x.text) for x in out) else lines
+
+
+def _region(nodes: list[_Node], lines: list[_Line], seeds: list[_Line], low: set[_Line]) -> list[_Line]:
+    """The lines of the selected region, of lines that are in none that surrounds. low: those of the lower cluster."""
     total = _weigh(nodes, seeds)
     for element in ("article", "main"):
         held = {line.node.within[element]: None for line in lines if element in line.node.within}
@@ -239,7 +260,7 @@ def _region(nodes: list[_Node], lines: list[_Line], seeds: list[_Line]) -> list[
     for node in nodes:
         if node.up in inside:
             inside.add(node)
-    return [x for x in lines if x.node in inside]
+    return _without_menus([x for x in lines if x.node in inside], low)
 
 
 def main_text(page: str) -> str:
@@ -251,11 +272,12 @@ def main_text(page: str) -> str:
     if not lines:
         return ""
     ratios = _ratios(lines)
-    above = [x for x, up in zip(lines, ratios >= ratios.std(), strict=True) if up]
+    upper = ratios >= ratios.std()
+    above = [x for x, up in zip(lines, upper, strict=True) if up]
     _judge(nodes, _weigh(nodes, above))
     live = [x for x in lines if not x.node.out]
     seeds = [x for x in above if not x.node.out] or live
-    return "\n".join(x.text for x in _region(nodes, live, seeds))
+    return "\n".join(x.text for x in _region(nodes, live, seeds, {x for x, up in zip(lines, upper, strict=True) if not up}))
 
 
 @arrow_map(pa.string())

@@ -228,6 +228,36 @@ def test_what_surrounds_goes_and_nothing_else(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("named", ["class='adsbygoogle'", "id='google_ads_1'", "data-ad", "data-ad-slot='3'", "class='outbrain'", "role='alert'", "class='sponsor-message'", "class=ad", "class='ad-slot'"])
+def test_adverts_and_notices_in_an_article_go(named):
+    assert html.main_text(f"<article>{_STORY}<div {named}>Buy now</div></article>") == _TOLD
+
+
+def test_a_paragraph_that_is_no_advert_stays():
+    assert html.main_text(f"<article>{_STORY}<p class='ad-free-note'>This page is free.</p></article>") == _TOLD + "\nThis page is free."
+
+
+def _flattened(page):
+    return re.sub(r"</?(article|nav)[^>]*>", "", page)
+
+
+def test_ratios_select_lines_of_pages_without_article_and_nav(spark, monkeypatch):
+    """The pages of the test data without those tags: the article without the menu; ratios that say nothing keep the menu."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert len(pages) == 250
+    told = [html.main_text(p) for p in pages]
+    assert [html.main_text(_flattened(p)) for p in pages] == told
+    monkeypatch.setattr(html, "_ratios", lambda lines: np.zeros(len(lines)))
+    assert sum(html.main_text(_flattened(p)) != t for p, t in zip(pages, told, strict=True)) == 250
+
+
+def test_links_in_a_row_stay_where_there_is_nothing_else():
+    links = "".join(f"<li><a href=x>Link {i}</a>" for i in range(6))
+    assert html.main_text(f"<body><ul>{links}</ul>").count("Link") == 6
+    assert html.main_text(f"<body><ul>{links}</ul><div>{_STORY}<p><a href=x>One</a><p><a href=x>Two</a></div>") == _TOLD + "\nOne\nTwo"
+    assert html.main_text(f"<body><article>{_STORY}<ul>{links}</ul></article>").count("Link") == 6
+
+
 _TAGGED = "".join(f"<li><b><i>w{i}</i></b></li>" for i in range(100, 520))
 
 
