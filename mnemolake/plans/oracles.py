@@ -146,6 +146,7 @@ ORACLE_SQL: dict[str, str] = {
     "hash_embedding_buckets": f"""WITH {_M}, g AS (SELECT id, md5(substr(lower(coalesce(fact_text, '')), i, 3)) AS h FROM (SELECT id, fact_text, unnest(range(1, greatest(1, length(coalesce(fact_text, '')) - 2) + 1)) AS i FROM m))
         SELECT id, CAST(('0x' || substr(h, 31, 2))::INTEGER % 64 AS INTEGER) AS bucket, CAST(sum(1 - 2 * (('0x' || substr(h, 16, 1))::INTEGER % 2)) AS BIGINT) AS signed FROM g GROUP BY 1, 2 HAVING sum(1 - 2 * (('0x' || substr(h, 16, 1))::INTEGER % 2)) <> 0""",
     "cosine_topk": f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}), 6) AS cosine FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}) DESC, vec_id LIMIT 10",
+    "cosine_lists": f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}), 6) AS cosine FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}) DESC, vec_id LIMIT 10",
     "bm25_prefix": f"WITH {_M}, {_BM} SELECT id, round(bm25, 6) AS bm25 FROM bm",
     "bm25_norm": f"WITH {_M}, {_BM} SELECT id, round(CASE WHEN min(bm25) OVER () = max(bm25) OVER () THEN 1.0 ELSE 1 - (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END, 6) AS text_score FROM bm",
     "hybrid_search": f"WITH {_M}, {_BM}, {_HY} SELECT id, identifier, rank, round(score, 6) AS score FROM r",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions.embed import decode_vector, embedding, embedding_buckets, encode_vector
 from mnemolake.functions.exprs import agent_truncate, content_hash, file_hash, resolve_uri, stored_vector_ok, ttl_live
 from mnemolake.operators import dedup, events, hydrate, hygiene, lifecycle, lists, search
+from mnemolake.operators.vectors import VectorLists
 from mnemolake.schema import DIM, EVENT, MODEL, conform
 from mnemolake.sources import bundle, inspectors
 from mnemolake.store import Store
@@ -55,51 +57,55 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("memory_id"), F.concat(F.lit("u"), F.pmod("user_id", F.lit(10)).cast("string")).alias("namespace"), "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"), F.col("props").alias("payload_json"), "value")
 
 
-_STORES: dict[tuple, Store] = {}
+_STORES: dict[tuple, tuple] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, table: str, kind: str, begin: Callable[[Store], None], stemmed: bool = True) -> Store:
-    """A store that is derived from a table, written at its first use in a session and anew when the table has changed."""
+def _stored(spark: SparkSession, sf_dir: str, table: str, kind: str, write: Callable[[str], Any]) -> Any:
+    """What write(folder) gives: a store that is derived from a table, written at its first use in a session and anew when the table has changed."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
     changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
-    key = (spark.sparkContext.applicationId, sf_dir, kind, stemmed)
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if _STORES.get(key, (None, None))[0] != changed:
-        store = Store(spark, f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}", stemmed)
-        begin(store)
-        _STORES[key] = changed, store
+        _STORES[key] = changed, write(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
     return _STORES[key][1]
 
 
 def memory_store(s, d, stemmed: bool = True) -> Store:
-    rows = lambda: conform(memories(s, d).withColumn("embedding", embedding(F.col("fact_text"))))
-    return _stored(s, d, "conversations", "memories", lambda store: store.insert_ignore(rows()), stemmed)
+    def write(at: str) -> Store:
+        store = Store(s, at, stemmed)
+        store.insert_ignore(conform(memories(s, d).withColumn("embedding", embedding(F.col("fact_text")))))
+        return store
+
+    return _stored(s, d, "conversations", "memories" if stemmed else "plain-memories", write)
 
 
 def version_store(s, d) -> Store:
     """Events as versions, upserted in three batches: by id and by hash, later ones replace earlier ones."""
 
-    def begin(store: Store) -> None:
-        e = event_rows(s, d)
+    def write(at: str) -> Store:
+        store, e = Store(s, at), event_rows(s, d)
         kind = F.when(F.col("event_type") == "click", "file").otherwise("fact")
         rows = e.select("seq", F.col("memory_id").alias("id"), F.when(F.col("event_type") == "view", F.sha2("payload_json", 256)).otherwise("").alias("content_hash"), F.col("payload_json").alias("fact_text"), kind.alias("memory_type"), (F.col("seq") % 100).alias("byte_length"), F.col("seq").cast("string").alias("source"))
         third = e.agg(F.max("seq")).first()[0] // 3 + 1
         for n in range(3):
             store.upsert(rows.where((F.col("seq") >= n * third) & (F.col("seq") < (n + 1) * third)).orderBy("seq").drop("seq"))
+        return store
 
-    return _stored(s, d, "events", "versions", begin)
+    return _stored(s, d, "events", "versions", write)
 
 
 def event_store(s, d) -> Store:
     """Events in four batches, of which the newest seven tenths stay."""
 
-    def begin(store: Store) -> None:
-        e = event_rows(s, d).withColumn("event_id", F.col("seq").cast("string"))
+    def write(at: str) -> Store:
+        store, e = Store(s, at), event_rows(s, d).withColumn("event_id", F.col("seq").cast("string"))
         quarter = e.agg(F.max("seq")).first()[0] // 4 + 1
         for n in range(4):
             store.append(events=conform(e.where((F.col("seq") >= n * quarter) & (F.col("seq") < (n + 1) * quarter)).orderBy("seq"), EVENT))
         store.trim_events(store.event_count() * 7 // 10)
+        return store
 
-    return _stored(s, d, "events", "events", begin)
+    return _stored(s, d, "events", "events", write)
 
 
 def q_content_hash(s, d):
@@ -161,6 +167,12 @@ def q_cosine_topk(s, d):
     return top.select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
+def q_cosine_lists(s, d):
+    """The same over lists of vectors, most of which a bound rules out."""
+    write = lambda at: VectorLists.write(_table(s, d, "embeddings"), at, "vec_id", "embedding")
+    return _stored(s, d, "embeddings", "vectors", write).search(list(VECTOR), 10).select("vec_id", F.round("cosine", 6).alias("cosine"))
+
+
 def _bm25(s, d):
     return search.bm25(search.index(memories(s, d), stemmed=False), QUERY, stemmed=False)
 
