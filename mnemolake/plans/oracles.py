@@ -125,10 +125,21 @@ ORACLE_SQL: dict[str, str] = {
     "store_versions": f"WITH {_VERSIONS} SELECT id, content_hash, fact_text, event_id FROM live",
     "store_stats": f"""WITH {_VERSIONS} SELECT count(*) AS total, count(*) FILTER (NOT file) AS inline_count, count(*) FILTER (file) AS file_count, CAST(coalesce(sum(length(fact_text)) FILTER (NOT file), 0) AS BIGINT) AS inline_chars,
         CAST(coalesce(sum(bytes) FILTER (file), 0) AS BIGINT) AS file_bytes, CAST(coalesce(max(length(fact_text)) FILTER (NOT file), 0) AS BIGINT) AS largest_inline FROM live""",
-    "store_lookup": f"""WITH {_VERSIONS}, k AS (SELECT CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS id, sha256(props) AS h FROM events WHERE event_id % 997 = 5 ORDER BY id NULLS FIRST, h LIMIT 60)
-        SELECT id, content_hash, event_id FROM live WHERE id IN (SELECT id FROM k WHERE id IS NOT NULL) OR content_hash IN (SELECT h FROM k)""",
+    "store_lookup": f"""WITH {_VERSIONS}, k AS (SELECT CAST(item_id AS VARCHAR) AS id, sha256('{{"k": ' || item_id || '}}') AS h FROM benchmark)
+        SELECT id, content_hash, event_id FROM live WHERE id IN (SELECT id FROM k) OR content_hash IN (SELECT h FROM k)""",
     "event_log_trimmed": f"WITH {_KEPT} SELECT event_id, CAST(user_id AS VARCHAR) AS memory_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS occurred_at FROM k WHERE event_type = 'purchase' AND strftime(ts, '%Y-%m-%dT%H:%M:%SZ') >= '2024-01-02T00:00:00Z'",
     "event_slices": f"WITH {_KEPT}, s AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // (((SELECT count(*) FROM k) + 6) // 7) AS slice FROM k) SELECT CAST(slice AS INTEGER) AS slice, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM s GROUP BY slice",
+    "swap_round_trip": f"WITH {_M} SELECT id, identifier, fact_text, source, importance, content_hash, CAST(ttl AS BIGINT) AS ttl_seconds, created_at, promotion_state, 64::BIGINT AS dim, 1.0::DOUBLE AS norm FROM m",
+    "payload_round_trip": f"WITH {_M}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS seq FROM m) SELECT id, identifier, importance, CAST(ttl AS BIGINT) AS ttl_seconds, promotion_candidate, 'hot' AS tier, content_hash FROM n QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY seq) = 1",
+    "loaded_and_skipped": """WITH i AS (SELECT event_id % 3 AS batch, user_id || '-' || (event_id % 5) AS id FROM events), f AS (SELECT id, min(batch) AS batch FROM i GROUP BY id)
+        SELECT CAST(batch AS INTEGER) AS batch, (SELECT count(*) FROM f WHERE f.batch = i.batch) AS loaded, count(*) - (SELECT count(*) FROM f WHERE f.batch = i.batch) AS skipped FROM i GROUP BY batch""",
+    "bundle_index": """WITH r AS (SELECT n, CAST(page_id % 100 AS VARCHAR) AS path, CAST(sum(page_id) AS BIGINT) AS size_hint FROM pages, (VALUES (0), (1), (2)) AS x(n) WHERE page_id % 3 >= n GROUP BY 1, 2)
+        SELECT path, 'run ' || n AS primary_file, size_hint FROM r QUALIFY n = max(n) OVER (PARTITION BY path)""",
+    "hydrate_many": f"""WITH {_M}, i AS (SELECT item_id AS pos, md5((item_id % 30) || ':' || CASE WHEN item_id % 5 = 0 THEN 'none' ELSE '0' END) AS id FROM benchmark)
+        SELECT pos, i.id, CASE WHEN m.id IS NOT NULL THEN sha256(coalesce(fact_text, '')) END AS h, CASE WHEN m.id IS NOT NULL THEN false END AS verified, CASE WHEN m.id IS NULL THEN 'not_found' END AS reason FROM i LEFT JOIN m ON m.id = i.id""",
+    "files_of_identifier": "SELECT CAST(page_id AS VARCHAR) AS id, url AS source_uri FROM pages WHERE page_id % 3 > 0 AND page_id % 7 = 3",
+    "state_counts": f"WITH {_M} SELECT CAST(position AS INTEGER) AS position, state, (SELECT count(*) FROM m WHERE promotion_state = state) AS n, next FROM (VALUES (0, 'HOT', 'READY'), (1, 'READY', 'PROMOTED'), (2, 'PROMOTED', 'ARCHIVED'), (3, 'ARCHIVED', '')) AS s(position, state, next)",
+    "known_hashes": f"""WITH {_VERSIONS}, a AS (SELECT DISTINCT sha256('{{"k": ' || item_id || '}}') AS content_hash FROM benchmark) SELECT content_hash, content_hash IN (SELECT content_hash FROM live) AS known FROM a""",
     "null_hashes": """WITH d AS (SELECT event_id AS seq, CASE WHEN event_type = 'signup' THEN '' WHEN event_type <> 'error' THEN md5((event_id % 97) || ':' || event_type) END AS content_hash FROM events),
         f AS (SELECT *, coalesce(content_hash, '') = '' OR row_number() OVER (PARTITION BY seq % 2, content_hash ORDER BY seq) = 1 AS kept FROM d)
         SELECT seq, content_hash FROM f WHERE kept AND (seq % 2 = 0 OR coalesce(content_hash, '') = '' OR content_hash NOT IN (SELECT content_hash FROM d WHERE seq % 2 = 0 AND content_hash IS NOT NULL))""",

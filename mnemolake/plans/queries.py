@@ -16,7 +16,7 @@ from mnemolake.functions.exprs import agent_truncate, content_hash, file_hash, r
 from mnemolake.operators import dedup, events, hydrate, hygiene, lifecycle, lists, search
 from mnemolake.operators.vectors import VectorLists
 from mnemolake.schema import DIM, EVENT, MODEL, conform
-from mnemolake.sources import bundle, inspectors
+from mnemolake.sources import bundle, inspectors, swap
 from mnemolake.store import Store
 from mnemolake.streaming import event_stream
 from mnemolake.work import shared_dir
@@ -232,11 +232,15 @@ def q_store_stats(s, d):
     return version_store(s, d).stats()
 
 
+def _keys(s, d) -> DataFrame:
+    """An id and a hash for each item; a few of them are filters, more are joined."""
+    item = F.col("item_id").cast("string")
+    return _table(s, d, "benchmark").select(item.alias("id"), F.sha2(F.concat(F.lit('{"k": '), item, F.lit("}")), 256).alias("content_hash"))
+
+
 def q_store_lookup(s, d):
-    """A few ids and hashes, looked up by filters that skip row groups."""
-    e = event_rows(s, d).where("seq % 997 = 5")
-    keys = e.select(F.when(F.col("seq") % 2 == 0, F.col("memory_id")).alias("id"), F.sha2("payload_json", 256).alias("content_hash"))
-    return version_store(s, d).holding(keys.orderBy("id", "content_hash").limit(60)).select("id", "content_hash", F.col("source").cast("long").alias("event_id"))
+    """The ids and hashes of a table, looked up in the store."""
+    return version_store(s, d).holding(_keys(s, d)).select("id", "content_hash", F.col("source").cast("long").alias("event_id"))
 
 
 def q_event_log_trimmed(s, d):
@@ -250,6 +254,78 @@ def q_event_slices(s, d):
     return reduce(DataFrame.unionByName, slices)
 
 
+def q_swap_round_trip(s, d):
+    """Memories exported as one compressed file of JSON lines, and read back by its members."""
+
+    def write(at: str) -> str:
+        rows = conform(memories(s, d).withColumn("embedding", embedding(F.col("fact_text"))))
+        swap.write(rows, f"{at}.jsonl.gz", compressed=True)
+        return f"{at}.jsonl.gz"
+
+    back = swap.with_vectors(swap.read(s, _stored(s, d, "conversations", "export", write), full=True))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
+    return back.select("id", "identifier", "fact_text", "source", "importance", "content_hash", "ttl_seconds", "created_at", "promotion_state", F.size("embedding").cast("long").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+def q_payload_round_trip(s, d):
+    """Rows as the payloads of events, and as rows again."""
+    rows = conform(memories(s, d))
+    log = rows.select(F.row_number().over(W.partitionBy("source").orderBy("id")).cast("long").alias("seq"), F.col("id").alias("memory_id"), F.lit("memory.created").alias("event_type"), events.payload(rows).alias("payload_json"))
+    return events.created_rows(log).select("id", "identifier", "importance", "ttl_seconds", "promotion_candidate", "tier", "content_hash")
+
+
+def q_loaded_and_skipped(s, d):
+    """What each of three inserts loads and skips."""
+
+    def write(at: str) -> DataFrame:
+        store, e, told = Store(s, at), event_rows(s, d), []
+        for n in range(3):
+            batch = e.where(F.col("seq") % 3 == n).select(F.concat("memory_id", F.lit("-"), (F.col("seq") % 5).cast("string")).alias("id"), "seq")
+            loaded = store.insert_ignore(batch.orderBy("seq").drop("seq"))
+            told.append((n, loaded, batch.count() - loaded))
+        return s.createDataFrame(told, "batch int, loaded long, skipped long")
+
+    return _stored(s, d, "events", "inserts", write)
+
+
+def q_bundle_index(s, d):
+    """The latest entry of each path of an index that was written three times."""
+
+    def write(at: str) -> Store:
+        store, p = Store(s, at), _table(s, d, "pages")
+        for n in range(3):
+            store.append(bundles=p.where(F.col("page_id") % 3 >= n).select((F.col("page_id") % 100).cast("string").alias("path"), F.lit(f"run {n}").alias("primary_file"), "page_id").groupBy("path", "primary_file").agg(F.sum("page_id").alias("size_hint")))
+        return store
+
+    return _stored(s, d, "pages", "bundles", write).bundles().select("path", "primary_file", "size_hint")
+
+
+def q_hydrate_many(s, d):
+    """Contents in the order of ids, some of which are unknown or asked for twice."""
+    nothing = {"source_uri": "string", "byte_offset": "long", "byte_length": "long", "source_checksum": "string"}
+    rows = memories(s, d).select("id", "fact_text", F.lit("fact").alias("memory_type"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
+    ids = _table(s, d, "benchmark").select(F.col("item_id").alias("pos"), F.md5(F.concat((F.col("item_id") % 30).cast("string"), F.lit(":"), F.when(F.col("item_id") % 5 == 0, "none").otherwise("0"))).alias("id"))
+    return hydrate.hydrate_many(rows, ids).select("pos", "id", F.sha2("content", 256).alias("h"), "verified", "reason")
+
+
+def q_files_of_identifier(s, d):
+    p = _table(s, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("site"), (F.col("page_id") % 7).cast("string")).alias("identifier"), F.col("url").alias("source_uri"), F.when(F.col("page_id") % 3 > 0, "file").otherwise("fact").alias("memory_type"))
+    return lists.file_backed(p).where(F.col("identifier") == "site3").select("id", "source_uri")
+
+
+def q_state_counts(s, d):
+    """Every state in order, with the rows in it and the states that may follow."""
+    held = memories(s, d).groupBy(F.col("promotion_state").alias("state")).agg(F.count("*").alias("n"))
+    return lifecycle.states(s).join(held, "state", "left").select("position", "state", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.array_join("next", ",").alias("next"))
+
+
+def q_known_hashes(s, d):
+    """Which hashes of a table the store has."""
+    asked = _keys(s, d).select("content_hash").distinct()
+    have = version_store(s, d).holding(asked.withColumn("id", F.lit(None).cast("string"))).select("content_hash", F.lit(True).alias("known"))
+    return asked.join(have, "content_hash", "left").select("content_hash", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def q_null_hashes(s, d):
     """Hashes that are null or empty never collide, in the store or in what is new."""
     e = event_rows(s, d)
