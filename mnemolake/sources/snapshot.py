@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
 import hashlib
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.functions.embed import pack
+from mnemolake.operators.lists import ordered_hash
 from mnemolake.schema import MEMORY, ddl
 from mnemolake.sources import swap
-from mnemolake.sources.storage import checksum, confined, local_path, read_range
+from mnemolake.sources.storage import checksum, confined, read_references
 
 MANIFEST, ROWS, NOTES, ATTACHMENTS = "manifest.json", "memories.jsonl", "metadata.json", "attachments"
 #: Keys of a record, by the column that each holds.
@@ -35,52 +38,68 @@ def _json(text: str | None):
 
 
 def _record(row: dict) -> dict:
-    import base64
-
     out = {"schema_version": 2} | {k: row[k] for k in RECORD}
     out["embedding"] = base64.b64encode(pack(row["embedding"])).decode() if row["embedding"] else None
     return out | {"metadata": _json(row["metadata_json"]), "provenance": _json(row["provenance_json"])}
 
 
+def records(memories: DataFrame) -> DataFrame:
+    """(value): a record as a line for each row, in order of id over ranges; made in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [json.dumps(_record(r), sort_keys=True, default=str) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    return memories.select(*RECORD, "embedding", "metadata_json", "provenance_json").orderBy("id").mapInArrow(run, "value string")
+
+
 def overall(digests: dict[str, str]) -> str:
     return hashlib.sha256("".join(digests[name] for name in sorted(digests)).encode()).hexdigest()
 
 
+def _attached(files: DataFrame, folder: str, base: str | None, below: int) -> dict[str, dict]:
+    """Copies what small references refer to; what each id is attached as. Tasks read and check the ranges, the driver writes what it is given, below `below` bytes each."""
+    small = files.where((F.col("byte_length") > 0) & (F.col("byte_length") < below))
+    uris, out = {r.id: r.source_uri for r in small.select("id", "source_uri").toLocalIterator()}, {}
+    for r in read_references(small, base, verify=False).where("content IS NOT NULL").toLocalIterator():
+        data = bytes(r.content)
+        name = hashlib.sha256(data).hexdigest()
+        path = os.path.join(folder, ATTACHMENTS, name)
+        if not os.path.exists(path):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(data)
+        out[r.id] = {"name": name, "source_uri": uris[r.id], "size": len(data), "sha256": name}
+    return out
+
+
 def write(memories: DataFrame, folder: str, copy_attachments: bool = False, base: str | None = None, attach_below: int = 8192) -> dict:
-    """Writes rows in order of id through one stream on the driver, as the format is one file; the manifest comes last."""
+    """Writes rows in order of id, made in tasks and joined as one file; the manifest comes last.
+
+    Sums and the digest of all hashes are Spark jobs. The manifest lists the references of file rows, which is what the
+    driver holds.
+    """
     os.makedirs(folder, exist_ok=True)
-    hashes, references, attached, inline, total = [], [], {}, 0, 0
-    with open(os.path.join(folder, ROWS), "w") as f:
-        for row in memories.orderBy("id").toLocalIterator(prefetchPartitions=True):
-            r = row.asDict()
-            f.write(json.dumps(_record(r), sort_keys=True, default=str) + "\n")
-            total += 1
-            inline += r["memory_type"] != "file"
-            if r["content_hash"]:
-                hashes.append(r["content_hash"])
-            if r["memory_type"] == "file" and r["source_uri"]:
-                ref = {k: r[k] for k in ("source_uri", "source_format", "source_checksum")} | {"memory_id": r["id"], "byte_offset": r["byte_offset"] or 0, "byte_length": r["byte_length"] or 0, "attachment": None}
-                if copy_attachments and 0 < ref["byte_length"] < attach_below:
-                    try:
-                        data = read_range(local_path(ref["source_uri"], base), ref["byte_offset"], ref["byte_length"])
-                    except (OSError, ValueError):
-                        data = b""  # the reference stays
-                    if len(data) == ref["byte_length"]:
-                        name = hashlib.sha256(data).hexdigest()
-                        os.makedirs(os.path.join(folder, ATTACHMENTS), exist_ok=True)
-                        with open(os.path.join(folder, ATTACHMENTS, name), "wb") as a:
-                            a.write(data)
-                        ref["attachment"] = name
-                        attached.setdefault(name, {"name": name, "source_uri": ref["source_uri"], "size": len(data), "sha256": name})
-                references.append(ref)
-    files = {ROWS: {"size": os.path.getsize(os.path.join(folder, ROWS)), "sha256": checksum(os.path.join(folder, ROWS))}}
-    files |= {f"{ATTACHMENTS}/{n}": {"size": a["size"], "sha256": a["sha256"]} for n, a in attached.items()}
+    swap.write_lines(records(memories), os.path.join(folder, ROWS))
+    file = F.col("memory_type").eqNullSafe("file")
+    total, of_files = memories.agg(F.count("*"), F.count_if(file)).first()
+    digest = ordered_hash(memories, "content_hash").first()[0]
+    files = memories.where(file & (F.col("source_uri") != "")).select("id", "source_uri", "source_format", "source_checksum", F.coalesce("byte_offset", F.lit(0)).alias("byte_offset"), F.coalesce("byte_length", F.lit(0)).alias("byte_length"))
+    attached = _attached(files, folder, base, attach_below) if copy_attachments else {}
+    references = [
+        {k: r[k] for k in ("source_uri", "source_format", "source_checksum", "byte_offset", "byte_length")} | {"memory_id": r.id, "attachment": attached[r.id]["name"] if r.id in attached else None}
+        for r in files.orderBy("id").toLocalIterator()
+    ]
+    kept = {a["name"]: a for _, a in sorted(attached.items(), reverse=True)}
+    written = {ROWS: {"size": os.path.getsize(os.path.join(folder, ROWS)), "sha256": checksum(os.path.join(folder, ROWS))}}
+    written |= {f"{ATTACHMENTS}/{n}": {"size": a["size"], "sha256": a["sha256"]} for n, a in kept.items()}
     now = dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     with open(os.path.join(folder, NOTES), "w") as f:
-        json.dump({"created_at": now, "counts": {"inline": inline, "file": total - inline, "total": total}}, f, sort_keys=True, indent=2)
+        json.dump({"created_at": now, "counts": {"inline": total - of_files, "file": of_files, "total": total}}, f, sort_keys=True, indent=2)
     manifest = {
-        "schema_version": 2, "snapshot_id": hashlib.sha256("".join(sorted(hashes)).encode()).hexdigest(), "created_at": now, "memory_count": total, "inline_count": inline, "file_backed_count": total - inline,
-        "files": files, "overall_sha256": overall({k: v["sha256"] for k, v in files.items()}), "file_backed_references": references, "attachments": [attached[k] for k in sorted(attached)],
+        "schema_version": 2, "snapshot_id": digest, "created_at": now, "memory_count": total, "inline_count": total - of_files, "file_backed_count": of_files,
+        "files": written, "overall_sha256": overall({k: v["sha256"] for k, v in written.items()}), "file_backed_references": references, "attachments": [kept[k] for k in sorted(kept)],
     }
     with open(os.path.join(folder, MANIFEST), "w") as f:
         json.dump(manifest, f, sort_keys=True, indent=2)

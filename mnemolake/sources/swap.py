@@ -56,18 +56,26 @@ def as_json(memories: DataFrame, include_embeddings: bool = True) -> Column:
 
 
 def write(memories: DataFrame, path: str, include_embeddings: bool = True, compressed: bool = False) -> None:
-    """One file of JSON lines. Tasks write its parts, gzip members if compressed; the driver joins them as bytes, holding none.
+    """One file of JSON lines. Beside a compressed one lies an index of its members (`.members`), by which read() gives each member a task."""
+    members = write_lines(memories.select(as_json(memories, include_embeddings).alias("value")), path, compressed)
+    if compressed:
+        _put(memories.sparkSession, f"{path}.members", json.dumps(members).encode())
 
-    Beside a compressed file lies an index of its members (`.members`), by which read() gives each member a task.
+
+def write_lines(lines: DataFrame, path: str, compressed: bool = False) -> list[tuple[int, int]]:
+    """Makes lines (value), in the order of their partitions, one file; returns (offset, length) of its members.
+
+    Tasks write the parts, which are gzip members if compressed; the driver joins them as bytes through the file system
+    and holds none. The file replaces what was there when it is whole.
     """
-    spark = memories.sparkSession
+    spark = lines.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = place(path).getFileSystem(conf)
     if fs.exists(place(path)) and fs.getFileStatus(place(path)).isDirectory():
         raise IsADirectoryError(path)
     parts, whole = f"{path}.parts-{uuid.uuid4().hex}", f"{path}.new-{uuid.uuid4().hex}"
-    memories.select(as_json(memories, include_embeddings).alias("value")).write.option("compression", "gzip" if compressed else "none").text(parts)
+    lines.select("value").write.option("compression", "gzip" if compressed else "none").text(parts)
     found = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(place(parts)) if f.getPath().getName().startswith("part-"))
     members, at, out = [], 0, fs.create(place(whole))
     for name, size in found:
@@ -79,20 +87,28 @@ def write(memories: DataFrame, path: str, include_embeddings: bool = True, compr
     if compressed and not at:
         nothing = gzip.compress(b"")
         out.write(bytearray(nothing))
-        members, at = [(0, len(nothing))], len(nothing)
+        members = [(0, len(nothing))]
     out.close()
     fs.delete(place(parts), True)
-    for new, old in ((whole, path), *([(_index_of(spark, members, f"{path}.new-{uuid.uuid4().hex}"), f"{path}.members")] if compressed else [])):
-        fs.delete(place(old), False)
-        fs.rename(place(new), place(old))
+    fs.delete(place(path), False)
+    fs.rename(place(whole), place(path))
+    _forget_checksum(path)
+    return members
 
 
-def _index_of(spark: SparkSession, members: list[tuple[int, int]], path: str) -> str:
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(json.dumps(members).encode()))
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
     out.close()
-    return path
+    _forget_checksum(path)
+
+
+def _forget_checksum(path: str) -> None:
+    """A local file that people may edit has no checksum beside it, which a later read would hold it against."""
+    folder, name = os.path.split(path.removeprefix("file://"))
+    if "://" not in folder and os.path.exists(hidden := os.path.join(folder, f".{name}.crc")):
+        os.remove(hidden)
 
 
 def members_of(path: str) -> list[tuple[int, int]]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.operators import events
 from mnemolake.schema import EVENT, HISTORY, conform, ddl
-from mnemolake.sources import sqlite, storage, swap
+from mnemolake.sources import snapshot, sqlite, storage, swap
 from mnemolake.store import Store
 from mnemolake.streaming import event_stream
 
@@ -64,7 +64,6 @@ def test_an_export_is_one_file(spark, tmp_path, compressed):
     assert not compressed or len(swap.members_of(path)) == 5 == back.rdd.getNumPartitions()
     assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {path.rpartition("/")[2], *([path.rpartition("/")[2] + ".members"] if compressed else [])}
     if compressed:  # an index that doesn't fit is not used
-        (tmp_path / ".x.jsonl.gz.crc").unlink()
         with open(path, "ab") as f:
             f.write(gzip.compress(b'{"id": "more", "identifier": "i", "fact_text": "t"}\n'))
         assert swap.read(spark, path).count() == 3001
@@ -72,6 +71,26 @@ def test_an_export_is_one_file(spark, tmp_path, compressed):
     assert swap.read(spark, path).count() == 0
 
 
+def test_snapshots_copy_attachments_and_hold_every_reference(spark, tmp_path):
+    data = bytes(range(256)) * 40
+    (tmp_path / "data.bin").write_bytes(data)
+    rows = [(f"f{n:02d}", "file", "data.bin", 10 * n, 30 if n < 8 else 9000, f"h{n:02d}", "") for n in range(10)] + [("gone", "file", "absent", 0, 5, "", ""), ("a", "fact", "", None, None, "x1", "text"), ("b", "fact", "", None, None, None, "more"), ("same", "file", "data.bin", 0, 30, "h00x", "")]
+    df = spark.createDataFrame(rows, "id string, memory_type string, source_uri string, byte_offset long, byte_length long, content_hash string, fact_text string").withColumn("identifier", F.lit("i"))
+    out = str(tmp_path / "snap")
+    told = snapshot.write(conform(df.repartition(3)), out, True, str(tmp_path))
+    assert (told["memory_count"], told["inline_count"], told["file_backed_count"]) == (14, 2, 12) and snapshot.verify(out) == told
+    assert told["snapshot_id"] == hashlib.sha256("".join(sorted(r[5] for r in rows if r[5])).encode()).hexdigest()
+    with open(f"{out}/memories.jsonl") as f:
+        assert [json.loads(line)["id"] for line in f] == sorted(r[0] for r in rows)
+    held = {r["memory_id"]: r["attachment"] for r in told["file_backed_references"]}
+    want = {r[0]: hashlib.sha256(data[r[3] : r[3] + r[4]]).hexdigest() if r[4] < 8192 and r[2] == "data.bin" else None for r in rows if r[1] == "file"}
+    assert held == want and held["same"] == held["f00"] and len(told["attachments"]) == 8
+    assert {p.name for p in (tmp_path / "snap" / "attachments").iterdir()} == {x for x in want.values() if x}
+    assert sorted(r.id for r in snapshot.load(spark, out).collect()) == sorted(r[0] for r in rows)
+    snapshot.write(conform(df.limit(0)), out)
+    assert snapshot.verify(out)["memory_count"] == snapshot.load(spark, out).count() == 0
+
+
 def test_sqlite_answers_conditions(spark, tmp_path):
     path = str(tmp_path / "m.db")
     db = sqlite3.connect(path)
