@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import mmap
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,22 +94,33 @@ def runs(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
         yield start, end, n
 
 
+#: How uris of further schemes are opened: scheme to a function of the uri that gives a binary file with seek and read.
+ADAPTERS: dict[str, Callable[[str], BinaryIO]] = {}
+
+
+def register(scheme: str, opener: Callable[[str], BinaryIO]) -> None:
+    """From now on read_references() opens uris of a scheme so; the function goes to the tasks, so it has to be one that can travel."""
+    ADAPTERS[scheme] = opener
+
+
 class _Opened:
     """The file that was read last stays open until another is asked for; opened counts how many were."""
 
-    def __init__(self):
-        self.path, self.file, self.opened = None, None, 0
+    def __init__(self, adapters: dict[str, Callable[[str], BinaryIO]] | None = None):
+        self.uri, self.file, self.opened, self.adapters = None, None, 0, adapters or {}
 
-    def at(self, path: str):
-        if path != self.path:
+    def at(self, uri: str, base: str | None) -> BinaryIO:
+        if uri != self.uri:
             self.close()
-            self.file, self.path, self.opened = open(path, "rb"), path, self.opened + 1  # noqa: SIM115  closed by close()
+            scheme, sep, _ = uri.partition("://")
+            self.file = self.adapters[scheme](uri) if sep and scheme in self.adapters else open(local_path(uri, base), "rb")  # noqa: SIM115  closed by close()
+            self.uri, self.opened = uri, self.opened + 1
         return self.file
 
     def close(self) -> None:
         if self.file:
             self.file.close()
-        self.path = self.file = None
+        self.uri = self.file = None
 
 
 def read_sorted(rows: list[dict], held: _Opened, base: str | None, verify: bool) -> Iterator[tuple]:
@@ -120,7 +132,7 @@ def read_sorted(rows: list[dict], held: _Opened, base: str | None, verify: bool)
             last += 1
         group, first = rows[first:last], last
         try:
-            file = held.at(local_path(group[0]["source_uri"] or "", base))
+            file = held.at(group[0]["source_uri"] or "", base)
         except UnsupportedScheme:
             yield from ((r["id"], None, False, "unsupported_scheme") for r in group)
             continue
@@ -151,8 +163,10 @@ def read_references(rows: DataFrame, base: str | None = None, verify: bool = Tru
     many ranges spreads over as many tasks as its megabytes ask for. A short read is told before a wrong checksum.
     """
 
+    adapters = dict(ADAPTERS)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Opened()
+        held = _Opened(adapters)
         try:
             for batch in batches:
                 out, size = [], 0

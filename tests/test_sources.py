@@ -51,6 +51,17 @@ def test_a_task_opens_a_file_once(spark, tmp_path):
     assert {k: read[k][2] for k in ("short", "wrong", "none", "far", "null")} == {"short": "truncated", "wrong": "checksum_mismatch", "none": "missing_file", "far": "unsupported_scheme", "null": "missing_file"}
 
 
+def test_further_schemes_are_opened_by_what_is_registered(spark):
+    import io
+
+    rows = spark.createDataFrame([("a", "mem://abc", 1, 2, None), ("b", "other://abc", 1, 2, None)], "id string, source_uri string, byte_offset long, byte_length long, source_checksum string")
+    storage.register("mem", lambda uri: io.BytesIO(uri.partition("://")[2].encode()))
+    try:
+        assert {r.id: (r.content and bytes(r.content), r.reason) for r in storage.read_references(rows).collect()} == {"a": (b"bc", None), "b": (None, "unsupported_scheme")}
+    finally:
+        del storage.ADAPTERS["mem"]
+
+
 @pytest.mark.parametrize("compressed", [True, False])
 def test_an_export_is_one_file(spark, tmp_path, compressed):
     path = str(tmp_path / ("x.jsonl.gz" if compressed else "x.jsonl"))
