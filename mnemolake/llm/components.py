@@ -55,9 +55,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while not done:
         bound = max(HUB_ARCS, -(-2 * n // MOST_HUBS))
         hub = bound if most > bound else None
-        spread = materialise(_star(now, large=True, hub=hub), label)
-        then = materialise(_star(spread, large=False, hub=hub), label)
-        discard(now, spread)
+        then = materialise(_star(_star(now, large=True, hub=hub), large=False, hub=hub), label)
+        discard(now)
         now = then
         n, most, done = _shape(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -16,7 +16,7 @@ How the work is dealt out:
    copies falls together so, each text shipped once, a hot leader in parts of bounded rows and bytes;
 3. sketches whose texts are all in one component are closed. What is left are texts with AGREE open sketches; pairs
    (leader, other) link them up to clusters, and sketches held by several clusters are looked up once more in twos, so
-   that any two texts that agree twice are in one cluster. While a cluster is larger than a block and the last round
+   that any two texts that agree twice are in one cluster. While a cluster is larger than some blocks and the last round
    linked a good part, another star round with other leaders goes first;
 4. the texts of a cluster are cut into blocks by length, and pairs of blocks that a link can join are tasks: not those
    whose lengths are too far apart, nor those inside one component. A task counts common k-mers of all its pairs at
@@ -44,11 +44,11 @@ from mnemolake.llm.common import arrow_map, broadcast_if_small, discard, free_na
 from mnemolake.llm.components import components
 
 K, SIMILARITY, COMMON = 5, 0.8, 0.25
-SKETCHES, PICKS, AGREE = 48, 3, 2
+SKETCHES, PICKS, AGREE = 40, 3, 2
 #: A block of a cluster holds about so many texts or words; a longer text is a block of its own.
 BLOCK_ROWS, BLOCK_WORDS = 768, 1 << 20
-#: A star round goes on while it links at least this share of the texts that it has; the blocks do the rest.
-GOOD_ROUND = 0.25
+#: Another star round goes first where a cluster is larger than so many blocks and the last round linked at least this share of its texts.
+STAR_BLOCKS, GOOD_ROUND = 8, 0.25
 _CHUNK = 1 << 13
 _LARGEST = np.uint64((1 << 64) - 1)
 _SEEDS = words.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))[:, None]
@@ -372,7 +372,7 @@ def links(rows: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
         members = clusters.join(held.select("key", "of").distinct(), F.col("node") == F.col("key")).join(shapes.select("key", "n_words"), "key")
         members = materialise(members.select(F.col("component").alias("cluster"), "key", "of", "n_words"), "members")
         largest = members.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= BLOCK_ROWS or linked < GOOD_ROUND * texts:
+        if largest <= STAR_BLOCKS * BLOCK_ROWS or linked < GOOD_ROUND * texts:
             found = _block_links(members, shapes)
             every.append(found)
             named = components(found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))), "named")
