@@ -1,6 +1,6 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is two shuffles of the edges; their number grows with the logarithm of the longest chain. A hub, a node of so
+Each step is one shuffle of the edges; their number grows with the logarithm of the longest chain. A hub, a node of so
 many arcs that one task would feel it, meets its smallest neighbour by broadcast, so that its arcs stay where they lie:
 n edges have at most MOST_HUBS such nodes, as the number of arcs that makes a hub grows with n. The table is final when
 each node points at one that points nowhere. Nothing but counts comes to the driver.
@@ -18,23 +18,23 @@ HUB_ARCS, MOST_HUBS = 256, 1 << 16
 
 
 def _star(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
-    """One step over edges (a, b), a > b; large: seen from both ends, the centre is a, its neighbours b. hub is None where there are none."""
+    """One step over edges (a, b), a > b, which may repeat; large: seen from both ends, the centre is a, its neighbours b. hub is None where there are none."""
     arcs = edges if not large else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = arcs.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("arcs"))
-    # small: each row is oriented from the larger end; large: every neighbour counts
-    least = least.select(F.col("a").alias("centre"), F.least("a", "low").alias("low"), "arcs")
-    met = F.col("a") == F.col("centre")
-    if hub is None:
-        joined = arcs.join(least, met).select("a", "b", "low")
-    else:
-        hubs = F.broadcast(least.where(F.col("arcs") > hub))
-        others = arcs.join(hubs.select("centre"), met, "left_anti").join(least.where(F.col("arcs") <= hub), met)
-        joined = others.select("a", "b", "low").unionByName(arcs.join(hubs, met).select("a", "b", "low"))
-    if large:
-        out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("centre", "low"))
-    return out.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    few = arcs
+    if hub is not None:
+        least = arcs.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("arcs")).where(F.col("arcs") > hub)
+        hubs, met = F.broadcast(least.select(F.col("a").alias("centre"), F.least("a", "low").alias("low"))), F.col("a") == F.col("centre")
+        few = arcs.join(hubs.select("centre"), met, "left_anti")
+    # the neighbours of a node that is no hub are a row, so that its arcs are shuffled once
+    near = few.groupBy("a").agg(F.collect_set("b").alias("near"))
+    low = F.least("a", F.array_min("near")).alias("low")
+    # large: every neighbour beyond the centre; small: all of them and the centre
+    out = near.select(low, F.explode(F.filter("near", lambda b: b > F.col("a")) if large else F.array_append("near", F.col("a"))).alias("node"))
+    if hub is not None:
+        far = arcs.join(hubs, met)
+        ends = far.where(F.col("b") > F.col("a")).select("low", F.col("b").alias("node")) if large else far.select("low", F.explode(F.array("b", "a")).alias("node"))
+        out = out.unionByName(ends)
+    return out.where(F.col("node") != F.col("low")).select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b"))
 
 
 def _shape(edges: DataFrame) -> tuple[int, int, bool]:
@@ -55,7 +55,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while not done:
         bound = max(HUB_ARCS, -(-2 * n // MOST_HUBS))
         hub = bound if most > bound else None
-        then = materialise(_star(_star(now, large=True, hub=hub), large=False, hub=hub), label)
+        then = materialise(_star(_star(now, large=True, hub=hub), large=False, hub=hub).distinct(), label)
         discard(now)
         now = then
         n, most, done = _shape(now)

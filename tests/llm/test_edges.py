@@ -1,11 +1,12 @@
 """Every operator over empty tables, nulls in all columns, ties, repeated rows and columns of clashing names."""
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("mnemolake.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from mnemolake.llm import chat, decontaminate, html, licenses, media, mixing, near_duplicates, pii, quality, toxicity  # noqa: E402
+from mnemolake.llm import centroids, chat, decontaminate, html, licenses, media, mixing, near_duplicates, pii, quality, resampling, topk, toxicity  # noqa: E402
 
 CLASHING = "size source_size target taken block score predicted held_out p c m n k a b s key sketches component low valid segments formatted turns digest license notices known y hits kept_key kept_id"
 ROWS = {
@@ -13,6 +14,7 @@ ROWS = {
     "labels": ("doc_id long, quality int, toxic int", [(None, 1, 1), (1, None, None), (2, 0, 0), (3, 1, None), (3, 1, 0), (9, 1, 1)]),
     "benchmark": ("item_id long, text string", [(None, None), (1, None), (2, ""), (2, "four five"), (2, "four five")]),
     "pages": ("page_id long, url string, html string", [(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "<p>a text that stays</p>")]),
+    "embeddings": ("vec_id long, embedding array<float>, label int", [(None, [0.5, 0.25], None), (1, [0.5, 0.25], 1), (1, [0.5, 0.25], 1), (2, [0.0, -1.0], 2)]),
     "conversations": ("conv_id long, turn long, role string, text string", [(None, None, None, None), (None, None, None, None), (1, 0, "user", None), (1, 0, "user", None), (1, None, "assistant", "x"), (2, 1, None, "</turn>")]),
 }
 
@@ -31,6 +33,9 @@ OPERATORS = {
     "quality": ("documents", lambda t: quality.score_quality(t["documents"], t["labels"])),
     "licenses": ("documents", lambda t: licenses.scan_licenses(t["documents"])),
     "html": ("pages", lambda t: html.extract_pages(t["pages"])),
+    "resampling": ("documents", lambda t: resampling.resample(t["documents"], t["benchmark"])),
+    "clusters": ("embeddings", lambda t: centroids.cluster(t["embeddings"], dims=2)),
+    "top_k": ("embeddings", lambda t: topk.top_k(t["embeddings"], F.lit(True), k=1)),
     "chat": ("conversations", lambda t: chat.conversation_digests(t["conversations"])),
 }
 
