@@ -55,7 +55,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while not done:
         bound = max(HUB_ARCS, -(-2 * n // MOST_HUBS))
         hub = bound if most > bound else None
-        then = materialise(_star(_star(now, large=True, hub=hub), large=False, hub=hub).distinct(), label)
+        spread = _star(now, large=True, hub=hub)
+        # with hubs a step reads its edges several times, so they are a table
+        spread = spread if hub is None else materialise(spread, label)
+        then = materialise(_star(spread, large=False, hub=hub).distinct(), label)
+        if hub is not None:
+            discard(spread)
         discard(now)
         now = then
         n, most, done = _shape(now)
