@@ -308,11 +308,12 @@ def _met_twice(held: DataFrame, clusters: DataFrame) -> DataFrame:
 def _clusters(led: DataFrame) -> DataFrame:
     """(node, component): any two texts that agree twice are in one component."""
     pairs = led.where(F.col("key") != F.col("low")).groupBy("low", "key").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
-    clusters = components(pairs.select(F.col("low").alias("a"), F.col("key").alias("b")), "clusters")
-    rest = materialise(_met_twice(led, clusters), "twice")
-    if not rest.isEmpty():
-        clusters = components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "clusters")
-    discard(rest)
+    pairs = materialise(pairs.select(F.col("low").alias("a"), F.col("key").alias("b")), "pairs")
+    # a text goes with one of those that lead it for now: which it is decides how much is left, not what is found
+    near = pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    rest = materialise(_met_twice(led, near), "twice")
+    clusters = components(pairs.unionByName(rest), "clusters")
+    discard(pairs, rest)
     return clusters
 
 
