@@ -198,6 +198,12 @@ def _common(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _reaches(common: np.ndarray, least: float, rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """Whether what each of rows has in common with each of cols can be a share of `least`, with room for rounding."""
+    total = np.add.outer([len(x) for x in rows], [len(x) for x in cols])
+    return common >= least / (1 + least) * total - 0.01
+
+
 def block_links(left: list[tuple], right: list[tuple] | None) -> list[tuple[bytes, bytes]]:
     """Links of a spanning forest of the pairs between two blocks, or within one (right is None).
 
@@ -206,11 +212,15 @@ def block_links(left: list[tuple], right: list[tuple] | None) -> list[tuple[byte
     rows, cols = ([x[1] for _, _, x in side] for side in (left, left if right is None else right))
     texts = left + (right or [])
     shift = len(left) if right is not None else 0
-    common = _common(rows, cols)
     n, m = np.array([len(x) for x in rows], np.float32)[:, None], np.array([len(x) for x in cols], np.float32)[None, :]
-    able = (common > 0) & (common >= np.float32(COMMON / (1 + COMMON)) * (n + m) - 0.01)
+    common = _common(rows, cols)
+    able = (common > 0) & _reaches(common, COMMON, rows, cols)
     if right is None:
         able = np.triu(able, 1)
+    # and no order has more equal words than there are without order; of most pairs that says enough
+    i, j = able.any(axis=1).nonzero()[0], able.any(axis=0).nonzero()[0]
+    bags = [[labelled(side[at][2][0]) for at in which] for side, which in ((left, i), (left if right is None else right, j))]
+    able[np.ix_(i, j)] &= _reaches(_common(*bags), SIMILARITY, *bags)
     i, j = np.nonzero(able)
     leads: dict[bytes, int] = {}
     parent = [leads.setdefault(of, at) for at, (_, of, _) in enumerate(texts)]
