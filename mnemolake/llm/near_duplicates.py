@@ -298,21 +298,30 @@ def _star_links(led: DataFrame, shapes: DataFrame) -> DataFrame:
     return found
 
 
-def _open(shared: DataFrame, named: DataFrame) -> DataFrame:
-    """(key, of, sketch) of the sketches whose texts are in several components, for texts that have AGREE such sketches."""
+def _met_apart(shared: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, of, s) of the texts that have AGREE sketches whose texts are in several components; s has those sketches."""
     held = shared.join(named, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("of"), "sketch")
     is_open = held.groupBy("sketch").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select(F.col("sketch").alias("open"))
     texts = held.join(is_open, F.col("sketch") == F.col("open")).groupBy("key").agg(F.first("of").alias("of"), F.collect_set("sketch").alias("s"))
-    return texts.where(F.size("s") >= AGREE).select("key", "of", F.explode("s").alias("sketch"))
+    return texts.where(F.size("s") >= AGREE)
+
+
+def _open(shared: DataFrame, named: DataFrame) -> DataFrame:
+    """_met_apart with a row for each sketch: (key, of, sketch)."""
+    return _met_apart(shared, named).select("key", "of", F.explode("s").alias("sketch"))
 
 
 def _met_twice(held: DataFrame, clusters: DataFrame) -> DataFrame:
     """Edges (a, b) between clusters, or texts in none, two texts of which agree in two sketches of held (key, sketch); AGREE is 2."""
-    texts = _open(held.select("key", "sketch"), clusters).groupBy("key").agg(F.first("of").alias("of"), F.array_sort(F.collect_set("sketch")).alias("s"))
+    texts = _met_apart(held.select("key", "sketch"), clusters).select("of", F.array_sort("s").alias("s"))
+    texts = materialise(texts, "apart")  # small, and read twice
     twos = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.xxhash64(x, y))))
     met = texts.select("of", F.explode(twos).alias("two")).distinct()
     least = met.groupBy("two").agg(F.min("of").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("two").alias("met"), "low")
-    return met.join(least, F.col("two") == F.col("met")).where(F.col("of") != F.col("low")).select(F.col("low").alias("a"), F.col("of").alias("b")).distinct()
+    found = met.join(least, F.col("two") == F.col("met")).where(F.col("of") != F.col("low")).select(F.col("low").alias("a"), F.col("of").alias("b"))
+    found = materialise(found.distinct(), "twice")
+    discard(texts)
+    return found
 
 
 def _clusters(led: DataFrame) -> DataFrame:
@@ -321,7 +330,7 @@ def _clusters(led: DataFrame) -> DataFrame:
     pairs = materialise(pairs.select(F.col("low").alias("a"), F.col("key").alias("b")), "pairs")
     # a text goes with one of those that lead it for now: which it is decides how much is left, not what is found
     near = pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
-    rest = materialise(_met_twice(led, near), "twice")
+    rest = _met_twice(led, near)
     clusters = components(pairs.unionByName(rest), "clusters")
     discard(pairs, rest)
     return clusters
