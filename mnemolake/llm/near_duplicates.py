@@ -33,6 +33,7 @@ gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ SKETCHES, PICKS, AGREE = 40, 3, 2
 BLOCK_ROWS, BLOCK_WORDS = 768, 1 << 20
 #: Another star round goes first where a cluster is larger than so many blocks and the last round linked at least this share of its texts.
 STAR_BLOCKS, GOOD_ROUND = 8, 0.25
+#: Texts of an open sketch that a task looks through at once.
+MET_ROWS = 1 << 13
 _CHUNK = 1 << 13
 _LARGEST = np.uint64((1 << 64) - 1)
 _SEEDS = words.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))[:, None]
@@ -311,16 +314,40 @@ def _open(shared: DataFrame, named: DataFrame) -> DataFrame:
     return _met_apart(shared, named).select("key", "of", F.explode("s").alias("sketch"))
 
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sketch, part, of, rest), in order of sketch and part, to edges (a, b): who has a sketch of rest with another meets the first that has both."""
+    at, first = None, {}
+    for batch in batches:
+        edges = set()
+        for sketch, part, of, rest in zip(*(batch.column(c).to_pylist() for c in ("sketch", "part", "of", "rest")), strict=True):
+            if at != (sketch, part):
+                at, first = (sketch, part), {}
+            edges.update((low, of) for y in rest if (low := first.setdefault(y, of)) != of)
+        yield _table(list(edges)).combine_chunks().to_batches()[0] if edges else pa.RecordBatch.from_pylist([], schema=_LINKS)
+
+
 def _met_twice(held: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Edges (a, b) between clusters, or texts in none, two texts of which agree in two sketches of held (key, sketch); AGREE is 2."""
-    texts = _met_apart(held.select("key", "sketch"), clusters).select("of", F.array_sort("s").alias("s"))
-    texts = materialise(texts, "apart")  # small, and read twice
-    twos = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.xxhash64(x, y))))
-    met = texts.select("of", F.explode(twos).alias("two")).distinct()
-    least = met.groupBy("two").agg(F.min("of").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("two").alias("met"), "low")
-    found = met.join(least, F.col("two") == F.col("met")).where(F.col("of") != F.col("low")).select(F.col("low").alias("a"), F.col("of").alias("b"))
-    found = materialise(found.distinct(), "twice")
-    discard(texts)
+    """Edges (a, b) between clusters, or texts in none, two texts of which agree in two sketches of held (key, sketch); AGREE is 2.
+
+    A text is a row for each of its sketches, with those that come after it, so that twos are looked up where the first of
+    them lies and are never rows. A sketch of more than MET_ROWS texts is cut into parts by the second of the two.
+    """
+    texts = _met_apart(held.select("key", "sketch"), clusters).select("of", F.array_sort("s").alias("s")).distinct()
+    each = texts.select("of", "s", F.posexplode(F.slice("s", F.lit(1), F.size("s") - 1)).alias("i", "sketch"))
+    each = materialise(each.select("sketch", "of", F.slice("s", F.col("i") + 2, F.size("s")).alias("rest")), "apart")
+    sizes = each.groupBy("sketch").agg(F.count("*").alias("n")).where(F.col("n") > MET_ROWS)
+    hot = materialise(sizes.select(F.col("sketch").alias("met"), F.ceil(F.col("n") / MET_ROWS).cast("int").alias("parts")), "hot")
+    if hot.isEmpty():
+        dealt = each.withColumn("part", F.lit(0))
+    else:
+        of_hot = each.join(broadcast_if_small(hot), F.col("sketch") == F.col("met"), "left")
+        part = lambda y: F.pmod(F.xxhash64(y), F.col("parts")).cast("int")
+        cut = F.transform(F.array_distinct(F.transform("rest", part)), lambda p: F.struct(p.alias("part"), F.filter("rest", lambda y: part(y) == p).alias("rest")))
+        whole = F.array(F.struct(F.lit(0).alias("part"), "rest"))
+        dealt = of_hot.select("sketch", "of", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(cut)).alias("x")).select("sketch", "of", "x.part", "x.rest")
+    dealt = dealt.repartition("sketch", "part").sortWithinPartitions("sketch", "part")
+    found = materialise(dealt.mapInArrow(_meetings, "a binary, b binary").distinct(), "twice")
+    discard(each, hot)
     return found
 
 

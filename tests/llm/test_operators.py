@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import html as entities
+import random
 import re
 import struct
 import time
@@ -627,6 +628,35 @@ def test_texts_of_shared_sections_meet_though_no_smallest_text_catches_them_twic
     assert [p for p in agreeing if classes[p[0]] != classes[p[1]]] == []
 
 
+@pytest.mark.parametrize("most", [near_duplicates.__dict__.get("MET_ROWS", 0), 16])
+def test_twos_of_sketches_are_looked_up_without_a_row_each(spark, monkeypatch, most):
+    monkeypatch.setattr(near_duplicates, "MET_ROWS", most, raising=False)
+    made, write, rng = [], near_duplicates.materialise, random.Random(7)
+
+    def told(df, label):
+        made.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(near_duplicates, "materialise", told)
+    # sketch 0 is in all texts, a second one in some
+    held = {bytes([i % 250, i // 250]): {0, *(rng.randrange(1, 4000) for _ in range(12))} for i in range(400)}
+    clusters = {k: rng.choice(list(held)) for k in list(held)[:100]}
+    of = lambda k: clusters.get(k, k)
+    frames = spark.createDataFrame([(k, x) for k, s in held.items() for x in s], "key binary, sketch long"), spark.createDataFrame(list(clusters.items()), "node binary, component binary")
+    got = near_duplicates._met_twice(*frames).collect()
+    want = {(of(k), of(m)) for k, s in held.items() for m, other in held.items() if of(k) != of(m) and len(s & other) >= near_duplicates.AGREE}
+
+    def joined(edges):
+        root = {of(k): of(k) for k in held}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert want and joined(want) == joined([(bytes(r.a), bytes(r.b)) for r in got]) and {(bytes(r.a), bytes(r.b)) for r in got} <= want
+    assert not any("flatten" in plan for plan in made)
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5, 20])
 def test_a_text_without_its_first_words_is_as_near_as_the_whole_chain_says(k):
     text = [f"k{k}w{i}" for i in range(5 * k)]
