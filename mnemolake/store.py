@@ -131,7 +131,8 @@ class Store:
         n = sum(b["rows"] for b in state["dead"])
         if not n:
             return rows
-        return rows.join(F.broadcast(dead) if n <= BROADCAST_DEAD else dead, "seq", "left_anti").select(rows.columns)
+        # their files are small where their rows are many, so the size of files must not decide
+        return rows.join(F.broadcast(dead) if n <= BROADCAST_DEAD else dead.hint("merge"), "seq", "left_anti").select(rows.columns)
 
     def _versions(self, state: dict) -> DataFrame:
         return self._without_dead(state, self._read(VERSION, [b["path"] for b in state["versions"]]))

@@ -291,3 +291,13 @@ def test_search_equals_the_search_without_an_index(spark, tmp_path):
         assert found.orderBy("rank").collect() == sorted(plain, key=lambda r: r["rank"])
         assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
     assert {c for c, _, _ in MEMORY} == set(store.store.memories().columns)
+
+
+def test_many_replaced_versions_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("mnemolake.store.BROADCAST_DEAD", 10)
+    store = Store(spark, str(tmp_path / "s"))
+    for k in range(2):
+        store.upsert(conform(spark.range(200).select(F.col("id").cast("string").alias("id"), F.lit(f"text {k}").alias("fact_text"))))
+    found = store.current()
+    assert {r.fact_text for r in found.collect()} == {"text 1"} and found.count() == 200
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
