@@ -42,8 +42,8 @@ LOGS = {"versions": VERSION, "updates": UPDATE, "events": EVENT, "bundles": (("s
 SUMS = ("total", "inline", "files", "chars", "bytes", "tokens")
 #: Keys that are looked up by filters; more are joined. Types of events that a batch's counts may have.
 LITERALS, MOST_TYPES = 64, 64
-#: Rows of a file; replaced versions up to which they are sent to all tasks (about 150 bytes each).
-FILE_ROWS, BROADCAST_DEAD = 500_000, 1 << 17
+#: Rows of a file, and their bytes as a task that sorts them holds them; replaced versions up to which they are sent to all tasks (about 150 bytes each).
+FILE_ROWS, FILE_BYTES, BROADCAST_DEAD = 500_000, 64 << 20, 1 << 17
 FAN, LEVEL_ROWS = 8, 1000
 
 
@@ -62,6 +62,12 @@ def _sizes() -> list[Column]:
     return [file.alias("file"), chars.alias("chars"), F.when(file, F.coalesce("byte_length", F.lit(0))).otherwise(0).cast("long").alias("bytes")]
 
 
+def _width() -> Column:
+    """Bytes of a version in memory: 8 for each column, its vector, and its texts."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind, _ in VERSION if kind in ("string", "binary")]
+    return reduce(lambda a, b: a + b, texts, 8 * len(VERSION) + 4 * F.greatest(F.size("embedding"), F.lit(0))).cast("long")
+
+
 def _sums() -> list[Column]:
     one = {"total": F.count("*"), "inline": F.count_if(~F.col("file")), "files": F.count_if("file")}
     return [c.alias(n) for n, c in one.items()] + [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in SUMS[3:]]
@@ -362,17 +368,17 @@ class Store:
         return self.spark.read.schema(split.schema).parquet(f"{self.root}/{path}"), path
 
     def _version_batch(self, given: DataFrame, merged: DataFrame | None = None, at_most: int | None = None) -> dict | None:
-        """Writes versions sorted by id, and their postings sorted by term: those of `terms`, or `merged` ones. at_most: rows, where that is known."""
+        """Writes versions sorted by id, and their postings sorted by term: those of `terms`, or `merged` ones. at_most: rows, where they are few."""
         path, index = f"versions/{uuid.uuid4().hex}", f"postings/{uuid.uuid4().hex}"
-        n = given.count() if at_most is None else at_most
+        rows = conform(given, VERSION)
+        n, size = (at_most, 0) if at_most is not None else rows.agg(F.count("*"), F.sum(_width())).first()
         if not n:
             return None
-        files = -(-n // FILE_ROWS)
-        rows = conform(given, VERSION)
+        files = max(-(-n // FILE_ROWS), -(-size // FILE_BYTES))
         sorted_rows = (rows.repartitionByRange(files, "id", "seq") if files > 1 else rows.coalesce(1)).sortWithinPartitions("id", "seq")
         writer = sorted_rows.write.option("parquet.block.size", self._group)
         for c in ("id", "content_hash"):
-            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", min(n, FILE_ROWS))
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", -(-n // files))
         writer.parquet(f"{self.root}/{path}")
         written = self._read(VERSION, [path])
         row = written.select("seq", "tokens", *_sizes()).agg(*_sums(), F.min("seq").alias("low"), F.max("seq").alias("high"), F.coalesce(F.max("chars"), F.lit(0)).alias("largest")).first()
@@ -456,7 +462,7 @@ class Store:
         state = self._pointer()
         if not state["versions"]:
             return
-        batch = self._version_batch(self._live(state), self._index(state, state["versions"]), sum(b["rows"] for b in state["versions"]))
+        batch = self._version_batch(self._live(state), self._index(state, state["versions"]))
         if batch:
             batch.pop("sums")
         self._publish(state | {"versions": [batch] if batch else [], "updates": [], "dead": []})
@@ -484,7 +490,7 @@ class Store:
     def _merge(self, state: dict, first: int, last: int) -> bool:
         old = state["versions"][first:last]
         rows = self._without_dead(state, self._read(VERSION, [b["path"] for b in old]))
-        batch = self._version_batch(rows, self._index(state, old), sum(b["rows"] for b in old))
+        batch = self._version_batch(rows, self._index(state, old))
         if batch:
             batch |= {"low": old[0]["low"], "high": old[-1]["high"]}
             batch.pop("sums")

@@ -293,6 +293,19 @@ def test_search_equals_the_search_without_an_index(spark, tmp_path):
     assert {c for c, _, _ in MEMORY} == set(store.store.memories().columns)
 
 
+def test_a_batch_of_many_bytes_is_several_files_in_order_of_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("mnemolake.store.FILE_BYTES", 1 << 18, raising=False)
+    rows = [(f"m{i:04d}", "i", f"word{i % 7} " + "many " * 60, f"h{i}") for i in range(1200)]
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.insert_ignore(conform(spark.createDataFrame(rows, "id string, identifier string, fact_text string, content_hash string"))) == 1200
+    for _ in range(2):
+        read = spark.read.parquet(f"{store.root}/{store._pointer()['versions'][0]['path']}").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
+        assert len(read) >= 2 and sum(r.n for r in read) == 1200 and max(r.n for r in read) <= 700
+        assert all(a.high < b.low for a, b in zip(read, read[1:], strict=False))
+        assert store.bm25("word3").count() == sum(i % 7 == 3 for i in range(1200))
+        store.compact()
+
+
 def test_many_replaced_versions_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("mnemolake.store.BROADCAST_DEAD", 10)
     store = Store(spark, str(tmp_path / "s"))
