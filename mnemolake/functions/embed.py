@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from mnemolake.functions.slices import KNOWN, slices
 from mnemolake.schema import DIM
 
 
@@ -41,8 +42,8 @@ def embed(text: str) -> list[float]:
 
 def _embed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     known: dict[str, tuple[int, int]] = {}
-    for batch in batches:
-        if len(known) > 1 << 18:
+    for batch in slices(batches):
+        if len(known) > KNOWN:
             known.clear()
         rows = np.array([bucket_sums(t.as_py() or "", known) for t in batch], dtype=np.float64).reshape(-1, DIM)
         norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
@@ -60,8 +61,8 @@ def embedding_buckets(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
-        for batch in batches:
-            if len(known) > 1 << 18:
+        for batch in slices(batches):
+            if len(known) > KNOWN:
                 known.clear()
             sums = np.array([bucket_sums(t.as_py() or "", known) for t in batch.column(1)], dtype=np.int64).reshape(-1, DIM)
             row, bucket = np.nonzero(sums)
@@ -80,12 +81,12 @@ def unpack(blob: bytes) -> list[float]:
 
 
 def _decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.array([unpack(b.as_py()) if b.as_py() else [] for b in batch], type=pa.list_(pa.float32()))
 
 
 def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.array([pack(v.as_py() or []) for v in batch], type=pa.binary())
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from mnemolake.functions.slices import KNOWN, slices
 from mnemolake.functions.stem import stems_of
 
 POSTING = (("term", "string", None), ("seq", "long", None), ("tf", "int", None), ("length", "int", None), ("positions", "array<int>", None))
@@ -30,8 +31,8 @@ def terms_of(text: Column, stemmed: bool = True) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, str] = {}
-        for batch in batches:
-            if len(known) > 1 << 18:
+        for batch in slices(batches):
+            if len(known) > KNOWN:
                 known.clear()
             lengths, firsts, terms, starts, positions = [], [0], [], [0], []
             for value in batch:

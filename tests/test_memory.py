@@ -268,3 +268,15 @@ def test_stream_replay(spark, tmp_path):
     for _ in range(2):
         event_stream.replay(event_stream.read_events(spark, log), lambda rows, n: store.store.insert_ignore(rows), str(tmp_path / "cp")).awaitTermination()
     assert store.count() == 3
+
+
+def test_python_tasks_hold_few_rows_at_once():
+    import pyarrow as pa
+
+    from mnemolake.functions import embed, stem
+
+    texts, vectors = pa.array(["some words"] * 5000), pa.array([[0.5] * 64] * 5000, pa.list_(pa.float32()))
+    packed = pa.array([embed.pack([0.5] * 64)] * 5000)
+    for run, given in ((embed._embed_batches, texts), (stem._stem_batches, texts), (embed._encode, vectors), (embed._decode, packed)):
+        sizes = [len(x) for x in run(iter([given]))]
+        assert sum(sizes) == 5000 and max(sizes) <= 512
